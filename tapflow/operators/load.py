@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapflow.functions import tagged
 from tapflow.model import ROUTE_KEY, SUFFIX_DESTINATION, SUFFIX_INTERMEDIATE, SUFFIX_ORIGIN
 from tapflow.operators.common import sized_broadcast
-from tapflow.operators.od import routes_with_taps, stop_totals, trips
+from tapflow.operators.od import od_counts, resolve_trips, routes_with_taps, stop_totals
 from tapflow.operators.routes import route_summary, stop_labels, with_positions
 
 
@@ -35,7 +35,7 @@ def _lookups(routes: DataFrame):
     reps = sized_broadcast(
         pos.groupBy(*ROUTE_KEY, "stop")
         .agg(F.count(F.lit(1)).alias("occ"),
-             F.element_at(F.array_sort(F.collect_list("pos")), 2).alias("second_pos"))
+             F.try_element_at(F.array_sort(F.collect_list("pos")), F.lit(2)).alias("second_pos"))
         .filter(F.col("occ") > 1))
     return first_pos, reps
 
@@ -98,8 +98,11 @@ def tap_labels(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> D
 
 
 def _distinct_vehicle_trips(labelled: DataFrame, sides: tuple[str, ...]) -> DataFrame:
-    """Per (route, date, side, label): distinct (vehicle, trip) rows. Distinct
-    rows, not ``countDistinct``, so a null vehicle or trip still counts."""
+    """Per (route, date, side, label): the number of distinct (vehicle, trip)
+    rows. Distinct rows, not ``countDistinct``, so a null vehicle or trip
+    still counts. Null labels (unplaced sides) are kept as their own group so
+    the route key set stays complete; callers drop them. ``taps`` counts the
+    rides behind each group."""
     parts = []
     for side in sides:
         col = "board_label" if side == "board" else "alight_label"
@@ -108,16 +111,21 @@ def _distinct_vehicle_trips(labelled: DataFrame, sides: tuple[str, ...]) -> Data
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return (u.filter(F.col("label").isNotNull()).distinct()
-            .groupBy(*ROUTE_KEY, "date", "side", "label").agg(F.count(F.lit(1)).alias("n")))
+    return (u.groupBy(*ROUTE_KEY, "date", "side", "label", "bus", "trip")
+            .agg(F.count(F.lit(1)).alias("taps"))
+            .groupBy(*ROUTE_KEY, "date", "side", "label")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("taps").alias("taps")))
 
 
 def vehicle_trips_boarding(taps: DataFrame, routes: DataFrame, occurrence: str = "terminal") -> DataFrame:
-    """Per stop occurrence, the sum over dates of distinct (vehicle, trip)
-    boarding at its label. Stop occurrences sharing a label share the count."""
-    counts = (_distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",))
+    """Per stop occurrence of a route with taps, the sum over dates of
+    distinct (vehicle, trip) boarding at its label. Stop occurrences sharing
+    a label share the count."""
+    per_day = _distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",))
+    counts = (per_day.filter(F.col("label").isNotNull())
               .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("bus_count")))
-    return (stop_labels(routes_with_taps(taps, routes), occurrence)
+    served = routes.join(per_day.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
+    return (stop_labels(served, occurrence)
             .join(counts, [*ROUTE_KEY, "label"], "left")
             .fillna(0, subset=["bus_count"]))
 
@@ -125,17 +133,21 @@ def vehicle_trips_boarding(taps: DataFrame, routes: DataFrame, occurrence: str =
 def vehicle_trips_mean(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> DataFrame:
     """Per date and stop label the larger of distinct (vehicle, trip)
     boarding and alighting there, summed over dates, then averaged over all
-    stop occurrences of the route (zeros included). One row per route, with
-    ``unplaced_taps``: taps whose repeated-stop side could not be placed
-    because the other end is not on the route."""
+    stop occurrences of the route (zeros included). One row per route with
+    taps, with ``unplaced_taps``: taps whose repeated-stop side could not be
+    placed because the other end of the ride is not on the route."""
     labelled = tap_labels(taps, routes, occurrence)
-    per_label = (_distinct_vehicle_trips(labelled, ("board", "alight"))
+    per_day = _distinct_vehicle_trips(labelled, ("board", "alight"))
+    per_label = (per_day.filter(F.col("label").isNotNull())
                  .groupBy(*ROUTE_KEY, "date", "label").agg(F.max("n").alias("n"))
                  .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("trips")))
-    occurrences = stop_labels(routes_with_taps(taps, routes), occurrence)
-    unplaced = (labelled.filter(F.col("board_label").isNull() | F.col("alight_label").isNull())
-                .groupBy(*ROUTE_KEY).agg(F.count(F.lit(1)).alias("unplaced_taps")))
-    return (occurrences.join(per_label, [*ROUTE_KEY, "label"], "left")
+    served = routes.join(per_day.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
+    # A tap can lack a side label on one end only (a null boarding label
+    # needs the alighting stop off the route and vice versa), so summing the
+    # null-label groups of both sides counts each such tap once.
+    unplaced = (per_day.filter(F.col("label").isNull())
+                .groupBy(*ROUTE_KEY).agg(F.sum("taps").alias("unplaced_taps")))
+    return (stop_labels(served, occurrence).join(per_label, [*ROUTE_KEY, "label"], "left")
             .groupBy(*ROUTE_KEY)
             .agg(F.avg(F.coalesce(F.col("trips"), F.lit(0))).alias("bus_count"))
             .join(unplaced, list(ROUTE_KEY), "left")
@@ -147,8 +159,9 @@ def utilisation_profile(taps: DataFrame, routes: DataFrame, occurrence: str = "o
     """Per route with taps and per stop occurrence: label, 0-based
     position, boardings, alightings, running load and the route's mean
     vehicle-trip count (A9)."""
-    served = routes_with_taps(taps, routes)
-    totals = running_load(stop_totals(trips(taps, served, span), served))
+    od = od_counts(taps)
+    served = routes_with_taps(od, routes)
+    totals = running_load(stop_totals(resolve_trips(od, served, span), served))
     labels = stop_labels(served, occurrence).select(*ROUTE_KEY, "seq", "label")
     buses = vehicle_trips_mean(taps, served, occurrence).select(*ROUTE_KEY, "bus_count")
     return (totals.join(labels, [*ROUTE_KEY, "seq"])

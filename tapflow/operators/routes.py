@@ -61,7 +61,8 @@ def long_enough(routes: DataFrame, min_km: float = MIN_ROUTE_KM,
     w = _route_window()
     n = F.count(F.lit(1)).over(w)
     km = F.max_by("km", "seq").over(w)
-    return routes.filter(~((km < min_km) & (n < min_stops)))
+    return (routes.withColumn("_short", (km < min_km) & (n < min_stops))
+            .filter(~F.col("_short")).drop("_short"))
 
 
 def repeated_stops(routes: DataFrame) -> DataFrame:

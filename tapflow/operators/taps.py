@@ -90,3 +90,10 @@ def num_days(taps: DataFrame) -> DataFrame:
     return (taps.select("year", F.dayofyear("tap_in").alias("day"))
             .distinct()
             .agg(F.count(F.lit(1)).alias("num_days")))
+
+
+def bus_only_sql(taps: DataFrame, mode: str = "Bus") -> DataFrame:
+    """The mode filter as a SQL statement over the DataFrame (no global
+    temp view; the mode is a bound parameter)."""
+    return taps.sparkSession.sql("SELECT * FROM {taps} WHERE mode = :mode",
+                                 args={"mode": mode}, taps=taps)

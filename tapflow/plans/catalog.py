@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapflow.model import RouteColumns, TapColumns
+from tapflow.operators import features as FE
+from tapflow.operators import graph as G
 from tapflow.operators import load as L
 from tapflow.operators import od as OD
 from tapflow.operators import routes as R
@@ -73,3 +75,220 @@ def running_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = OD.stop_totals(OD.resolve_trips(od, served), served)
     return (L.running_load(totals)
             .select("service", "direction", "stop", "pos", "seq", "boardings", "alightings", "load"))
+
+
+def _text(c: str) -> F.Column:
+    return F.col(c).cast("string").alias(c)
+
+
+def _join_ints(c: str) -> F.Column:
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
+
+
+STRATA = {"non_loop": ["S0", "S2", "S4"], "loop": ["S1", "S3"]}
+
+
+@register("bus_taps")
+def bus_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bus rides with a route key, logical names
+    (mode filter written in SQL over the DataFrame)."""
+    taps, _ = inputs(spark, sf_dir)
+    bus = T.with_route_key(T.bus_only_sql(taps))
+    return round_doubles(bus.select("journey_id", "service", "direction", "source", "destination",
+                                    "bus", "trip", "ride_km", "year", _text("date")))
+
+
+@register("peak_taps")
+def peak_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Working-day (03:00 rule) rides touching the AM peak band."""
+    taps, _ = peak_taps(spark, sf_dir)
+    from tapflow.functions import hms, operational_weekday
+    return taps.select("journey_id", "service", "direction",
+                       operational_weekday("tap_in").alias("op_weekday"),
+                       hms("tap_in").alias("tap_in_hms"), hms("tap_out").alias("tap_out_hms"))
+
+
+@register("service_directions")
+def service_directions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct service-directions of the peak rides,
+    kept when allow-listed, split into loop / non-loop strata, flagged when
+    the route table has them (semi/anti join)."""
+    taps, routes = peak_taps(spark, sf_dir)
+    keys = T.assign_stratum(T.allow_listed(T.service_directions(taps), STRATA["non_loop"] + STRATA["loop"]),
+                            STRATA)
+    with_route = keys.join(routes, ["service", "direction"], "left_semi").withColumn("has_route", F.lit(True))
+    without = OD.keys_without_route(keys, routes).join(keys, ["service", "direction"]) \
+        .withColumn("has_route", F.lit(False))
+    return with_route.unionByName(without).select("service", "direction", "stratum", "has_route")
+
+
+@register("distinct_dates")
+def distinct_dates_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ride dates of the bus rides."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return T.distinct_dates(taps).select(_text("date"))
+
+
+@register("taps_by_hour")
+def taps_by_hour_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides per tap-in hour."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return T.taps_by_hour(taps)
+
+
+@register("num_days")
+def num_days_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (year, day of year) of the bus rides."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return T.num_days(taps)
+
+
+@register("routes_valid")
+def routes_valid_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route rows valid on the analysis date, with positions."""
+    _, routes = inputs(spark, sf_dir)
+    return round_doubles(R.with_positions(routes)
+                         .select("service", "direction", "stop", "seq", "pos", "km")
+                         .orderBy("service", "direction", "seq"))
+
+
+@register("route_summary")
+def route_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop count, length, first/last stop, loop test and whether
+    the route passes the length rule."""
+    _, routes = inputs(spark, sf_dir)
+    kept = R.long_enough(routes).select("service", "direction").distinct().withColumn("kept", F.lit(True))
+    return round_doubles(R.route_summary(routes).join(kept, ["service", "direction"], "left")
+                         .fillna(False, subset=["kept"]))
+
+
+@register("repeated_stops")
+def repeated_stops_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops served more than once per route, with their sequences."""
+    _, routes = inputs(spark, sf_dir)
+    return (R.repeated_stops(routes)
+            .select("service", "direction", "stop", F.col("occurrences").cast("bigint").alias("occurrences"),
+                    _join_ints("positions").alias("positions")))
+
+
+@register("stop_labels")
+def stop_labels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop labels under the terminal and odi rules."""
+    _, routes = inputs(spark, sf_dir)
+    term = R.stop_labels(routes, "terminal").select("service", "direction", "seq", "pos", "stop",
+                                                    F.col("label").alias("label_terminal"))
+    odi = R.stop_labels(routes, "odi").select("service", "direction", "seq",
+                                              F.col("label").alias("label_odi"))
+    return term.join(odi, ["service", "direction", "seq"])
+
+
+@register("od_counts")
+def od_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: rides per boarding and alighting stop of each service-direction."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return OD.od_counts(taps)
+
+
+@register("trips_per_seq_pair")
+def trips_per_seq_pair_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 (J1, J2, J3, P10, A2 per sequence pair)."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return OD.trips(taps, routes, "per_seq_pair")
+
+
+@register("trips_per_od")
+def trips_per_od_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 per O-D: the fewest-stops sequence pair of each O-D pair."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return OD.trips(taps, routes, "per_od")
+
+
+@register("pairs_per_route")
+def pairs_per_route_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-D rows per service-direction."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return OD.pairs_per_route(OD.trips(taps, routes)).select("service", "direction", "n_pairs").distinct()
+
+
+@register("od_matrix")
+def od_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense O-D matrix rows (zero-filled) per route with taps."""
+    taps, routes = bus_taps(spark, sf_dir)
+    od = OD.od_counts(taps)
+    served = OD.routes_with_taps(od, routes)
+    return (OD.od_matrix_rows(OD.resolve_trips(od, served), served)
+            .select("service", "direction", "seq", "pos", _join_ints("pax_to").alias("pax_to"), "boardings"))
+
+
+@register("vehicle_trips_boarding")
+def vehicle_trips_boarding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 (terminal labels): distinct vehicle trips boarding per stop, summed over dates."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return (L.vehicle_trips_boarding(taps, routes, "terminal")
+            .select("service", "direction", "seq", "pos", "stop", "label", "bus_count"))
+
+
+@register("vehicle_trips_mean")
+def vehicle_trips_mean_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9, W7 (odi labels): mean vehicle trips per route."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return round_doubles(L.vehicle_trips_mean(taps, routes, "odi"))
+
+
+@register("tap_sides")
+def tap_sides_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides per (boarding label, alighting label) at repeated stops."""
+    taps, routes = bus_taps(spark, sf_dir)
+    labelled = L.tap_labels(taps, routes, "odi")
+    changed = ((F.col("board_label") != F.col("source")) | (F.col("alight_label") != F.col("destination"))
+               | F.col("board_label").isNull() | F.col("alight_label").isNull())
+    return (labelled.filter(changed)
+            .groupBy("service", "direction", "source", "destination", "board_label", "alight_label")
+            .agg(F.count(F.lit(1)).alias("rides")))
+
+
+@register("utilisation_profile")
+def utilisation_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, position, totals, running load and mean vehicle trips."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return round_doubles(L.utilisation_profile(taps, routes, "odi"))
+
+
+@register("top_pairs")
+def top_pairs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k busiest O-D rows per route (1 % above 300 rows, else 3)."""
+    taps, routes = bus_taps(spark, sf_dir)
+    return FE.top_pairs(OD.trips(taps, routes))
+
+
+@register("stop_series")
+def stop_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2-normalised boarding ++ alighting series, long form."""
+    taps, routes = peak_taps(spark, sf_dir)
+    return round_doubles(FE.long_form(FE.stop_series(OD.trips(taps, routes), routes))
+                         .withColumnRenamed("value", "feature"))
+
+
+@register("distance_histogram")
+def distance_histogram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boarding ++ alighting histograms over normalised
+    distance (10 bins each, each half divided by its maximum), long form."""
+    taps, routes = peak_taps(spark, sf_dir)
+    return round_doubles(FE.long_form(FE.distance_histogram(OD.trips(taps, routes), routes))
+                         .withColumnRenamed("value", "feature"))
+
+
+@register("chart_nodes")
+def chart_nodes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arc-diagram nodes with their degree."""
+    taps, routes = peak_taps(spark, sf_dir)
+    tr = OD.trips(taps, routes)
+    served = OD.routes_with_taps(tr, routes)
+    return round_doubles(G.node_degree(G.nodes(served), G.edges(tr)))
+
+
+@register("chart_edges")
+def chart_edges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arc-diagram edges with scaled opacity and width."""
+    taps, routes = peak_taps(spark, sf_dir)
+    return round_doubles(G.edges(OD.trips(taps, routes)))

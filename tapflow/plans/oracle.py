@@ -141,3 +141,310 @@ def register(name: str, sql: str) -> None:
 register("running_load", with_ctes(BUS, ROUTES, served("bus"), trips("bus"), TOTALS) + """
 select service, direction, stop, pos, seq, boardings, alightings, load from ld
 """)
+
+
+register("bus_taps", with_ctes(BUS) + """
+select journey_id, service, direction, source, destination, bus, trip, round(ride_km, 6) as ride_km,
+  year, cast(date as varchar) as date
+from bus
+""")
+
+register("peak_taps", with_ctes(BUS, PEAK) + """
+select journey_id, service, direction, cast(isodow(tap_in - interval 3 hour) - 1 as integer) as op_weekday,
+  strftime(tap_in, '%H:%M:%S') as tap_in_hms, strftime(tap_out, '%H:%M:%S') as tap_out_hms
+from peak
+""")
+
+register("service_directions", with_ctes(BUS, PEAK, ROUTES) + """
+select k.service, k.direction,
+  case when k.service in ('S0', 'S2', 'S4') then 'non_loop' else 'loop' end as stratum,
+  exists (select 1 from r where r.service = k.service and r.direction = k.direction) as has_route
+from (select distinct service, direction from peak) k
+where k.service in ('S0', 'S2', 'S4', 'S1', 'S3')
+""")
+
+register("distinct_dates", with_ctes(BUS) + """
+select distinct cast(date as varchar) as date from bus
+""")
+
+register("taps_by_hour", with_ctes(BUS) + """
+select cast(extract(hour from tap_in) as integer) as hr, count(extract(hour from tap_in)) as pax
+from bus group by 1
+""")
+
+register("num_days", with_ctes(BUS) + """
+select count(*) as num_days from (select distinct year, dayofyear(tap_in) from bus)
+""")
+
+register("routes_valid", with_ctes(ROUTES) + """
+select service, direction, stop, seq,
+  cast(row_number() over (partition by service, direction order by seq) - 1 as integer) as pos,
+  round(km, 6) as km
+from r
+""")
+
+register("route_summary", with_ctes(ROUTES) + """
+select service, direction, count(*) as n_stops, round(arg_max(km, seq), 6) as route_km,
+  arg_min(stop, seq) as first_stop, arg_max(stop, seq) as last_stop,
+  arg_min(stop, seq) = arg_max(stop, seq) as is_loop,
+  not (arg_max(km, seq) < 12 and count(*) < 20) as kept
+from r group by service, direction
+""")
+
+register("repeated_stops", with_ctes(ROUTES) + """
+select service, direction, stop, count(*) as occurrences,
+  string_agg(cast(seq as varchar), ',' order by seq) as positions
+from r group by service, direction, stop having count(*) > 1
+""")
+
+LABELS = """
+lab AS (
+  select p.*,
+    row_number() over (partition by service, direction, stop order by seq) as occ,
+    count(*) over (partition by service, direction, stop) as cnt,
+    count(*) over (partition by service, direction) as n,
+    first_value(stop) over (partition by service, direction order by seq
+      rows between unbounded preceding and unbounded following) as first_stop,
+    last_value(stop) over (partition by service, direction order by seq
+      rows between unbounded preceding and unbounded following) as last_stop
+  from pos p),
+labels AS (
+  select *,
+    case when first_stop = last_stop and pos = 0 then stop || '_O'
+         when first_stop = last_stop and pos = n - 1 then stop || '_D' else stop end as label_terminal,
+    case when cnt = 1 then stop when occ = 1 then stop || '_O'
+         when cnt = 2 and occ = 2 then stop || '_D' when occ = 2 then stop || '_I'
+         when occ = 3 then stop || '_D' else stop end as label_odi
+  from lab)
+"""
+
+ALL_ROUTES = """
+served AS (select * from r),
+pos AS (
+  select *, cast(row_number() over (partition by service, direction order by seq) - 1 as integer) as pos
+  from served)
+"""
+
+register("stop_labels", with_ctes(ROUTES, ALL_ROUTES, LABELS) + """
+select service, direction, seq, pos, stop, label_terminal, label_odi from labels
+""")
+
+register("od_counts", with_ctes(BUS) + """
+select service, direction, source, destination, count(*) as pax from bus group by all
+""")
+
+register("trips_per_seq_pair", with_ctes(BUS, ROUTES, ALL_ROUTES, trips("bus")) + """
+select * from trips
+""")
+
+register("trips_per_od", with_ctes(BUS, ROUTES, ALL_ROUTES, trips("bus", "per_od")) + """
+select * from trips
+""")
+
+register("pairs_per_route", with_ctes(BUS, ROUTES, ALL_ROUTES, trips("bus")) + """
+select service, direction, count(*) as n_pairs from trips group by all
+""")
+
+register("od_matrix", with_ctes(BUS, ROUTES, served("bus"), trips("bus")) + """
+, cells AS (select service, direction, source_seq, destination_seq, sum(pax) as pax from trips group by all),
+grid AS (
+  select p.service, p.direction, p.seq, p.pos, q.seq as col_seq
+  from pos p join pos q on p.service = q.service and p.direction = q.direction)
+select g.service, g.direction, g.seq, g.pos,
+  string_agg(cast(coalesce(c.pax, 0) as varchar), ',' order by g.col_seq) as pax_to,
+  cast(sum(coalesce(c.pax, 0)) as bigint) as boardings
+from grid g left join cells c on c.service = g.service and c.direction = g.direction
+  and c.source_seq = g.seq and c.destination_seq = g.col_seq
+group by g.service, g.direction, g.seq, g.pos
+""")
+
+register("vehicle_trips_boarding", with_ctes(BUS, ROUTES, served("bus"), LABELS) + """
+, loopst AS (
+  select service, direction, arg_min(stop, seq) as s from r group by all
+  having arg_min(stop, seq) = arg_max(stop, seq)),
+bl AS (
+  select b.service, b.direction, b.date, b.bus, b.trip,
+    case when l.s is not null and b.source = l.s then b.source || '_O' else b.source end as label
+  from bus b left join loopst l on l.service = b.service and l.direction = b.direction),
+cnt AS (
+  select service, direction, label, sum(n) as bus_count from (
+    select service, direction, date, label, count(*) as n
+    from (select distinct service, direction, date, label, bus, trip from bl) group by all) group by all)
+select l.service, l.direction, l.seq, l.pos, l.stop, l.label_terminal as label,
+  cast(coalesce(c.bus_count, 0) as bigint) as bus_count
+from labels l left join cnt c on c.service = l.service and c.direction = l.direction and c.label = l.label_terminal
+""")
+
+TAP_SIDES = """
+p2 AS (
+  select *, row_number() over (partition by service, direction order by seq) - 1 as p,
+    row_number() over (partition by service, direction, stop order by seq) as o
+  from r),
+fp AS (select service, direction, stop, min(p) as first_pos from p2 group by all),
+rep AS (
+  select service, direction, stop, count(*) as occ, min(case when o = 2 then p end) as second_pos
+  from p2 group by all having count(*) > 1),
+tl AS (
+  select t.*,
+    case when rb.occ is null then t.source when rb.occ = 2 then t.source || '_O'
+         when fd.first_pos is null then null
+         when fd.first_pos <= rb.second_pos then t.source || '_O' else t.source || '_I' end as board_label,
+    case when ra.occ is null then t.destination when ra.occ = 2 then t.destination || '_D'
+         when fs.first_pos is null then null
+         when fs.first_pos <= ra.second_pos then t.destination || '_I' else t.destination || '_D' end as alight_label
+  from bus t
+  left join rep rb on rb.service = t.service and rb.direction = t.direction and rb.stop = t.source
+  left join rep ra on ra.service = t.service and ra.direction = t.direction and ra.stop = t.destination
+  left join fp fd on fd.service = t.service and fd.direction = t.direction and fd.stop = t.destination
+  left join fp fs on fs.service = t.service and fs.direction = t.direction and fs.stop = t.source)
+"""
+
+VEHICLES = """
+sides AS (
+  select distinct service, direction, date, 'board' as side, board_label as label, bus, trip
+  from tl where board_label is not null
+  union
+  select distinct service, direction, date, 'alight' as side, alight_label as label, bus, trip
+  from tl where alight_label is not null),
+n1 AS (select service, direction, date, side, label, count(*) as n from sides group by all),
+n2 AS (
+  select service, direction, label, sum(mx) as trips from (
+    select service, direction, date, label, max(n) as mx from n1 group by all) group by all),
+bc AS (
+  select l.service, l.direction, avg(coalesce(n2.trips, 0)) as bus_count
+  from labels l left join n2 on n2.service = l.service and n2.direction = l.direction and n2.label = l.label_odi
+  group by all),
+unp AS (
+  select service, direction, count(*) as unplaced_taps from tl
+  where board_label is null or alight_label is null group by all)
+"""
+
+register("vehicle_trips_mean", with_ctes(BUS, ROUTES, served("bus"), LABELS, TAP_SIDES, VEHICLES) + """
+select bc.service, bc.direction, round(bc.bus_count, 6) as bus_count,
+  cast(coalesce(unp.unplaced_taps, 0) as bigint) as unplaced_taps
+from bc left join unp on unp.service = bc.service and unp.direction = bc.direction
+""")
+
+register("tap_sides", with_ctes(BUS, ROUTES, TAP_SIDES) + """
+select service, direction, source, destination, board_label, alight_label, count(*) as rides
+from tl
+where board_label is null or alight_label is null or board_label != source or alight_label != destination
+group by all
+""")
+
+register("utilisation_profile",
+         with_ctes(BUS, ROUTES, served("bus"), trips("bus"), TOTALS, LABELS, TAP_SIDES, VEHICLES) + """
+select ld.service, ld.direction, ld.stop, l.label_odi as label, ld.pos, ld.seq, ld.boardings,
+  ld.alightings, ld.load, round(bc.bus_count, 6) as bus_count
+from ld
+join labels l on l.service = ld.service and l.direction = ld.direction and l.seq = ld.seq
+left join bc on bc.service = ld.service and bc.direction = ld.direction
+""")
+
+TOP = """
+ranked AS (
+  select t.*, count(*) over (partition by service, direction) as n_pairs,
+    cast(row_number() over (partition by service, direction
+      order by pax desc, source, destination, source_seq, destination_seq) as integer) as rank
+  from trips t),
+top AS (
+  select * from ranked
+  where rank <= case when n_pairs > 300 then floor(n_pairs / 100) else 3 end)
+"""
+
+register("top_pairs", with_ctes(BUS, ROUTES, ALL_ROUTES, trips("bus"), TOP) + """
+select * from top
+""")
+
+
+def totals_over(trips_cte: str) -> str:
+    """Boarding/alighting totals of the routes present in ``trips_cte``."""
+    return f"""
+tr AS (select * from {trips_cte}),
+sv AS (
+  select r.*, cast(row_number() over (partition by service, direction order by seq) - 1 as integer) as pos,
+    km / arg_max(km, seq) over (partition by service, direction) as km_norm
+  from r where exists (select 1 from tr where tr.service = r.service and tr.direction = r.direction)),
+fb AS (select service, direction, source_seq as seq, sum(pax) as boardings from tr group by all),
+fa AS (select service, direction, destination_seq as seq, sum(pax) as alightings from tr group by all),
+ft AS (
+  select s.*, coalesce(fb.boardings, 0) as boardings, coalesce(fa.alightings, 0) as alightings
+  from sv s
+  left join fb on fb.service = s.service and fb.direction = s.direction and fb.seq = s.seq
+  left join fa on fa.service = s.service and fa.direction = s.direction and fa.seq = s.seq)
+"""
+
+
+register("stop_series", with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak"), totals_over("trips")) + """
+, vals AS (
+  select service, direction, pos as position, boardings as v from ft
+  union all
+  select service, direction, pos + count(*) over (partition by service, direction), alightings from ft),
+nrm AS (select service, direction, sqrt(sum(v * v)) as nrm from vals group by all)
+select v.service, v.direction, cast(v.position as integer) as position,
+  round(case when n.nrm > 0 then v.v / n.nrm else v.v end, 6) as feature
+from vals v join nrm n on n.service = v.service and n.direction = v.direction
+""")
+
+register("distance_histogram",
+         with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak"), TOP, totals_over("top")) + """
+, h AS (
+  select ft.*, min(km_norm) over (partition by service, direction) as lo0,
+    max(km_norm) over (partition by service, direction) as hi0
+  from ft),
+h2 AS (
+  select *, case when hi0 > lo0 then lo0 else lo0 - 0.5 end as lo,
+    case when hi0 > lo0 then hi0 else hi0 + 0.5 end as hi
+  from h),
+h3 AS (
+  select *, (hi - lo) / 10.0 as step,
+    least(cast(floor((km_norm - lo) * (10.0 / (hi - lo))) as integer), 9) as g0
+  from h2),
+h4 AS (
+  select *, case when km_norm < (case when g0 >= 10 then hi else g0 * step + lo end)
+                 then g0 - 1 else g0 end as g1
+  from h3),
+h5 AS (
+  select *, case when km_norm >= (case when g1 + 1 >= 10 then hi else (g1 + 1) * step + lo end)
+                      and g1 != 9 then g1 + 1 else g1 end as bin
+  from h4),
+hist AS (
+  select service, direction, bin, sum(boardings) as b, sum(alightings) as a from h5 group by all),
+grid AS (
+  select k.service, k.direction, b.bin
+  from (select distinct service, direction from ft) k, range(0, 10) b(bin)),
+full_h AS (
+  select g.service, g.direction, g.bin, cast(coalesce(h.b, 0) as double) as b,
+    cast(coalesce(h.a, 0) as double) as a
+  from grid g left join hist h on h.service = g.service and h.direction = g.direction and h.bin = g.bin),
+mx AS (select service, direction, max(b) as mb, max(a) as ma from full_h group by all)
+select f.service, f.direction, cast(f.bin as integer) as position, round(f.b / m.mb, 6) as feature
+from full_h f join mx m on m.service = f.service and m.direction = f.direction
+union all
+select f.service, f.direction, cast(f.bin + 10 as integer), round(f.a / m.ma, 6)
+from full_h f join mx m on m.service = f.service and m.direction = f.direction
+""")
+
+register("chart_nodes", with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak")) + """
+, sv AS (select * from r where exists (
+    select 1 from trips t where t.service = r.service and t.direction = r.direction)),
+o AS (select service, direction, source_seq as idx, count(*) as c from trips group by all),
+i AS (select service, direction, destination_seq as idx, count(*) as c from trips group by all)
+select s.service, s.direction, s.stop as name, s.seq as "index", round(s.km, 6) as "order", 1 as "group",
+  cast(coalesce(o.c, 0) + coalesce(i.c, 0) as bigint) as degree
+from sv s
+left join o on o.service = s.service and o.direction = s.direction and o.idx = s.seq
+left join i on i.service = s.service and i.direction = s.direction and i.idx = s.seq
+""")
+
+register("chart_edges", with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak")) + """
+, e AS (
+  select service, direction, source_seq as source, destination_seq as target, cast(pax as double) as value,
+    least(min(cast(pax as double)) over (partition by service, direction), 0.0) as d0,
+    greatest(max(cast(pax as double)) over (partition by service, direction), 0.0) as d1
+  from trips)
+select service, direction, source, target, round(value, 6) as value,
+  round(0.1 + (case when d1 > d0 then (value - d0) / (d1 - d0) else 0.5 end) * 0.4, 6) as opacity,
+  round(0.1 + (case when d1 > d0 then (value - d0) / (d1 - d0) else 0.5 end) * 2.9, 6) as width
+from e
+""")
