@@ -31,7 +31,7 @@ def zero_pad(c: Column | str, width: int = STOP_CODE_WIDTH) -> Column:
 def parse_date(c: Column | str, fmt: str = ROUTE_DATE_FORMAT) -> Column:
     """string to date with a pattern; malformed input becomes null
     instead of failing the job under ANSI mode."""
-    return F.try_to_date(_c(c), F.lit(fmt))
+    return F.try_to_date(_c(c), fmt)
 
 
 def hms(c: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,20 @@ from tapflow.model import ROUTE_KEY
 BROADCAST_MAX_ROWS = 500_000
 
 
+_CHECKED: dict[tuple[int, int, int], bool] = {}
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after checking it holds at most
     ``max_rows`` rows. The check reads at most ``max_rows + 1`` rows; above
     the bound the plain DataFrame is returned and Spark plans a shuffle join
-    (AQE may still switch to broadcast at run time from measured sizes)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    (AQE may still switch to broadcast at run time from measured sizes).
+    The outcome is remembered per session for the same plan (semantic hash),
+    so a dimension used by many queries is checked once."""
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _CHECKED[key] else df
 
 
 def key_cols(*extra: str) -> list[str]:
@@ -48,10 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor
-    loss, unlike a local checkpoint) and return a DataFrame reading it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    return a DataFrame reading it. The lineage is cut (a lost executor costs
+    a re-read, not a recomputation), the plan runs once (a reliable RDD
+    checkpoint of a DataFrame computes it twice), and the reader carries
+    real size statistics, so later joins against small results broadcast."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tapflow-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapflow.functions import tagged
 from tapflow.model import ROUTE_KEY, SUFFIX_DESTINATION, SUFFIX_INTERMEDIATE, SUFFIX_ORIGIN
-from tapflow.operators.common import sized_broadcast
+from tapflow.operators.common import cut_lineage, sized_broadcast
 from tapflow.operators.od import od_counts, resolve_trips, routes_with_taps, stop_totals
 from tapflow.operators.routes import route_summary, stop_labels, with_positions
 
@@ -121,7 +121,7 @@ def vehicle_trips_boarding(taps: DataFrame, routes: DataFrame, occurrence: str =
     """Per stop occurrence of a route with taps, the sum over dates of
     distinct (vehicle, trip) boarding at its label. Stop occurrences sharing
     a label share the count."""
-    per_day = _distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",))
+    per_day = cut_lineage(_distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",)))
     counts = (per_day.filter(F.col("label").isNotNull())
               .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("bus_count")))
     served = routes.join(per_day.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
@@ -137,7 +137,9 @@ def vehicle_trips_mean(taps: DataFrame, routes: DataFrame, occurrence: str = "od
     taps, with ``unplaced_taps``: taps whose repeated-stop side could not be
     placed because the other end of the ride is not on the route."""
     labelled = tap_labels(taps, routes, occurrence)
-    per_day = _distinct_vehicle_trips(labelled, ("board", "alight"))
+    # The per-day aggregate (routes x dates x labels, small) feeds three
+    # consumers; writing it once means one pass over the taps.
+    per_day = cut_lineage(_distinct_vehicle_trips(labelled, ("board", "alight")))
     per_label = (per_day.filter(F.col("label").isNotNull())
                  .groupBy(*ROUTE_KEY, "date", "label").agg(F.max("n").alias("n"))
                  .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("trips")))

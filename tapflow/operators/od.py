@@ -25,8 +25,9 @@ def od_counts(taps: DataFrame) -> DataFrame:
 
 
 def _stop_seqs(routes: DataFrame) -> DataFrame:
-    # One row per (route, stop, seq); the route is small, so dedupe it there.
-    return sized_broadcast(routes.select(*ROUTE_KEY, "stop", "seq").distinct())
+    # One row per (route, stop, seq): route tables hold one row per stop
+    # occurrence (``routes.unique_occurrences`` enforces it at ingest).
+    return sized_broadcast(routes.select(*ROUTE_KEY, "stop", "seq"))
 
 
 def trips(taps: DataFrame, routes: DataFrame, span: str = "per_seq_pair") -> DataFrame:
@@ -87,13 +88,14 @@ def stop_totals(trips_df: DataFrame, routes: DataFrame) -> DataFrame:
     """A4/A5: boardings (row sums) and alightings (column sums) of the O-D
     matrix at every stop occurrence of the route, zero where nobody boards
     or alights. Adds ``pos`` (W2)."""
-    b = (trips_df.groupBy(*ROUTE_KEY, F.col("source_seq").alias("seq"))
-         .agg(F.sum("pax").alias("boardings")))
-    a = (trips_df.groupBy(*ROUTE_KEY, F.col("destination_seq").alias("seq"))
-         .agg(F.sum("pax").alias("alightings")))
+    zero = F.lit(0).cast("bigint")
+    ends = (trips_df.select(*ROUTE_KEY, F.col("source_seq").alias("seq"), F.col("pax").alias("b"),
+                            zero.alias("a"))
+            .unionByName(trips_df.select(*ROUTE_KEY, F.col("destination_seq").alias("seq"),
+                                         zero.alias("b"), F.col("pax").alias("a"))))
+    both = ends.groupBy(*ROUTE_KEY, "seq").agg(F.sum("b").alias("boardings"), F.sum("a").alias("alightings"))
     return (with_positions(routes)
-            .join(b, [*ROUTE_KEY, "seq"], "left")
-            .join(a, [*ROUTE_KEY, "seq"], "left")
+            .join(both, [*ROUTE_KEY, "seq"], "left")
             .fillna(0, subset=["boardings", "alightings"]))
 
 

@@ -31,8 +31,17 @@ def valid_for(routes: DataFrame, when: date | datetime | str) -> DataFrame:
     return routes.filter((F.col("dt_from") <= d) & (F.col("dt_to") >= d))
 
 
+def unique_occurrences(routes: DataFrame) -> DataFrame:
+    """Ingest check: one row per (service, direction, seq); exact duplicate
+    rows collapse, so a repeated export line cannot double count."""
+    return routes.dropDuplicates([*ROUTE_KEY, "seq"])
+
+
 def with_positions(routes: DataFrame) -> DataFrame:
-    """0-based position of each stop occurrence along its route."""
+    """0-based position of each stop occurrence along its route (kept
+    as is when the table already carries it)."""
+    if "pos" in routes.columns:
+        return routes
     return routes.withColumn("pos", F.row_number().over(_ordered_window()) - 1)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapflow.model import RouteColumns, TapColumns
+from tapflow.operators import cluster as C
+from tapflow.operators import distance as D
 from tapflow.operators import features as FE
 from tapflow.operators import graph as G
 from tapflow.operators import load as L
@@ -52,7 +54,9 @@ def _bind(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     taps = TapColumns().standardise(taps_raw)
     # The route table is a small dimension used many times per plan;
     # persisted once, it is computed once (the cache is keyed by the plan).
-    routes = R.valid_for(RouteColumns().standardise(routes_raw), VALID_DATE).persist()
+    # Positions (W2) are computed here once for every consumer.
+    routes = R.with_positions(R.unique_occurrences(
+        R.valid_for(RouteColumns().standardise(routes_raw), VALID_DATE))).persist()
     return taps, routes
 
 
@@ -292,3 +296,103 @@ def chart_edges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arc-diagram edges with scaled opacity and width."""
     taps, routes = peak_taps(spark, sf_dir)
     return round_doubles(G.edges(OD.trips(taps, routes)))
+
+
+# ---------------------------------------------------------------- clustering
+def _series_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taps, routes = peak_taps(spark, sf_dir)
+    return FE.feature_vectors(FE.stop_series(OD.trips(taps, routes), routes))
+
+
+def _histogram_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taps, routes = peak_taps(spark, sf_dir)
+    return FE.feature_vectors(FE.distance_histogram(OD.trips(taps, routes), routes))
+
+
+def _embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
+        F.col("embedding").cast("array<double>").alias("values"))
+
+
+@register("dtw_distances")
+def dtw_distances_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact DTW between the stop series of every pair of routes."""
+    return round_doubles(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+
+
+@register("distance_matrix")
+def distance_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: the DTW matrix in long form (both orientations and the diagonal)."""
+    return round_doubles(D.mirrored(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw")))
+
+
+@register("ward_merges")
+def ward_merges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward linkage of the DTW distances, with height gaps."""
+    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+    gaps = C.merge_gaps(merges)
+    return round_doubles(merges.join(gaps.select("step", "gap", "suggested_k"), "step")
+                         .select("step", "left", "right", "height", "size", "gap", "suggested_k"))
+
+
+@register("ward_clusters")
+def ward_clusters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: maxclust cuts for k = 5..16."""
+    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+    return C.cut_sweep(merges, range(5, 17))
+
+
+@register("kmeans_sweep")
+def kmeans_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8, M9: k-means (random init, best of 2 seeds) and exact silhouette
+    for k = 2 .. n - 1 over the distance-histogram features."""
+    items = _histogram_items(spark, sf_dir).persist()
+    n = items.count()
+    return round_doubles(C.kmeans_sweep(items, range(2, min(40, n - 1) + 1), restarts=2))
+
+
+@register("cluster_profile")
+def cluster_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means labels for k = 3 and the mean profile per cluster."""
+    items = _histogram_items(spark, sf_dir)
+    model, _ = C.kmeans_best(items, 3, restarts=2)
+    labels = model.transform(items).select("item", F.lit(3).alias("k"), "cluster")
+    return round_doubles(C.cluster_profile(labels, items))
+
+
+@register("pca_features")
+def pca_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred PCA of the distance-histogram features to 3 components."""
+    out = C.pca(_histogram_items(spark, sf_dir), 3)
+    return round_doubles(out.select("service", "direction", *[F.col("pca")[i].alias(f"pc{i + 1}")
+                                                              for i in range(3)]))
+
+
+@register("silhouette_points")
+def silhouette_points_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 exact: per-point silhouette of the embeddings under their labels."""
+    return round_doubles(C.silhouette(_embedding_points(spark, sf_dir), "id", "label", "values"))
+
+
+@register("silhouette_score")
+def silhouette_score_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 exact: mean silhouette of the embeddings under their labels."""
+    return round_doubles(C.silhouette_score(_embedding_points(spark, sf_dir), "id", "label", "values"))
+
+
+@register("kmeans_embeddings")
+def kmeans_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 at larger n: k-means (k = 10, best of 2 seeds) over the embeddings."""
+    from pyspark.ml.functions import array_to_vector
+    pts = _embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values"))
+    model, _ = C.kmeans_best(pts, 10, restarts=2, max_iter=50)
+    return model.transform(pts).select("id", "cluster")
+
+
+@register("pca_embeddings")
+def pca_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 at larger n: centred PCA of the embeddings to 3 components."""
+    from pyspark.ml.functions import array_to_vector
+    pts = _embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values"))
+    return round_doubles(C.pca(pts, 3).select("id", *[F.col("pca")[i].alias(f"pc{i + 1}") for i in range(3)]))

@@ -448,3 +448,31 @@ select service, direction, source, target, round(value, 6) as value,
   round(0.1 + (case when d1 > d0 then (value - d0) / (d1 - d0) else 0.5 end) * 2.9, 6) as width
 from e
 """)
+
+POINTS = """
+pts AS (
+  select cast(vec_id as varchar) as id, cast(label as varchar) as label,
+    cast(embedding as double[]) as v
+  from embeddings),
+sums AS (
+  select p.id, q.label as other_label, sum(list_distance(p.v, q.v)) as s, count(*) as n
+  from pts p, pts q group by all),
+per AS (
+  select s.id, p.label,
+    max(case when s.other_label = p.label then s.s end) as own_sum,
+    max(case when s.other_label = p.label then s.n end) as own_n,
+    min(case when s.other_label != p.label then s.s / s.n end) as b
+  from sums s join pts p on p.id = s.id group by all),
+sil AS (
+  select id, label, case when own_n > 1 then own_sum / (own_n - 1) end as a, b from per),
+sil2 AS (
+  select *, case when a is null or b is null then 0.0 else (b - a) / greatest(a, b) end as silhouette from sil)
+"""
+
+register("silhouette_points", "WITH " + POINTS + """
+select id, label, round(a, 6) as a, round(b, 6) as b, round(silhouette, 6) as silhouette from sil2
+""")
+
+register("silhouette_score", "WITH " + POINTS + """
+select round(avg(silhouette), 6) as silhouette from sil2
+""")
