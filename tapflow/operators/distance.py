@@ -28,7 +28,7 @@ def n_blocks(n: int, block_items: int = BLOCK_ITEMS) -> int:
 
 
 def _blocked(items: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    return items.withColumn("_blk", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(blocks)))
+    return items.withColumn("_blk", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(blocks)).cast("int"))
 
 
 def block_pairs(items: DataFrame, id_col: str, blocks: int, upper: bool):
@@ -36,9 +36,12 @@ def block_pairs(items: DataFrame, id_col: str, blocks: int, upper: bool):
     ``upper`` only block pairs bi <= bj are formed (each unordered item pair
     then meets exactly once); otherwise every ordered block pair is formed."""
     b = _blocked(items, id_col, blocks)
+    # both keys are int on both sides, so matching block pairs meet in one group
     partners = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = b.withColumn("_p", partners).select(F.col("_blk").alias("bi"), F.col("_p").alias("bj"), "*")
-    right = b.withColumn("_p", partners).select(F.col("_p").alias("bi"), F.col("_blk").alias("bj"), "*")
+    left = (b.withColumn("_p", partners)
+            .select(F.col("_blk").alias("bi"), F.col("_p").cast("int").alias("bj"), "*"))
+    right = (b.withColumn("_p", partners)
+             .select(F.col("_p").cast("int").alias("bi"), F.col("_blk").alias("bj"), "*"))
     if upper:
         left = left.filter(F.col("bi") <= F.col("bj"))
         right = right.filter(F.col("bi") <= F.col("bj"))
@@ -77,7 +80,7 @@ def _pair_task(metric: str):
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
+            return _empty_pairs()
         same = key[0] == key[1]
         li, ri = left["id"].astype(str).to_numpy(), right["id"].astype(str).to_numpy()
         ia, ib = np.meshgrid(np.arange(len(li)), np.arange(len(ri)), indexing="ij")
@@ -131,9 +134,15 @@ SUMS_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("
                             T.StructField("dist_sum", T.DoubleType()), T.StructField("n", T.LongType())])
 
 
+def _empty_pairs() -> pd.DataFrame:
+    return pd.DataFrame({"id_a": pd.Series([], dtype=object), "id_b": pd.Series([], dtype=object),
+                         "distance": pd.Series([], dtype="float64")})
+
+
 def _sums_task(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "other_label": [], "dist_sum": [], "n": []})
+        return pd.DataFrame({"id": pd.Series([], dtype=object), "other_label": pd.Series([], dtype=object),
+                             "dist_sum": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
     lv = np.stack([np.asarray(v, dtype=float) for v in left["v"]])
     rv = np.stack([np.asarray(v, dtype=float) for v in right["v"]])
     labels = right["label"].astype(str).to_numpy()

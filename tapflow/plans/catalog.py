@@ -21,7 +21,7 @@ from tapflow.operators import load as L
 from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
-from tapflow.operators.common import round_doubles
+from tapflow.operators.common import cut_lineage, round_doubles
 from tapflow.plans.oracle import VALID_DATE
 from tapflow.sources import fixtures
 
@@ -299,14 +299,16 @@ def chart_edges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- clustering
+# Feature tables have one row per route; they are written once (cut_lineage)
+# because the ML steps read them many times (fits, restarts, transforms).
 def _series_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     taps, routes = peak_taps(spark, sf_dir)
-    return FE.feature_vectors(FE.stop_series(OD.trips(taps, routes), routes))
+    return cut_lineage(FE.feature_vectors(FE.stop_series(OD.trips(taps, routes), routes)))
 
 
 def _histogram_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     taps, routes = peak_taps(spark, sf_dir)
-    return FE.feature_vectors(FE.distance_histogram(OD.trips(taps, routes), routes))
+    return cut_lineage(FE.feature_vectors(FE.distance_histogram(OD.trips(taps, routes), routes)))
 
 
 def _embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +317,11 @@ def _embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("values"))
 
 
+def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    return cut_lineage(_embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values")))
+
+
 @register("dtw_distances")
 def dtw_distances_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact DTW between the stop series of every pair of routes."""
@@ -347,16 +354,16 @@ def ward_clusters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8, M9: k-means (random init, best of 2 seeds) and exact silhouette
     for k = 2 .. n - 1 over the distance-histogram features."""
-    items = _histogram_items(spark, sf_dir).persist()
+    items = _histogram_items(spark, sf_dir)
     n = items.count()
-    return round_doubles(C.kmeans_sweep(items, range(2, min(40, n - 1) + 1), restarts=2))
+    return round_doubles(C.kmeans_sweep(items, range(2, min(40, n - 1) + 1), restarts=2, max_iter=20))
 
 
 @register("cluster_profile")
 def cluster_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-means labels for k = 3 and the mean profile per cluster."""
     items = _histogram_items(spark, sf_dir)
-    model, _ = C.kmeans_best(items, 3, restarts=2)
+    model, _ = C.kmeans_best(items, 3, restarts=2, max_iter=20)
     labels = model.transform(items).select("item", F.lit(3).alias("k"), "cluster")
     return round_doubles(C.cluster_profile(labels, items))
 
@@ -384,15 +391,13 @@ def silhouette_score_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("kmeans_embeddings")
 def kmeans_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 at larger n: k-means (k = 10, best of 2 seeds) over the embeddings."""
-    from pyspark.ml.functions import array_to_vector
-    pts = _embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values"))
-    model, _ = C.kmeans_best(pts, 10, restarts=2, max_iter=50)
+    pts = _embedding_vectors(spark, sf_dir)
+    model, _ = C.kmeans_best(pts, 10, restarts=2, max_iter=20)
     return model.transform(pts).select("id", "cluster")
 
 
 @register("pca_embeddings")
 def pca_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10 at larger n: centred PCA of the embeddings to 3 components."""
-    from pyspark.ml.functions import array_to_vector
-    pts = _embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values"))
+    pts = _embedding_vectors(spark, sf_dir)
     return round_doubles(C.pca(pts, 3).select("id", *[F.col("pca")[i].alias(f"pc{i + 1}") for i in range(3)]))
