@@ -40,12 +40,15 @@ def stop_series(trips_df: DataFrame, routes: DataFrame) -> DataFrame:
     """M1: per route one array<double>: boardings by stop occurrence followed
     by alightings by stop occurrence, L2-normalised over the whole vector (a
     zero vector stays zero). Routes without O-D rows are skipped."""
-    served = routes.join(trips_df.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
-    totals = stop_totals(trips_df, served)
+    # every O-D row has pax >= 1, so a route has O-D rows exactly when its
+    # boardings sum above zero: no second pass over the O-D rows for the keys
+    totals = stop_totals(trips_df, routes)
     return (totals.groupBy(*ROUTE_KEY)
             .agg(_ordered("boardings").alias("_b"), _ordered("alightings").alias("_a"),
                  F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop"))),
-                             lambda s: s["stop"]).alias("stops"))
+                             lambda s: s["stop"]).alias("stops"),
+                 F.sum("boardings").alias("_total"))
+            .filter(F.col("_total") > 0)
             .select(*ROUTE_KEY, "stops",
                     l2_normalise(F.transform(F.concat("_b", "_a"), lambda x: x.cast("double")))
                     .alias("feature")))
@@ -59,24 +62,25 @@ def distance_histogram(trips_df: DataFrame, routes: DataFrame, bins: int = HISTO
     normalised distances, last bin closed). Each half is divided by its own
     maximum. With ``top`` the totals come from the top-k O-D rows (W5)."""
     chosen = top_pairs(trips_df) if top else trips_df
-    served = routes.join(chosen.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
     g = Window.partitionBy(*ROUTE_KEY)
-    totals = (stop_totals(chosen, normalise_km(served))
+    totals = (stop_totals(chosen, normalise_km(routes))
               .withColumn("_lo", F.min("km_norm").over(g))
               .withColumn("_hi", F.max("km_norm").over(g)))
     binned = totals.withColumn("bin", histogram_bin(F.col("km_norm"), F.col("_lo"), F.col("_hi"), bins))
     hist = binned.groupBy(*ROUTE_KEY, "bin").agg(F.sum("boardings").cast("double").alias("b"),
                                                   F.sum("alightings").cast("double").alias("a"))
-    grid = (served.select(*ROUTE_KEY).distinct()
-            .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
-    full = grid.join(hist, [*ROUTE_KEY, "bin"], "left").fillna(0.0, subset=["a", "b"])
-    return (full.groupBy(*ROUTE_KEY)
-            .agg(_ordered_by("bin", "b").alias("_b"), _ordered_by("bin", "a").alias("_a"))
-            .select(*ROUTE_KEY, F.concat(divide_by_max("_b"), divide_by_max("_a")).alias("feature")))
 
+    def dense(col: str) -> F.Column:
+        # zero-filled array over bins 0..bins-1 from the (bin -> value) entries
+        m = F.map_from_entries(F.collect_list(F.struct("bin", col)))
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)),
+                           lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
 
-def _ordered_by(key: str, col: str) -> F.Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda s: s[col])
+    # routes without chosen O-D rows have zero boardings everywhere: dropped
+    return (hist.groupBy(*ROUTE_KEY)
+            .agg(dense("b").alias("_b"), dense("a").alias("_a"), F.sum("b").alias("_total"))
+            .filter(F.col("_total") > 0)
+            .select(*ROUTE_KEY, F.concat(divide_by_max("_b"), divide_by_max("_a")).alias("feature")))
 
 
 def long_form(features: DataFrame, col: str = "feature") -> DataFrame:

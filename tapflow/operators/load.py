@@ -103,14 +103,13 @@ def _distinct_vehicle_trips(labelled: DataFrame, sides: tuple[str, ...]) -> Data
     still counts. Null labels (unplaced sides) are kept as their own group so
     the route key set stays complete; callers drop them. ``taps`` counts the
     rides behind each group."""
-    parts = []
-    for side in sides:
-        col = "board_label" if side == "board" else "alight_label"
-        parts.append(labelled.select(*ROUTE_KEY, "date", F.lit(side).alias("side"),
-                                     F.col(col).alias("label"), "bus", "trip"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    # one pass: each ride yields one row per side (explode, not a union that
+    # would evaluate the labelled rides twice)
+    cols = {"board": "board_label", "alight": "alight_label"}
+    sides_arr = F.array(*[F.struct(F.lit(sd).alias("side"), F.col(cols[sd]).alias("label")) for sd in sides])
+    u = (labelled.select(*ROUTE_KEY, "date", "bus", "trip", F.explode(sides_arr).alias("_s"))
+         .select(*ROUTE_KEY, "date", F.col("_s.side").alias("side"), F.col("_s.label").alias("label"),
+                 "bus", "trip"))
     return (u.groupBy(*ROUTE_KEY, "date", "side", "label", "bus", "trip")
             .agg(F.count(F.lit(1)).alias("taps"))
             .groupBy(*ROUTE_KEY, "date", "side", "label")
@@ -164,8 +163,10 @@ def utilisation_profile(taps: DataFrame, routes: DataFrame, occurrence: str = "o
     od = od_counts(taps)
     served = routes_with_taps(od, routes)
     totals = running_load(stop_totals(resolve_trips(od, served, span), served))
-    labels = stop_labels(served, occurrence).select(*ROUTE_KEY, "seq", "label")
-    buses = vehicle_trips_mean(taps, served, occurrence).select(*ROUTE_KEY, "bus_count")
+    # labels and vehicle counts from the full route table (route-sized, no
+    # dependency on the rides); the join with ``totals`` keeps served routes
+    labels = stop_labels(routes, occurrence).select(*ROUTE_KEY, "seq", "label")
+    buses = vehicle_trips_mean(taps, routes, occurrence).select(*ROUTE_KEY, "bus_count")
     return (totals.join(labels, [*ROUTE_KEY, "seq"])
             .join(buses, list(ROUTE_KEY), "left")
             .select(*ROUTE_KEY, "stop", "label", "pos", "seq", "boardings", "alightings",

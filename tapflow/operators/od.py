@@ -89,10 +89,10 @@ def stop_totals(trips_df: DataFrame, routes: DataFrame) -> DataFrame:
     matrix at every stop occurrence of the route, zero where nobody boards
     or alights. Adds ``pos`` (W2)."""
     zero = F.lit(0).cast("bigint")
-    ends = (trips_df.select(*ROUTE_KEY, F.col("source_seq").alias("seq"), F.col("pax").alias("b"),
-                            zero.alias("a"))
-            .unionByName(trips_df.select(*ROUTE_KEY, F.col("destination_seq").alias("seq"),
-                                         zero.alias("b"), F.col("pax").alias("a"))))
+    # one pass over the O-D rows: each yields its boarding and alighting end
+    end_rows = F.array(F.struct(F.col("source_seq").alias("seq"), F.col("pax").alias("b"), zero.alias("a")),
+                       F.struct(F.col("destination_seq").alias("seq"), zero.alias("b"), F.col("pax").alias("a")))
+    ends = trips_df.select(*ROUTE_KEY, F.explode(end_rows).alias("_e")).select(*ROUTE_KEY, "_e.*")
     both = ends.groupBy(*ROUTE_KEY, "seq").agg(F.sum("b").alias("boardings"), F.sum("a").alias("alightings"))
     return (with_positions(routes)
             .join(both, [*ROUTE_KEY, "seq"], "left")
