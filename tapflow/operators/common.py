@@ -17,7 +17,7 @@ from tapflow.model import ROUTE_KEY
 BROADCAST_MAX_ROWS = 500_000
 
 
-_CHECKED: dict[tuple[int, int, int], bool] = {}
+_CHECKED: dict[tuple[int, str, int, int], bool] = {}
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -27,7 +27,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     (AQE may still switch to broadcast at run time from measured sizes).
     The outcome is remembered per session for the same plan (semantic hash),
     so a dimension used by many queries is checked once."""
-    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    spark = df.sparkSession
+    key = (id(spark), spark.sparkContext.applicationId, df.semanticHash(), max_rows)
     if key not in _CHECKED:
         _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if _CHECKED[key] else df

@@ -36,14 +36,14 @@ def register(name: str):
     return deco
 
 
-_INPUTS: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
+_INPUTS: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(taps, routes) with logical names; routes valid on the analysis date.
     The bound DataFrames (plans, not data) are built once per session and
     directory, so the binding's analysis and size checks are not repeated."""
-    key = (id(spark), sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
         _INPUTS[key] = _bind(spark, sf_dir)
     return _INPUTS[key]
