@@ -2,6 +2,7 @@
 driver tables."""
 
 import numpy as np
+import pyspark.sql.functions as F
 
 from conftest import SF_SMALL
 from tapflow.operators import features as FE
@@ -57,3 +58,25 @@ def test_top_pairs_rule(spark):
     assert any(v > 300 for v in n.values())
     for key, cnt in n.items():
         assert kept[key] == (cnt // 100 if cnt > 300 else min(3, cnt))
+
+
+def test_pipelines_from_files(spark, tmp_dir):
+    from tapflow.model import RouteColumns, TapColumns
+    from tapflow.plans import pipelines
+    taps_raw, routes_raw = fixtures.load(spark, SF_SMALL)
+    taps_raw.write.parquet(f"{tmp_dir}/taps")
+    (routes_raw.select("service", "direction", "BusStopCode", "BusStopSequence", "km",
+                       F.date_format("dt_from", "dd/MM/yyyy").alias("dt_from"),
+                       F.date_format("dt_to", "dd/MM/yyyy").alias("dt_to"))
+     .coalesce(1).write.option("header", True).csv(f"{tmp_dir}/routes"))
+    pipelines.run_from_files(spark, f"{tmp_dir}/taps", f"{tmp_dir}/routes", "2024-01-15", f"{tmp_dir}/out")
+    prof = spark.read.parquet(f"{tmp_dir}/out/utilisation")
+    want = catalog.QUERIES["utilisation_profile"](spark, SF_SMALL)
+    assert sorted(map(tuple, prof.drop("bus_count").collect())) == \
+        sorted(map(tuple, want.select(*prof.drop("bus_count").columns).collect()))
+    feats = spark.read.parquet(f"{tmp_dir}/out/features_v2")
+    assert feats.count() == catalog.QUERIES["distance_histogram"](spark, SF_SMALL) \
+        .select("service", "direction").distinct().count()
+    res = pipelines.clustering(feats, version=2, ks=[2, 3], restarts=1, max_iter=10, out=f"{tmp_dir}/tree")
+    assert res["labels"].count() == 2 * feats.count()
+    assert spark.read.parquet(f"{tmp_dir}/tree/features").count() == 2 * feats.count()
