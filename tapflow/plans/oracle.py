@@ -375,15 +375,59 @@ ft AS (
 """
 
 
-register("stop_series", with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak"), totals_over("trips")) + """
-, vals AS (
+SERIES = """
+vals AS (
   select service, direction, pos as position, boardings as v from ft
   union all
   select service, direction, pos + count(*) over (partition by service, direction), alightings from ft),
-nrm AS (select service, direction, sqrt(sum(v * v)) as nrm from vals group by all)
-select v.service, v.direction, cast(v.position as integer) as position,
-  round(case when n.nrm > 0 then v.v / n.nrm else v.v end, 6) as feature
-from vals v join nrm n on n.service = v.service and n.direction = v.direction
+nrm AS (select service, direction, sqrt(sum(v * v)) as nrm from vals group by all),
+series AS (
+  select v.service, v.direction, cast(v.position as integer) as position,
+    case when n.nrm > 0 then v.v / n.nrm else v.v end as feature
+  from vals v join nrm n on n.service = v.service and n.direction = v.direction)
+"""
+
+SERIES_CTES = (BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak"), totals_over("trips"), SERIES)
+
+register("stop_series", with_ctes(*SERIES_CTES) + """
+select service, direction, position, round(feature, 6) as feature from series
+""")
+
+# Exact DTW (|x - y| point cost) between the stop series of every pair of
+# routes, by anti-diagonals: diagonal k holds D[i][k - i] for i = 0..n and
+# depends only on diagonals k - 1 and k - 2, so each recursion step is one
+# list_transform per pair.
+DTW = """
+items AS (
+  select service || ':' || cast(direction as varchar) as item, list(feature order by position) as v
+  from series group by all),
+pairs AS (
+  select a.item as id_a, b.item as id_b, a.v as x, b.v as y, len(a.v) as n, len(b.v) as m
+  from items a join items b on a.item < b.item),
+dtw AS (
+  select id_a, id_b, x, y, n, m, 1 as k,
+    list_transform(range(0, n + 1), lambda i: 'inf'::double) as d1,
+    list_transform(range(0, n + 1), lambda i: case when i = 0 then 0.0 else 'inf'::double end) as d2
+  from pairs
+  union all
+  select id_a, id_b, x, y, n, m, k + 1,
+    list_transform(range(0, n + 1), lambda i: case when i >= 1 and k + 1 - i between 1 and m
+      then abs(x[i] - y[k + 1 - i]) + least(d1[i], d1[i + 1], d2[i]) else 'inf'::double end),
+    d1
+  from dtw where k < n + m),
+dist AS (select id_a, id_b, d1[n + 1] as distance from dtw where k = n + m)
+"""
+
+register("dtw_distances", with_ctes(*SERIES_CTES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select id_a, id_b, round(distance, 6) as distance from dist
+""")
+
+register("distance_matrix", with_ctes(*SERIES_CTES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select id_a as i, id_b as j, round(distance, 6) as distance from dist
+union all
+select id_b, id_a, round(distance, 6) from dist
+union all
+select item, item, 0.0 from items
 """)
 
 register("distance_histogram",
