@@ -343,6 +343,17 @@ def ward_merges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                          .select("step", "left", "right", "height", "size", "gap", "suggested_k"))
 
 
+@register("ward_heights")
+def ward_heights_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward merge heights and sizes in merge order, with the height
+    gaps and the suggested number of clusters (cluster ids left out, so the
+    result compares with a sequential implementation)."""
+    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+    gaps = C.merge_gaps(merges)
+    return round_doubles(merges.join(gaps.select("step", "gap", "suggested_k"), "step")
+                         .select("step", "height", "size", "gap", "suggested_k"))
+
+
 @register("ward_clusters")
 def ward_clusters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: maxclust cuts for k = 5..16."""

@@ -520,3 +520,69 @@ select id, label, round(a, 6) as a, round(b, 6) as b, round(silhouette, 6) as si
 register("silhouette_score", "WITH " + POINTS + """
 select round(avg(silhouette), 6) as silhouette from sil2
 """)
+
+# Sequential Ward (Lance-Williams) over the DTW pairs: each recursion step
+# merges the closest pair (ties: smaller ids) and rebuilds the pair list.
+WARD = """
+ward AS (
+  select 0 as step,
+    list(struct_pack(d := distance, a := id_a, b := id_b, na := 1::bigint, nb := 1::bigint)) as pairs,
+    []::struct(step integer, height double, size bigint, members varchar[])[] as merged,
+    (select list(struct_pack(id := item, members := [item])) from items) as clusters
+  from dist
+  union all
+  select step + 1,
+    list_concat(
+      list_filter(pairs, lambda p: p.a not in (best.a, best.b) and p.b not in (best.a, best.b)),
+      list_transform(
+        list_distinct(list_transform(
+          list_filter(pairs, lambda p: (p.a = best.a or p.b = best.a) and p.a != best.b and p.b != best.b),
+          lambda p: case when p.a = best.a then struct_pack(v := p.b, nv := p.nb)
+                         else struct_pack(v := p.a, nv := p.na) end)),
+        lambda o: struct_pack(
+          d := sqrt(((o.nv + best.na) * pow(list_filter(pairs, lambda q: (q.a = o.v and q.b = best.a)
+                                                                       or (q.a = best.a and q.b = o.v))[1].d, 2)
+                    + (o.nv + best.nb) * pow(list_filter(pairs, lambda q: (q.a = o.v and q.b = best.b)
+                                                                         or (q.a = best.b and q.b = o.v))[1].d, 2)
+                    - o.nv * pow(best.d, 2)) / (best.na + best.nb + o.nv)),
+          a := 'w' || lpad(cast(step + 1 as varchar), 6, '0'), b := o.v,
+          na := best.na + best.nb, nb := o.nv))),
+    list_append(merged, struct_pack(step := step + 1, height := best.d, size := best.na + best.nb,
+                                    members := list_concat(list_filter(clusters, lambda c: c.id = best.a)[1].members,
+                                                           list_filter(clusters, lambda c: c.id = best.b)[1].members))),
+    list_append(list_filter(clusters, lambda c: c.id not in (best.a, best.b)),
+                struct_pack(id := 'w' || lpad(cast(step + 1 as varchar), 6, '0'),
+                            members := list_concat(list_filter(clusters, lambda c: c.id = best.a)[1].members,
+                                                   list_filter(clusters, lambda c: c.id = best.b)[1].members)))
+  from (select *, list_min(pairs) as best from ward where len(pairs) > 0)),
+heights AS (select unnest(merged, recursive := true) from ward where len(pairs) = 0),
+gaps AS (
+  select *, height - lag(height) over (order by step) as gap, max(step) over () + 1 as n_items from heights),
+best_gap AS (select min(step) as best_step from gaps where gap = (select max(gap) from gaps))
+"""
+
+register("ward_heights", with_ctes(*SERIES_CTES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select step, round(height, 6) as height, size, round(gap, 6) as gap,
+  cast(n_items - best_step + 1 as integer) as suggested_k
+from gaps, best_gap
+""")
+
+# maxclust cuts k = 5..16: keep the n - k lowest merges; an item belongs to
+# the latest kept merge containing it (or stays alone); labels 1..k follow
+# each cluster's smallest item.
+CUTS = """
+mm AS (select step, unnest(members) as item from heights),
+kk AS (select k from range(5, 17) t(k)),
+nitems AS (select count(*) as n from items),
+assign AS (
+  select kk.k, it.item,
+    (select max(mm.step) from mm where mm.item = it.item and mm.step <= (select n from nitems) - kk.k) as gs
+  from kk, items it),
+grp AS (select k, item, coalesce('m' || cast(gs as varchar), item) as grp from assign),
+firsts AS (select k, grp, min(item) as first from grp group by all),
+lab AS (select k, grp, cast(row_number() over (partition by k order by first) as integer) as cluster from firsts)
+"""
+
+register("ward_clusters", with_ctes(*SERIES_CTES, DTW, WARD, CUTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select cast(g.k as integer) as k, g.item, l.cluster from grp g join lab l on l.k = g.k and l.grp = g.grp
+""")
