@@ -32,9 +32,14 @@ from tapflow.sources import sinks
 
 
 def prepared(taps: DataFrame, routes: DataFrame, valid_on: str, days: Iterable[str] | None = WORKING_DAYS,
-             band: tuple[time, time] | None = AM_PEAK) -> tuple[DataFrame, DataFrame]:
+             band: tuple[time, time] | None = AM_PEAK,
+             period: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Bus rides with a route key, optionally on ``days`` and touching
-    ``band``; the routes valid on ``valid_on`` with positions."""
+    ``band``; the routes valid on ``valid_on`` with positions. ``period``
+    (first, last date) adds a predicate on the date partition column so a
+    date-partitioned tap table is pruned at the scan."""
+    if period:
+        taps = T.within_dates(taps, *period)
     rides = T.with_route_key(T.bus_only(taps))
     if days:
         rides = T.in_days_of_week(rides, days)

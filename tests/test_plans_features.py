@@ -80,3 +80,17 @@ def test_pipelines_from_files(spark, tmp_dir):
     res = pipelines.clustering(feats, version=2, ks=[2, 3], restarts=1, max_iter=10, out=f"{tmp_dir}/tree")
     assert res["labels"].count() == 2 * feats.count()
     assert spark.read.parquet(f"{tmp_dir}/tree/features").count() == 2 * feats.count()
+
+
+def test_date_partitions_are_pruned(spark, tmp_dir):
+    from tapflow.plans import pipelines
+    taps_raw, routes_raw = fixtures.load(spark, SF_SMALL)
+    taps_raw.write.partitionBy("Date").parquet(f"{tmp_dir}/taps_by_date")
+    from tapflow.model import RouteColumns
+    taps = readers.read_taps_parquet(spark, f"{tmp_dir}/taps_by_date")
+    routes = RouteColumns().standardise(routes_raw)
+    rides, _ = pipelines.prepared(taps, routes, "2024-01-15", period=("2024-01-08", "2024-01-12"))
+    plan = _plan(rides)
+    assert "PartitionFilters: [isnotnull(Date" in plan and "Date#" in plan
+    dates = {r.date.isoformat() for r in rides.select("date").distinct().collect()}
+    assert dates and min(dates) >= "2024-01-07" and max(dates) <= "2024-01-13"
