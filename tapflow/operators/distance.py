@@ -174,3 +174,53 @@ def distance_sums(points: DataFrame, id_col: str, label_col: str, value_col: str
             .cogroup(right.select("bi", "bj", "label", "v").groupBy("bi", "bj"))
             .applyInPandas(_sums_task, SUMS_SCHEMA))
     return part.groupBy("id", "other_label").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n").alias("n"))
+
+
+MULTI_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("k_index", T.IntegerType()),
+                             T.StructField("other_label", T.StringType()),
+                             T.StructField("dist_sum", T.DoubleType()), T.StructField("n", T.LongType())])
+
+
+def _multi_sums_task(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    if left.empty or right.empty:
+        return pd.DataFrame({"id": pd.Series([], dtype=object), "k_index": pd.Series([], dtype="int32"),
+                             "other_label": pd.Series([], dtype=object),
+                             "dist_sum": pd.Series([], dtype="float64"), "n": pd.Series([], dtype="int64")})
+    lv = np.stack([np.asarray(v, dtype=float) for v in left["v"]])
+    rv = np.stack([np.asarray(v, dtype=float) for v in right["v"]])
+    labels = np.stack([np.asarray(x, dtype=object) for x in right["labels"]]).astype(str)  # (m, K)
+    ids = left["id"].astype(str).to_numpy()
+    groups = [np.unique(labels[:, k], return_inverse=True) for k in range(labels.shape[1])]
+    sums = [np.zeros((len(lv), len(u))) for u, _ in groups]
+    chunk = max(1, 4_000_000 // max(1, rv.size))
+    for s0 in range(0, len(lv), chunk):
+        d = np.sqrt(((lv[s0:s0 + chunk, None, :] - rv[None, :, :]) ** 2).sum(axis=2))
+        for k, (uniq, inv) in enumerate(groups):
+            for u in range(len(uniq)):
+                sums[k][s0:s0 + chunk, u] = d[:, inv == u].sum(axis=1)
+    frames = []
+    for k, (uniq, inv) in enumerate(groups):
+        counts = np.bincount(inv, minlength=len(uniq))
+        frames.append(pd.DataFrame({
+            "id": np.repeat(ids, len(uniq)), "k_index": np.int32(k), "other_label": np.tile(uniq, len(ids)),
+            "dist_sum": sums[k].ravel(), "n": np.tile(counts, len(ids)).astype(np.int64)}))
+    return pd.concat(frames, ignore_index=True)
+
+
+def distance_sums_multi(points: DataFrame, id_col: str, labels_col: str, value_col: str,
+                        blocks: int | None = None) -> DataFrame:
+    """``distance_sums`` for K labellings at once: ``labels_col`` is an array
+    with one label per labelling. Each distance is computed once and added
+    to the sums of every labelling (rows id, k_index, other_label, dist_sum,
+    n), so a sweep over K values of k costs one all-pairs pass, not K."""
+    src = cut_lineage(points.select(F.col(id_col).cast("string").alias("id"),
+                                    F.col(labels_col).cast("array<string>").alias("labels"),
+                                    F.col(value_col).cast("array<double>").alias("v")))
+    if blocks is None:
+        blocks = n_blocks(src.count())
+    left, right = block_pairs(src, "id", blocks, upper=False)
+    part = (left.select("bi", "bj", "id", "v").groupBy("bi", "bj")
+            .cogroup(right.select("bi", "bj", "labels", "v").groupBy("bi", "bj"))
+            .applyInPandas(_multi_sums_task, MULTI_SCHEMA))
+    return (part.groupBy("id", "k_index", "other_label")
+            .agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n").alias("n")))
