@@ -527,7 +527,7 @@ WARD = """
 ward AS (
   select 0 as step,
     list(struct_pack(d := distance, a := id_a, b := id_b, na := 1::bigint, nb := 1::bigint)) as pairs,
-    []::struct(step integer, height double, size bigint, members varchar[])[] as merged,
+    []::struct(step integer, lft varchar, rgt varchar, height double, size bigint, members varchar[])[] as merged,
     (select list(struct_pack(id := item, members := [item])) from items) as clusters
   from dist
   union all
@@ -545,13 +545,15 @@ ward AS (
                     + (o.nv + best.nb) * pow(list_filter(pairs, lambda q: (q.a = o.v and q.b = best.b)
                                                                          or (q.a = best.b and q.b = o.v))[1].d, 2)
                     - o.nv * pow(best.d, 2)) / (best.na + best.nb + o.nv)),
-          a := 'w' || lpad(cast(step + 1 as varchar), 6, '0'), b := o.v,
-          na := best.na + best.nb, nb := o.nv))),
-    list_append(merged, struct_pack(step := step + 1, height := best.d, size := best.na + best.nb,
+          a := least(best.a, o.v), b := greatest(best.a, o.v),
+          na := case when best.a < o.v then best.na + best.nb else o.nv end,
+          nb := case when best.a < o.v then o.nv else best.na + best.nb end))),
+    list_append(merged, struct_pack(step := step + 1, lft := best.a, rgt := best.b, height := best.d,
+                                    size := best.na + best.nb,
                                     members := list_concat(list_filter(clusters, lambda c: c.id = best.a)[1].members,
                                                            list_filter(clusters, lambda c: c.id = best.b)[1].members))),
     list_append(list_filter(clusters, lambda c: c.id not in (best.a, best.b)),
-                struct_pack(id := 'w' || lpad(cast(step + 1 as varchar), 6, '0'),
+                struct_pack(id := best.a,
                             members := list_concat(list_filter(clusters, lambda c: c.id = best.a)[1].members,
                                                    list_filter(clusters, lambda c: c.id = best.b)[1].members)))
   from (select *, list_min(pairs) as best from ward where len(pairs) > 0)),
@@ -586,3 +588,9 @@ lab AS (select k, grp, cast(row_number() over (partition by k order by first) as
 register("ward_clusters", with_ctes(*SERIES_CTES, DTW, WARD, CUTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select cast(g.k as integer) as k, g.item, l.cluster from grp g join lab l on l.k = g.k and l.grp = g.grp
 """)
+
+register("ward_merges", with_ctes(*SERIES_CTES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select step, lft as "left", rgt as "right", round(height, 6) as height, size, round(gap, 6) as gap,
+  cast(n_items - best_step + 1 as integer) as suggested_k
+from gaps, best_gap
+""")
