@@ -29,15 +29,15 @@ def running_load(totals: DataFrame) -> DataFrame:
     return totals.withColumn("load", F.sum(step).over(w))
 
 
-def _lookups(routes: DataFrame):
+def _stop_lookup(routes: DataFrame) -> DataFrame:
+    """Per (route, stop): first position, number of occurrences and the
+    position of the second occurrence (null when served once). Route-sized,
+    broadcast after a size check."""
     pos = with_positions(routes)
-    first_pos = sized_broadcast(pos.groupBy(*ROUTE_KEY, "stop").agg(F.min("pos").alias("first_pos")))
-    reps = sized_broadcast(
+    return sized_broadcast(
         pos.groupBy(*ROUTE_KEY, "stop")
-        .agg(F.count(F.lit(1)).alias("occ"),
-             F.try_element_at(F.array_sort(F.collect_list("pos")), F.lit(2)).alias("second_pos"))
-        .filter(F.col("occ") > 1))
-    return first_pos, reps
+        .agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("occ"),
+             F.try_element_at(F.array_sort(F.collect_list("pos")), F.lit(2)).alias("second_pos")))
 
 
 def tap_labels(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> DataFrame:
@@ -67,19 +67,18 @@ def tap_labels(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> D
                 .drop("_loop_stop"))
     if occurrence != "odi":
         raise ValueError("occurrence must be by_seq, terminal or odi")
-    first_pos, reps = _lookups(routes)
+    lookup = _stop_lookup(routes)
 
-    def rep(alias: str, stop_col: str):
-        return reps.select(*ROUTE_KEY, F.col("stop").alias(stop_col),
-                           F.col("occ").alias(f"{alias}_occ"), F.col("second_pos").alias(f"{alias}_second"))
+    def end(prefix: str, stop_col: str) -> DataFrame:
+        # one lookup per ride end: where that stop first appears, and its repeats
+        return lookup.select(*ROUTE_KEY, F.col("stop").alias(stop_col),
+                             F.col("first_pos").alias(f"{prefix}_first"),
+                             F.when(F.col("occ") > 1, F.col("occ")).alias(f"{prefix}_occ"),
+                             F.col("second_pos").alias(f"{prefix}_second"))
 
-    def fpos(alias: str, stop_col: str):
-        return first_pos.select(*ROUTE_KEY, F.col("stop").alias(stop_col), F.col("first_pos").alias(alias))
-
-    out = (taps.join(rep("b", "source"), [*ROUTE_KEY, "source"], "left")
-           .join(rep("a", "destination"), [*ROUTE_KEY, "destination"], "left")
-           .join(fpos("dst_first", "destination"), [*ROUTE_KEY, "destination"], "left")
-           .join(fpos("src_first", "source"), [*ROUTE_KEY, "source"], "left"))
+    # two broadcast joins, map-side: the rides are never shuffled here
+    out = (taps.join(end("src", "source"), [*ROUTE_KEY, "source"], "left")
+           .join(end("dst", "destination"), [*ROUTE_KEY, "destination"], "left"))
 
     def side(stop: Column, occ: Column, second: Column, other_first: Column,
              twice: str, early: str, late: str) -> Column:
@@ -89,12 +88,12 @@ def tap_labels(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> D
                 .when(other_first <= second, tagged(stop, early))
                 .otherwise(tagged(stop, late)))
 
-    board = side(src, F.col("b_occ"), F.col("b_second"), F.col("dst_first"),
+    board = side(src, F.col("src_occ"), F.col("src_second"), F.col("dst_first"),
                  SUFFIX_ORIGIN, SUFFIX_ORIGIN, SUFFIX_INTERMEDIATE)
-    alight = side(dst, F.col("a_occ"), F.col("a_second"), F.col("src_first"),
+    alight = side(dst, F.col("dst_occ"), F.col("dst_second"), F.col("src_first"),
                   SUFFIX_DESTINATION, SUFFIX_INTERMEDIATE, SUFFIX_DESTINATION)
     return (out.withColumn("board_label", board).withColumn("alight_label", alight)
-            .drop("b_occ", "b_second", "a_occ", "a_second", "dst_first", "src_first"))
+            .drop("src_occ", "src_second", "dst_occ", "dst_second", "dst_first", "src_first"))
 
 
 def _distinct_vehicle_trips(labelled: DataFrame, sides: tuple[str, ...]) -> DataFrame:
