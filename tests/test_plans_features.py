@@ -94,3 +94,16 @@ def test_date_partitions_are_pruned(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(Date" in plan and "Date#" in plan
     dates = {r.date.isoformat() for r in rides.select("date").distinct().collect()}
     assert dates and min(dates) >= "2024-01-07" and max(dates) <= "2024-01-13"
+
+
+def test_clustering_pipeline_v1(spark):
+    from tapflow.plans import pipelines
+    taps, routes = catalog.peak_taps(spark, "/root/testdata/sf0.01")
+    feats = FE.stop_series(OD.trips(taps, routes), routes)
+    res = pipelines.clustering(feats, version=1, ks=[2, 3])
+    n = feats.count()
+    assert res["merges"].count() == n - 1
+    labels = res["labels"].collect()
+    assert len(labels) == 2 * n
+    assert {r.k: len({x.cluster for x in labels if x.k == r.k}) for r in labels} == {2: 2, 3: 3}
+    assert res["profile"].select("k", "cluster").distinct().count() == 5
