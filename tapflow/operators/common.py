@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapflow.model import ROUTE_KEY
 
 # A dimension side is broadcast only when it has at most this many rows. Route
 # tables (every service, direction and stop of a network) are tens of
@@ -34,10 +33,6 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if _CHECKED[key] else df
 
 
-def key_cols(*extra: str) -> list[str]:
-    return [*ROUTE_KEY, *extra]
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Reliable checkpoint directory for lineage cuts. Uses the cluster's
     ``spark.checkpoint.dir``; only a local session without one gets a fresh

@@ -61,7 +61,6 @@ def test_top_pairs_rule(spark):
 
 
 def test_pipelines_from_files(spark, tmp_dir):
-    from tapflow.model import RouteColumns, TapColumns
     from tapflow.plans import pipelines
     taps_raw, routes_raw = fixtures.load(spark, SF_SMALL)
     taps_raw.write.parquet(f"{tmp_dir}/taps")
