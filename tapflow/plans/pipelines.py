@@ -65,12 +65,15 @@ def feature_extraction(taps: DataFrame, routes: DataFrame, valid_on: str, versio
 
 
 def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None = None,
-               restarts: int = 3, max_iter: int = 100, out: str | None = None) -> dict[str, DataFrame]:
+               restarts: int = 3, max_iter: int = 100, out: str | None = None,
+               charts: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """E2 for one stratum. v1: exact DTW between stop series, Ward linkage,
     maxclust cuts (default k = 5..16). v2: k-means sweep (default k =
     2..min(40, n - 1)) with exact silhouettes, and centred PCA to 3
     components. With ``out`` the labels and member features are written as a
-    tree partitioned by k and cluster."""
+    tree partitioned by k and cluster, together with each member route's
+    chart nodes and edges when ``charts`` (from ``chart_tables``) is given
+    (J9: label joined to features, O-D edges and route nodes)."""
     items = cut_lineage(FE.feature_vectors(features))
     result: dict[str, DataFrame] = {}
     if version == 1:
@@ -91,7 +94,11 @@ def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None =
         result.update(labels=labels, pca=C.pca(items, 3))
     result["profile"] = C.cluster_profile(result["labels"], items)
     if out:
-        sinks.write_cluster_tree(result["labels"], out, ("features", items.drop("features")))
+        tables = [("features", items.drop("features"))]
+        if charts:
+            keyed = [t.withColumn("item", F.concat_ws(":", "service", "direction")) for t in charts]
+            tables += [("nodes", keyed[0]), ("edges", keyed[1])]
+        sinks.write_cluster_tree(result["labels"], out, *tables)
     return result
 
 

@@ -95,11 +95,15 @@ def test_date_partitions_are_pruned(spark, tmp_dir):
     assert dates and min(dates) >= "2024-01-07" and max(dates) <= "2024-01-13"
 
 
-def test_clustering_pipeline_v1(spark):
+def test_clustering_pipeline_v1(spark, tmp_dir):
+    from tapflow.operators import graph as G
     from tapflow.plans import pipelines
     taps, routes = catalog.peak_taps(spark, "/root/testdata/sf0.01")
-    feats = FE.stop_series(OD.trips(taps, routes), routes)
-    res = pipelines.clustering(feats, version=1, ks=[2, 3])
+    tr = OD.trips(taps, routes)
+    feats = FE.stop_series(tr, routes)
+    charts = (G.node_degree(G.nodes(routes), G.edges(tr)), G.edges(tr))
+    res = pipelines.clustering(feats, version=1, ks=[2, 3], out=f"{tmp_dir}/tree", charts=charts)
+    assert spark.read.parquet(f"{tmp_dir}/tree/edges").count() == 2 * tr.count()
     n = feats.count()
     assert res["merges"].count() == n - 1
     labels = res["labels"].collect()
