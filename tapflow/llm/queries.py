@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapflow.llm.bpe import encode_texts
+from tapflow.llm.decontamination import scan_documents
 from tapflow.llm.quality import quality_cascade
 from tapflow.llm.secrets import scan_secrets
 from tapflow.llm.simhash import simhash_components
@@ -48,6 +49,39 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
 
 
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+# Words and windows as lists; windows of documents meet those of items as text.
+ORACLE["op6_decontamination"] = r"""
+with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents, letters),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), u, l),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark, letters),
+iw as (select distinct item_id, least(13, len(w)) as size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as t
+       from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct size from iw),
+dw as (select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as t
+       from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes where len(w) >= size)),
+hits as (select doc_id, i, size, item_id from dw join iw using (size, t)),
+hitwords as (select doc_id, count(distinct p) as n_hit
+             from (select doc_id, unnest(range(i, i + size)) as p from hits) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items,
+                 string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s
+          from hits group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(s, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hitwords using (doc_id) left join found using (doc_id)
+"""
+
+
 @register
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the cascade's verdict."""
