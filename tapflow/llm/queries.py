@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tapflow.llm.bpe import encode_texts
 from tapflow.llm.decontamination import scan_documents
+from tapflow.llm.licenses import COPYRIGHT_LINE, SPELLINGS, known_texts, scan_licenses
 from tapflow.llm.quality import quality_cascade
+from tapflow.llm.reputation import MAX_BAD, RHO_MAX, RHO_MIN, Z, judge_urls
 from tapflow.llm.secrets import scan_secrets
 from tapflow.llm.simhash import simhash_components
 
@@ -43,6 +45,63 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans"))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@register
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page url. The labels with the page's id are its
+    outcome: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"),
+                             ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("low")
+
+
+def _level(name: str, groups: str, key: str) -> str:
+    """SQL of one level of shrinkage: ``groups`` has key, n, bad and prior m."""
+    return f"""
+{name}_rho as (select least({RHO_MAX}, greatest({RHO_MIN}, coalesce((s - v) / nullif(w, 0), {RHO_MIN}))) as rho from (
+  select sum(n * (bad / n - m) * (bad / n - m)) as s, sum(m * (1 - m)) as v, sum(m * (1 - m) * (n - 1)) as w
+  from {groups} where n > 0)),
+{name} as (select {key}, (1 / rho - 1) * m + bad as a, (1 / rho - 1) + n as t from {groups}, {name}_rho)"""
+
+
+ORACLE["op2_url_filter"] = rf"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest
+           from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r(verdict, rule) as (values ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'),
+                            ('allow', 'org/fr/')),
+rp as (select *, split_part(rule, '/', 1) as rh, substr(rule, strpos(rule, '/')) as rpath from r),
+fit as (select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+        from p, rp where (host = rh or suffix(host, '.' || rh)) and starts_with(path, rpath)
+        group by page_id, host, path),
+lab as (select doc_id, max(case when quality = 0 or toxic = 1 then 1.0::double else 0 end) as bad from labels group by 1),
+h0 as (select host, cast(count(bad) as double) as n, coalesce(sum(bad), 0) as bad,
+              regexp_replace(host, ':[0-9]*$', '') as bare
+       from p left join lab on page_id = doc_id group by host),
+h1 as (select host, n, bad, case when regexp_matches(bare, '^[0-9.]+$') then bare
+                                 else regexp_extract(bare, '([^.]*\.)?[^.]*$') end as domain,
+              case when regexp_matches(bare, '^[0-9.]+$') then bare else regexp_extract(bare, '[^.]*$') end as suffix
+       from h0),
+d1 as (select domain, suffix, sum(n) as n, sum(bad) as bad from h1 group by 1, 2),
+s1 as (select suffix, sum(n) as n, sum(bad) as bad from d1 group by 1),
+s2 as (select suffix, n, bad, coalesce((select sum(bad) / nullif(sum(n), 0) from s1), 0) as m from s1),
+{_level("s3", "s2", "suffix")},
+d2 as (select domain, d1.suffix, n, bad, a / t as m from d1 join s3 using (suffix)),
+{_level("d3", "d2", "domain, suffix")},
+h2 as (select host, n, bad, a / t as m from h1 join d3 using (domain, suffix)),
+{_level("h3", "h2", "host")},
+low as (select host, a / t - {Z} * sqrt(greatest(a * (t - a), 0) / (t * t * (t + 1))) as low from h3)
+select p.page_id, p.host, p.path, fit.rule,
+       coalesce(fit.verdict, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict
+from p join low using (host) left join fit using (page_id, host, path)
+"""
+
+
 @register
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
@@ -82,6 +141,39 @@ from d left join hitwords using (doc_id) left join found using (doc_id)
 """
 
 
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that documents, or lines of them, are."""
+    return (scan_licenses(table(spark, sf_dir, "documents"))
+            .withColumn("notice_licenses", F.array_join("notice_licenses", ",")))
+
+
+def _canonical(x: str) -> str:
+    """The canonical form of a line, in SQL."""
+    form = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    form = (f"trim(regexp_replace(case when regexp_matches({form}, '{COPYRIGHT_LINE}') then '' else {form} end, "
+            r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))")
+    for pattern, to in SPELLINGS:
+        form = f"regexp_replace({form}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return form
+
+
+ORACLE["op7_license_scan"] = f"""
+with known as (select sha256(f) as h, min(lic) as lic from (
+  select lic, {_canonical("t")} as f from (values {", ".join(
+      "('" + k + "', '" + t.replace("'", "''") + "')" for k, t in known_texts())}) x(lic, t)) group by 1),
+lines as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+                                     lambda x: {_canonical("x")}), lambda y: y <> '') as forms from documents),
+whole as (select doc_id, sha256(array_to_string(forms, ' ')) as text_digest, forms from lines),
+notes as (select doc_id, count(*) as n, string_agg(distinct lic, ',' order by lic) as s
+          from (select doc_id, unnest(list_transform(forms, lambda x: sha256(x))) as h from lines) join known using (h)
+          group by 1)
+select doc_id, known.lic as text_license, text_digest, coalesce(notes.n, 0) as n_notice_lines,
+       coalesce(notes.s, '') as notice_licenses
+from whole left join known on text_digest = known.h left join notes using (doc_id)
+"""
+
+
 @register
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the cascade's verdict."""
