@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapflow.llm.bpe import encode_texts
+from tapflow.llm.chat import format_chats
 from tapflow.llm.decontamination import scan_documents
 from tapflow.llm.licenses import COPYRIGHT_LINE, SPELLINGS, known_texts, scan_licenses
 from tapflow.llm.quality import quality_cascade
@@ -108,6 +109,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), vocabulary_path(), with_ids=False)
 
 
+@register
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired and rendered turns of every conversation."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 @register
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
