@@ -15,10 +15,12 @@ from tapflow.llm.bpe import encode_texts
 from tapflow.llm.chat import format_chats
 from tapflow.llm.decontamination import scan_documents
 from tapflow.llm.licenses import COPYRIGHT_LINE, SPELLINGS, known_texts, scan_licenses
+from tapflow.llm.linededup import MIN_WORDS, dedup_lines
 from tapflow.llm.quality import quality_cascade
 from tapflow.llm.reputation import MAX_BAD, RHO_MAX, RHO_MIN, Z, judge_urls
 from tapflow.llm.secrets import scan_secrets
 from tapflow.llm.simhash import simhash_components
+from tapflow.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,6 +117,39 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+@register
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts=("n_lines", "n_removed"))
+
+
+# The shortest runs of more than 50 words from each line, forwards and
+# backwards, compared as texts.
+ORACLE["op5_line_dedup"] = rf"""
+with l as (select doc_id, i, lines[i] as line, len(regexp_extract_all(lines[i], '[^ 	-
+]+')) as w
+           from (select doc_id, string_split(text, chr(10)) as lines, unnest(range(1, len(lines) + 1)) as i
+                 from documents where text is not null)),
+c as (select *, sum(w) over (partition by doc_id order by i) as upto from l),
+runs as (
+  select a.doc_id, a.i as s, min(b.i) as e from c a join c b on a.doc_id = b.doc_id and b.i >= a.i
+         and b.upto - a.upto + a.w > {MIN_WORDS} where a.w > 0 group by all
+  union
+  select b.doc_id, max(a.i) as s, b.i as e from c a join c b on a.doc_id = b.doc_id and b.i >= a.i
+         and b.upto - a.upto + a.w > {MIN_WORDS} where b.w > 0 group by b.doc_id, b.i),
+t as (select runs.doc_id, s, e, array_to_string(list(line order by i), chr(10)) as t
+      from runs join c on runs.doc_id = c.doc_id and i between s and e group by all),
+gone as (select distinct doc_id, unnest(range(s, e + 1)) as i
+         from (select *, row_number() over (partition by t order by doc_id, s) as k from t) where k > 1)
+select d.doc_id, coalesce(array_to_string(list(line order by c.i) filter (gone.i is null and c.i is not null), chr(10)),
+                          case when d.text is null then null else '' end) as text,
+       count(c.i) as n_lines, count(gone.i) as n_removed
+from documents d left join c on d.doc_id = c.doc_id left join gone on c.doc_id = gone.doc_id and c.i = gone.i
+group by d.doc_id, d.text
+"""
+
+
 @register
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside windows of benchmark items."""
@@ -191,3 +226,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(table(spark, sf_dir, "documents")).drop("fp")
+
+
+@register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
