@@ -225,7 +225,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash_components(table(spark, sf_dir, "documents")).drop("fp")
+    return simhash_components(table(spark, sf_dir, "documents")).drop("fp", "root")
 
 
 @register

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapflow.llm.components import connected_components, group_labels
-from tapflow.llm.text import hash_sample, map_texts
+from tapflow.llm.text import hash_sample, map_texts, strings, text_slices
 from tapflow.operators.common import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -43,6 +43,8 @@ SAMPLE_ROWS = 8192  # fingerprints from which the shared part of the tree is bui
 SHARD_ROWS = 4096  # fingerprints that a shard is meant to hold
 BLOCK_ROWS = 1024  # fingerprints compared directly
 VANTAGES = 6  # candidates tried for each node
+# Ids of rows to drop are broadcast up to this size; above it they are joined by a shuffle.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 32
 
 
 # --- fingerprints ----------------------------------------------------------
@@ -202,8 +204,10 @@ def fingerprint_links(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
 # --- components ------------------------------------------------------------
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
-    """(id, fp, fingerprint, component_id) for every row: the fingerprint as
-    hexadecimal digits and the smallest id reachable over links."""
+    """(id, fp, fingerprint, component_id, root) for every row: the
+    fingerprint as hexadecimal digits, the smallest id reachable over links,
+    and the smallest fingerprint of the component (which tells components
+    apart that share an id)."""
     marked = cut_lineage(fingerprints(df, id_col, text_col, shingle))
     # One row for each distinct fingerprint; copies combine before the shuffle.
     classes = cut_lineage(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
@@ -211,6 +215,46 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    known = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id", "root")
     return (marked.join(known, marked["fp"] == known["class_fp"])
-            .select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+            .select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+                    "root"))
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     shingle: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df``, all columns, that represent their component: the
+    one with its smallest id. Where that id repeats, or a component has no id
+    at all, one of its rows with the least fingerprint and text stays.
+
+    Ids that occur once are settled by id alone; only rows of repeated ids are
+    matched by their fingerprints again."""
+    found = cut_lineage(simhash_components(df, id_col, text_col, shingle, limit))
+    found = found.withColumnRenamed(id_col, "id").withColumn("mine", F.col("id").eqNullSafe(F.col("component_id")))
+    ids = cut_lineage(found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("mine")))
+    gone = ids.filter("n > 1 or not mine").select(F.col("id").alias("gone"))
+    if gone.count() * ID_BYTES <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    kept = df.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    repeated = ids.filter("n > 1 and mine").select(F.col("id").alias("again"))
+    if repeated.isEmpty():
+        return kept
+
+    schema = T.StructType([T.StructField("row", df.schema), T.StructField("again", df.schema[id_col].dataType),
+                           T.StructField("row_text", T.StringType()), T.StructField("row_fp", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                raw = b"".join([fingerprint(t.encode("utf-8"), shingle) for t in strings(part.column(2))])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], [f.name for f in schema])
+
+    chosen = (found.filter("mine").join(repeated, F.col("id").eqNullSafe(F.col("again")), "left_semi")
+              .groupBy("root", "id").agg(F.min("fp").alias("fp")))
+    rows = (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("row_id"),
+                      F.col(text_col).cast("string").alias("row_text"))
+            .join(repeated, F.col("row_id").eqNullSafe(F.col("again")), "left_semi").mapInArrow(run, schema))
+    one = (rows.join(chosen, F.col("again").eqNullSafe(F.col("id")) & (F.col("row_fp") == F.col("fp")))
+           .groupBy("root").agg(F.min_by("row", "row_text").alias("row")))
+    return kept.unionByName(one.select("row.*"))
