@@ -62,12 +62,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _level(name: str, groups: str, key: str) -> str:
-    """SQL of one level of shrinkage: ``groups`` has key, n, bad and prior m."""
+    """SQL of one level of shrinkage: ``groups`` has key, n, bad and the
+    parent's share m and variance pv; the result has share and var."""
     return f"""
-{name}_rho as (select least({RHO_MAX}, greatest({RHO_MIN}, coalesce((s - v) / nullif(w, 0), {RHO_MIN}))) as rho from (
-  select sum(n * (bad / n - m) * (bad / n - m)) as s, sum(m * (1 - m)) as v, sum(m * (1 - m) * (n - 1)) as w
-  from {groups} where n > 0)),
-{name} as (select {key}, (1 / rho - 1) * m + bad as a, (1 / rho - 1) + n as t from {groups}, {name}_rho)"""
+{name}_rho as (select 1 / least({RHO_MAX}, greatest({RHO_MIN}, coalesce((s - v) / nullif(w, 0), {RHO_MIN}))) - 1 as c
+  from (select sum(n * (bad / n - m) * (bad / n - m)) as s, sum(m * (1 - m)) as v, sum(m * (1 - m) * (n - 1)) as w
+        from {groups} where n > 0)),
+{name} as (select {key}, share, share * (1 - share) / (c + n + 1) + pv * (c / (c + n)) * (c / (c + n)) as var
+           from (select *, (c * m + bad) / (c + n) as share from {groups}, {name}_rho))"""
 
 
 ORACLE["op2_url_filter"] = rf"""
@@ -92,13 +94,14 @@ h1 as (select host, n, bad, case when regexp_matches(bare, '^[0-9.]+$') then bar
        from h0),
 d1 as (select domain, suffix, sum(n) as n, sum(bad) as bad from h1 group by 1, 2),
 s1 as (select suffix, sum(n) as n, sum(bad) as bad from d1 group by 1),
-s2 as (select suffix, n, bad, coalesce((select sum(bad) / nullif(sum(n), 0) from s1), 0) as m from s1),
+o as (select coalesce(sum(bad) / nullif(sum(n), 0), 0) as m, sum(n) as total from s1),
+s2 as (select suffix, n, bad, m, m * (1 - m) / (total + 1) as pv from s1, o),
 {_level("s3", "s2", "suffix")},
-d2 as (select domain, d1.suffix, n, bad, a / t as m from d1 join s3 using (suffix)),
+d2 as (select domain, d1.suffix, n, bad, share as m, var as pv from d1 join s3 using (suffix)),
 {_level("d3", "d2", "domain, suffix")},
-h2 as (select host, n, bad, a / t as m from h1 join d3 using (domain, suffix)),
+h2 as (select host, n, bad, share as m, var as pv from h1 join d3 using (domain, suffix)),
 {_level("h3", "h2", "host")},
-low as (select host, a / t - {Z} * sqrt(greatest(a * (t - a), 0) / (t * t * (t + 1))) as low from h3)
+low as (select host, share - {Z} * sqrt(greatest(var, 0)) as low from h3)
 select p.page_id, p.host, p.path, fit.rule,
        coalesce(fit.verdict, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict
 from p join low using (host) left join fit using (page_id, host, path)

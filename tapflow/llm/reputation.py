@@ -4,7 +4,7 @@ Labelled page outcomes (bad or not) are counted for each host. The bad share
 of a host is shrunk through beta-binomial priors: the suffix is shrunk towards
 the overall share, the registered domain towards its suffix, the host towards
 its domain. Each level has one precision, from the spread of its groups around
-their parents by moments. A page is blocked if the lower posterior bound of
+their parents by moments, and a posterior variance that includes its parent's. A page is blocked if the lower posterior bound of
 its host's bad share is above a limit, so little evidence never blocks.
 
 Everything is DataFrame operations. Counts combine before the shuffle; the
@@ -61,17 +61,19 @@ def domain_of(host: Column) -> tuple[Column, Column]:
             F.when(number, bare).otherwise(F.regexp_extract(bare, r"[^.]*$", 0)))
 
 
-def _shrunk(groups: DataFrame, prior: str) -> DataFrame:
-    """``groups`` (n, bad and the prior share) with the posterior ``share`` and
-    the parameters ``alpha``, ``beta`` of its level."""
-    m, n, share = F.col(prior), F.col("n").cast("double"), F.col("bad") / F.col("n")
+def _shrunk(groups: DataFrame) -> DataFrame:
+    """``groups`` (n, bad, and the parent's posterior ``share`` and ``var``)
+    with their own posterior: the beta-binomial mean, and its variance plus
+    what the parent's uncertainty adds to it."""
+    m, n, seen = F.col("share"), F.col("n").cast("double"), F.col("bad") / F.col("n")
     row = groups.filter("n > 0").agg(
-        F.sum(n * (share - m) * (share - m)).alias("s"), F.sum(m * (1 - m)).alias("v"),
+        F.sum(n * (seen - m) * (seen - m)).alias("s"), F.sum(m * (1 - m)).alias("v"),
         F.sum(m * (1 - m) * (n - 1)).alias("w")).first()
     rho = (row["s"] - row["v"]) / row["w"] if row["w"] else RHO_MIN
-    precision = 1 / min(RHO_MAX, max(RHO_MIN, rho)) - 1
-    alpha, total = F.lit(precision) * m + F.col("bad"), F.lit(precision) + n
-    return groups.withColumns({"alpha": alpha, "beta": total - alpha, "share": alpha / total})
+    precision = F.lit(1 / min(RHO_MAX, max(RHO_MIN, rho)) - 1)
+    share, total = (precision * m + F.col("bad")) / (precision + n), precision + n
+    own = share * (1 - share) / (total + 1)
+    return groups.withColumns({"share": share, "var": own + F.col("var") * (precision / total) * (precision / total)})
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, host_col: str = "host", id_col: str = "page_id",
@@ -90,12 +92,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, host_col: str = "host
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
     total = suffixes.agg(*counts).first()
-    overall = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
-    suffixes = _shrunk(suffixes.withColumn("m", F.lit(float(overall))), "m").select("suffix", F.col("share").alias("m"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), "m").select("domain", "suffix", F.col("share").alias("m"))
-    hosts = _shrunk(hosts.join(domains, ["domain", "suffix"]), "m")
-    a, b = F.col("alpha"), F.col("beta")
-    spread = F.lit(z) * F.sqrt(F.greatest(a * b, F.lit(0.0)) / ((a + b) * (a + b) * (a + b + 1)))
+    n = float(total["n"] or 0)
+    overall = float(total["bad"] or 0) / n if n else 0.0
+    suffixes = _shrunk(suffixes.withColumns({"share": F.lit(overall), "var": F.lit(overall * (1 - overall) / (n + 1))}))
+    domains = _shrunk(domains.join(suffixes.select("suffix", "share", "var"), "suffix"))
+    hosts = _shrunk(hosts.join(domains.select("domain", "suffix", "share", "var"), ["domain", "suffix"]))
+    spread = F.lit(z) * F.sqrt(F.greatest(F.col("var"), F.lit(0.0)))
     return hosts.select("host", "n", "bad", "share", (F.col("share") - spread).alias("low"),
                         (F.col("share") + spread).alias("high"))
 

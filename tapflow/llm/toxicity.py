@@ -13,8 +13,8 @@ has. Only whole documents are labelled, so training picks the windows: those
 that score highest so far, from toxic and from clean documents. Log odds that
 a training document sees are counted on the other folds.
 
-Defined results: a null or empty text, or one without words, scores as one
-window without evidence; repeated rows score equally; without labelled rows of
+Defined results: a null or empty text, or one without words, scores 0 where a
+model could be trained; repeated rows score equally; without labelled rows of
 both classes every score is the share of toxic labels (0 without labels); an
 empty table gives no rows.
 """
@@ -36,7 +36,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 GRAMS = (3, 4, 5, 6)  # bytes, with marks at both ends of the word
 ODDS_BITS, EMBED_BITS, EMBED = 17, 12, 4
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 10_000
 FOLDS, EPOCHS, STEPS, BATCH = 4, 6, 100, 96  # STEPS: least number of steps in an epoch
 THRESHOLD = 0.3
 WORD_CACHE = 200_000  # words of a task whose inputs are remembered
@@ -62,7 +62,7 @@ def hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.full(len(at), n, np.uint32)
         for k in range(n):
             h = h * np.uint32(0x01000193) ^ buf[at + k]
-        owner.append(word[at])
+        owner.append(word[at].astype(np.int32))
         grams.append(scramble(h))
     whole = np.zeros(len(words), np.uint32)
     powers = np.multiply.accumulate(np.concatenate([[1], np.full(int(sizes.max(initial=1)), 0x01000193)]).astype(np.uint32))
@@ -127,6 +127,7 @@ def score_windows(p, gates: np.ndarray, ids: np.ndarray, first: np.ndarray, size
             rows = todo[at:at + 2048]
             where = first[rows] + (steps if full else np.minimum(steps, np.maximum(size[rows] - 1, 0)))
             mask = None if full else (steps < size[rows]).astype(np.float32)
+            where = np.minimum(where, len(ids) - 1)  # a text without words, all masked
             g = gates[ids[where]] if len(ids) else np.zeros((WINDOW, len(rows), 2 * half), np.float32)
             out[rows] = logits_of_gates(p, g[:, :, :half], g[:, :, half:], mask)
     return out
@@ -145,7 +146,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
     hashed = hash_words(list(vocab))
     whole, owner, grams = hashed
     ptr = np.searchsorted(np.sort(owner), np.arange(len(vocab) + 1))
-    by_word = np.argsort(owner, kind="stable")
+    by_word = np.argsort(owner, kind="stable").astype(np.int32)
     low = np.uint32((1 << ODDS_BITS) - 1)
 
     # Document counts by fold and class, of words and of n-grams.
@@ -189,9 +190,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> dict:
 
     def batch_inputs(rows: np.ndarray):
         steps = np.arange(WINDOW)[:, None]
-        where = first[rows] + np.minimum(steps, np.maximum(size[rows] - 1, 0))
+        where = np.minimum(first[rows] + np.minimum(steps, np.maximum(size[rows] - 1, 0)), len(flat) - 1)
         mask = (steps < size[rows]).astype(np.float32)
-        w = flat[np.minimum(where, len(flat) - 1)]
+        w = flat[where]
         u, inverse = np.unique(w, return_inverse=True)
         spans = np.concatenate([by_word[ptr[k]:ptr[k + 1]] for k in u])
         per = ptr[u + 1] - ptr[u]
@@ -286,7 +287,7 @@ class Scorer:
         logit = score_windows(m["p"], self.gates, ids, (np.cumsum(sizes) - sizes)[doc] + start, size)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, logit)
-        return np.clip(sigmoid(m["scale"] * best + m["shift"]), 0.0, 1.0)
+        return np.where(sizes > 0, np.clip(sigmoid(m["scale"] * best + m["shift"]), 0.0, 1.0), 0.0)
 
 
 # --- on DataFrames ---------------------------------------------------------
