@@ -7,6 +7,14 @@ clusterings and chart tables come out. Every operator is a function from
 DataFrame(s) to DataFrame that works on all services and directions at once.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from tapflow.model import ROUTE_KEY, RouteColumns, TapColumns
 
+# Pair kernels travel inside the task closures, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["ROUTE_KEY", "RouteColumns", "TapColumns"]

@@ -51,6 +51,11 @@ def operational_weekday(c: Column | str) -> Column:
     return F.weekday(shifted)
 
 
+def operational_date(c: Column | str) -> Column:
+    """The operational day of a timestamp (before 03:00: the day before)."""
+    return F.to_date(_c(c) - F.expr(f"INTERVAL {OPERATIONAL_DAY_START_HOUR} HOURS"))
+
+
 def weekday_numbers(days) -> list[int]:
     """Day names to weekday numbers (0 = Monday); unknown names raise."""
     lookup = {name.lower(): i for i, name in enumerate(WEEKDAYS)}

@@ -22,10 +22,9 @@ ROUTE_KEY = ("service", "direction")
 # ---------------------------------------------------------------------------
 # Weekday names accepted by the operational-weekday filter, Monday first.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-# The working-day set and the two peak bands the analyses use.
+# The working-day set and the peak band the analyses use.
 WORKING_DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 AM_PEAK = (time(7, 30), time(9, 30))
-PM_PEAK = (time(17, 0), time(20, 0))
 # A ride before 03:00 belongs to the previous operational day.
 OPERATIONAL_DAY_START_HOUR = 3
 # Stop codes are zero padded to five characters.

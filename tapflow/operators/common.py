@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,27 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# A dimension side is broadcast only when it has at most this many rows. Route
-# tables (every service, direction and stop of a network) are tens of
-# thousands of rows; the bound keeps a broadcast under roughly 50 MB.
-BROADCAST_MAX_ROWS = 500_000
+# A lookup side is broadcast only if Spark's size estimate of its plan, an
+# upper bound from the sizes of the files it reads, is within this.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-_CHECKED: dict[tuple[int, str, int, int], bool] = {}
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after checking it holds at most
-    ``max_rows`` rows. The check reads at most ``max_rows + 1`` rows; above
-    the bound the plain DataFrame is returned and Spark plans a shuffle join
-    (AQE may still switch to broadcast at run time from measured sizes).
-    The outcome is remembered per session for the same plan (semantic hash),
-    so a dimension used by many queries is checked once."""
-    spark = df.sparkSession
-    key = (id(spark), spark.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _CHECKED:
-        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _CHECKED[key] else df
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if its plan's size estimate is at most
+    ``max_bytes``; otherwise return it as it is, for a shuffle join (which AQE
+    may still turn into a broadcast from measured sizes). No job is run, and
+    nothing is remembered between calls."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -50,19 +42,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_TABLES: dict[str, tuple[SparkSession, str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     return a DataFrame reading it. The lineage is cut (a lost executor costs
     a re-read, not a recomputation), the plan runs once (a reliable RDD
     checkpoint of a DataFrame computes it twice), and the reader carries
-    real size statistics, so later joins against small results broadcast."""
+    real size statistics, so later joins against small results broadcast.
+    The tables of a session are removed by ``drop_tables``, at the latest
+    when the driver's Python exits."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tapflow-tables/{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(drop_tables)
+    _TABLES[path] = (spark, path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_tables() -> None:
+    """Remove all tables that ``cut_lineage`` wrote, once the results that
+    read them have been written."""
+    while _TABLES:
+        spark, path = _TABLES.popitem()[1]
+        try:
+            sc = spark.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; its folder is the cluster's to clean
+            return
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (presentation for comparisons)."""
     cols = [F.round(F.col(f.name), places).alias(f.name) if f.dataType.typeName() == "double"

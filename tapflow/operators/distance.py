@@ -4,8 +4,8 @@ pair sums behind the exact silhouette M9).
 All-pairs work is split into blocks: items are hashed into ``B`` blocks, each
 item row is replicated to the ``B`` block pairs it takes part in, and every
 block pair is one task (``cogroup`` + ``applyInPandas``) that evaluates its
-distances with NumPy. Rows shuffled grow as n x B, not n^2, and no task sees
-more than two blocks; ``B`` grows with n so that blocks keep a fixed size."""
+distances with NumPy. Rows shuffled are n x B, that is n^2 / 256 where ``B``
+grows with n, and no task sees more than two blocks."""
 
 from __future__ import annotations
 
@@ -19,12 +19,23 @@ from pyspark.sql import types as T
 
 from tapflow.operators.common import cut_lineage
 
-# Items per block: a block pair holds at most 2 x this many vectors.
+# Items per block at most, on average (blocks are hash blocks); fewer where
+# the cores would otherwise be idle.
 BLOCK_ITEMS = 256
+MIN_BLOCK_ITEMS = 16
+# Bytes of one temporary of a pair task.
+TASK_BYTES = 32 << 20
 
 
-def n_blocks(n: int, block_items: int = BLOCK_ITEMS) -> int:
-    return max(1, math.ceil(n / block_items))
+def n_blocks(n: int, block_items: int = BLOCK_ITEMS, cores: int = 1) -> int:
+    """Blocks for ``n`` items: enough for ``block_items`` in each and, while
+    blocks hold ``MIN_BLOCK_ITEMS``, for two block pairs on every core."""
+    for_cores = math.ceil(math.sqrt(4 * cores))
+    return max(1, math.ceil(n / block_items), min(for_cores, n // MIN_BLOCK_ITEMS))
+
+
+def _blocks_for(src: DataFrame) -> int:
+    return n_blocks(src.count(), cores=src.sparkSession.sparkContext.defaultParallelism)
 
 
 def _blocked(items: DataFrame, id_col: str, blocks: int) -> DataFrame:
@@ -75,6 +86,13 @@ PAIR_SCHEMA = T.StructType([T.StructField("id_a", T.StringType()), T.StructField
                             T.StructField("distance", T.DoubleType())])
 
 
+def _by_length(values: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, stacked vectors) for each vector length."""
+    rows = [np.asarray(v, dtype=float) for v in values]
+    sizes = np.array([len(v) for v in rows])
+    return [(at, np.stack([rows[i] for i in at])) for n in np.unique(sizes) for at in [np.flatnonzero(sizes == n)]]
+
+
 def _pair_task(metric: str):
     kernel = KERNELS[metric]
 
@@ -83,22 +101,20 @@ def _pair_task(metric: str):
             return _empty_pairs()
         same = key[0] == key[1]
         li, ri = left["id"].astype(str).to_numpy(), right["id"].astype(str).to_numpy()
-        ia, ib = np.meshgrid(np.arange(len(li)), np.arange(len(ri)), indexing="ij")
-        ia, ib = ia.ravel(), ib.ravel()
-        keep = li[ia] < ri[ib] if same else li[ia] != ri[ib]
-        ia, ib = ia[keep], ib[keep]
-        lv = [np.asarray(v, dtype=float) for v in left["v"]]
-        rv = [np.asarray(v, dtype=float) for v in right["v"]]
-        dist = np.empty(len(ia))
-        lens = np.array([len(lv[a]) * 100_003 + len(rv[b]) for a, b in zip(ia, ib)], dtype=np.int64)
-        for shape in np.unique(lens):  # equal-length pairs are evaluated together
-            sel = np.nonzero(lens == shape)[0]
-            x = np.stack([lv[ia[s]] for s in sel])
-            y = np.stack([rv[ib[s]] for s in sel])
-            dist[sel] = kernel(x, y)
-        a, b = li[ia], ri[ib]
-        lo, hi = np.where(a < b, a, b), np.where(a < b, b, a)
-        return pd.DataFrame({"id_a": lo, "id_b": hi, "distance": dist})
+        out = []
+        for la, x in _by_length(left["v"]):
+            for rb, y in _by_length(right["v"]):
+                # pairs of equal lengths are evaluated together, a bounded chunk of rows at a time
+                chunk = max(1, TASK_BYTES // (8 * len(rb) * max(1, x.shape[1] + y.shape[1])))
+                for at in range(0, len(la), chunk):
+                    ia, ib = np.meshgrid(np.arange(at, min(len(la), at + chunk)), np.arange(len(rb)), indexing="ij")
+                    a, b = li[la[ia.ravel()]], ri[rb[ib.ravel()]]
+                    keep = a < b if same else a != b
+                    ia, ib, a, b = ia.ravel()[keep], ib.ravel()[keep], a[keep], b[keep]
+                    if len(ia):
+                        out.append(pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a),
+                                                 "distance": kernel(x[ia], y[ib])}))
+        return pd.concat(out, ignore_index=True) if out else _empty_pairs()
 
     return run
 
@@ -106,8 +122,8 @@ def _pair_task(metric: str):
 def pairwise(items: DataFrame, id_col: str, value_col: str, metric: str = "dtw",
              blocks: int | None = None) -> DataFrame:
     """M4 (``dtw``) or Euclidean distances for every unordered item pair:
-    (id_a, id_b, distance) with id_a < id_b. ``blocks`` defaults to one per
-    ``BLOCK_ITEMS`` items (one count job)."""
+    (id_a, id_b, distance) with id_a < id_b. ``blocks`` defaults to
+    ``n_blocks`` of the items and cores (one count job)."""
     if metric not in KERNELS:
         raise ValueError(f"metric must be one of {sorted(KERNELS)}")
     # the item table (n rows) is materialised once: both block sides and the
@@ -115,7 +131,7 @@ def pairwise(items: DataFrame, id_col: str, value_col: str, metric: str = "dtw",
     src = cut_lineage(items.select(F.col(id_col).cast("string").alias("id"),
                                    F.col(value_col).cast("array<double>").alias("v")))
     if blocks is None:
-        blocks = n_blocks(src.count())
+        blocks = _blocks_for(src)
     left, right = block_pairs(src, "id", blocks, upper=True)
     return (left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
             .applyInPandas(_pair_task(metric), PAIR_SCHEMA))
@@ -148,11 +164,12 @@ def _sums_task(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     labels = right["label"].astype(str).to_numpy()
     uniq, inv = np.unique(labels, return_inverse=True)
     out_sum = np.zeros((len(lv), len(uniq)))
-    chunk = max(1, 4_000_000 // max(1, rv.size))  # bound the (chunk, m, d) temporary
+    member = np.zeros((len(rv), len(uniq)))
+    member[np.arange(len(rv)), inv] = 1.0
+    chunk = max(1, TASK_BYTES // (8 * max(1, rv.size)))  # bound the (chunk, m, d) temporary
     for s in range(0, len(lv), chunk):
         d = np.sqrt(((lv[s:s + chunk, None, :] - rv[None, :, :]) ** 2).sum(axis=2))
-        for u in range(len(uniq)):
-            out_sum[s:s + chunk, u] = d[:, inv == u].sum(axis=1)
+        out_sum[s:s + chunk] = d @ member
     counts = np.bincount(inv, minlength=len(uniq))
     ids = left["id"].astype(str).to_numpy()
     return pd.DataFrame({"id": np.repeat(ids, len(uniq)), "other_label": np.tile(uniq, len(ids)),
@@ -168,7 +185,7 @@ def distance_sums(points: DataFrame, id_col: str, label_col: str, value_col: str
                                     F.col(label_col).cast("string").alias("label"),
                                     F.col(value_col).cast("array<double>").alias("v")))
     if blocks is None:
-        blocks = n_blocks(src.count())
+        blocks = _blocks_for(src)
     left, right = block_pairs(src, "id", blocks, upper=False)
     part = (left.select("bi", "bj", "id", "v").groupBy("bi", "bj")
             .cogroup(right.select("bi", "bj", "label", "v").groupBy("bi", "bj"))
@@ -192,12 +209,12 @@ def _multi_sums_task(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFra
     ids = left["id"].astype(str).to_numpy()
     groups = [np.unique(labels[:, k], return_inverse=True) for k in range(labels.shape[1])]
     sums = [np.zeros((len(lv), len(u))) for u, _ in groups]
-    chunk = max(1, 4_000_000 // max(1, rv.size))
+    members = [(np.arange(len(u))[None, :] == inv[:, None]).astype(float) for u, inv in groups]
+    chunk = max(1, TASK_BYTES // (8 * max(1, rv.size)))
     for s0 in range(0, len(lv), chunk):
         d = np.sqrt(((lv[s0:s0 + chunk, None, :] - rv[None, :, :]) ** 2).sum(axis=2))
-        for k, (uniq, inv) in enumerate(groups):
-            for u in range(len(uniq)):
-                sums[k][s0:s0 + chunk, u] = d[:, inv == u].sum(axis=1)
+        for k, member in enumerate(members):
+            sums[k][s0:s0 + chunk] = d @ member
     frames = []
     for k, (uniq, inv) in enumerate(groups):
         counts = np.bincount(inv, minlength=len(uniq))
@@ -217,7 +234,7 @@ def distance_sums_multi(points: DataFrame, id_col: str, labels_col: str, value_c
                                     F.col(labels_col).cast("array<string>").alias("labels"),
                                     F.col(value_col).cast("array<double>").alias("v")))
     if blocks is None:
-        blocks = n_blocks(src.count())
+        blocks = _blocks_for(src)
     left, right = block_pairs(src, "id", blocks, upper=False)
     part = (left.select("bi", "bj", "id", "v").groupBy("bi", "bj")
             .cogroup(right.select("bi", "bj", "labels", "v").groupBy("bi", "bj"))

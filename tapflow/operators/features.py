@@ -60,10 +60,13 @@ def distance_histogram(trips_df: DataFrame, routes: DataFrame, bins: int = HISTO
     then the alighting totals, as weighted histograms over the stop distance
     normalised by the last stop's distance (W3, A10; range = [min, max] of the
     normalised distances, last bin closed). Each half is divided by its own
-    maximum. With ``top`` the totals come from the top-k O-D rows (W5)."""
+    maximum. With ``top`` the totals come from the top-k O-D rows (W5). A route
+    with a stop whose normalised distance is missing has no feature
+    (``routes.without_distance`` lists those); other routes are unaffected."""
     chosen = top_pairs(trips_df) if top else trips_df
     g = Window.partitionBy(*ROUTE_KEY)
     totals = (stop_totals(chosen, normalise_km(routes))
+              .withColumn("_missing", F.count_if(F.col("km_norm").isNull()).over(g)).filter("_missing = 0")
               .withColumn("_lo", F.min("km_norm").over(g))
               .withColumn("_hi", F.max("km_norm").over(g)))
     binned = totals.withColumn("bin", histogram_bin(F.col("km_norm"), F.col("_lo"), F.col("_hi"), bins))

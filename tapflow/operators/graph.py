@@ -39,3 +39,14 @@ def node_degree(nodes_df: DataFrame, edges_df: DataFrame) -> DataFrame:
             .join(in_deg, [*ROUTE_KEY, "index"], "left")
             .withColumn("degree", F.coalesce("_o", F.lit(0)) + F.coalesce("_i", F.lit(0)))
             .drop("_o", "_i"))
+
+
+def served_node_degree(routes: DataFrame, trips_df: DataFrame) -> DataFrame:
+    """M12 + A14 of the routes that have O-D rows: nodes with their degree.
+    Both ends of an O-D row are counted in one pass, and the degrees of a
+    route travel as one map, so the O-D rows are referenced once."""
+    degree = (trips_df.select(*ROUTE_KEY, F.explode(F.array("source_seq", "destination_seq")).alias("index"))
+              .groupBy(*ROUTE_KEY, "index").agg(F.count(F.lit(1)).alias("d"))
+              .groupBy(*ROUTE_KEY).agg(F.map_from_entries(F.collect_list(F.struct("index", "d"))).alias("_m")))
+    return (nodes(routes).join(degree, list(ROUTE_KEY))
+            .withColumn("degree", F.coalesce(F.try_element_at("_m", F.col("index")), F.lit(0).cast("bigint"))).drop("_m"))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tapflow.functions import tagged
 from tapflow.model import ROUTE_KEY, SUFFIX_DESTINATION, SUFFIX_INTERMEDIATE, SUFFIX_ORIGIN
-from tapflow.operators.common import cut_lineage, sized_broadcast
-from tapflow.operators.od import od_counts, resolve_trips, routes_with_taps, stop_totals
+from tapflow.operators.common import sized_broadcast
+from tapflow.operators.od import od_counts, served_totals
 from tapflow.operators.routes import route_summary, stop_labels, with_positions
 
 
@@ -115,17 +115,22 @@ def _distinct_vehicle_trips(labelled: DataFrame, sides: tuple[str, ...]) -> Data
             .agg(F.count(F.lit(1)).alias("n"), F.sum("taps").alias("taps")))
 
 
+def _label_map(per_label: DataFrame, value: str, *others: F.Column) -> DataFrame:
+    """One row per route with rides: ``_m``, the map from label to ``value``
+    (bounded by the route's stops), and further aggregates."""
+    entry = F.when(F.col("label").isNotNull(), F.struct("label", value))
+    return per_label.groupBy(*ROUTE_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"), *others)
+
+
 def vehicle_trips_boarding(taps: DataFrame, routes: DataFrame, occurrence: str = "terminal") -> DataFrame:
     """Per stop occurrence of a route with taps, the sum over dates of
     distinct (vehicle, trip) boarding at its label. Stop occurrences sharing
-    a label share the count."""
-    per_day = cut_lineage(_distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",)))
-    counts = (per_day.filter(F.col("label").isNotNull())
-              .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("bus_count")))
-    served = routes.join(per_day.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
-    return (stop_labels(served, occurrence)
-            .join(counts, [*ROUTE_KEY, "label"], "left")
-            .fillna(0, subset=["bus_count"]))
+    a label share the count. The rides are referenced once."""
+    per_label = (_distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",))
+                 .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("n")))
+    return (stop_labels(routes, occurrence).join(_label_map(per_label, "n"), list(ROUTE_KEY))
+            .withColumn("bus_count", F.coalesce(F.try_element_at("_m", F.col("label")), F.lit(0).cast("bigint")))
+            .drop("_m"))
 
 
 def vehicle_trips_mean(taps: DataFrame, routes: DataFrame, occurrence: str = "odi") -> DataFrame:
@@ -133,37 +138,28 @@ def vehicle_trips_mean(taps: DataFrame, routes: DataFrame, occurrence: str = "od
     boarding and alighting there, summed over dates, then averaged over all
     stop occurrences of the route (zeros included). One row per route with
     taps, with ``unplaced_taps``: taps whose repeated-stop side could not be
-    placed because the other end of the ride is not on the route."""
-    labelled = tap_labels(taps, routes, occurrence)
-    # The per-day aggregate (routes x dates x labels, small) feeds three
-    # consumers; writing it once means one pass over the taps.
-    per_day = cut_lineage(_distinct_vehicle_trips(labelled, ("board", "alight")))
-    per_label = (per_day.filter(F.col("label").isNotNull())
-                 .groupBy(*ROUTE_KEY, "date", "label").agg(F.max("n").alias("n"))
-                 .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("trips")))
-    served = routes.join(per_day.select(*ROUTE_KEY).distinct(), list(ROUTE_KEY), "left_semi")
+    placed because the other end of the ride is not on the route. The rides
+    are referenced once."""
+    per_day = _distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board", "alight"))
     # A tap can lack a side label on one end only (a null boarding label
     # needs the alighting stop off the route and vice versa), so summing the
     # null-label groups of both sides counts each such tap once.
-    unplaced = (per_day.filter(F.col("label").isNull())
-                .groupBy(*ROUTE_KEY).agg(F.sum("taps").alias("unplaced_taps")))
-    return (stop_labels(served, occurrence).join(per_label, [*ROUTE_KEY, "label"], "left")
-            .groupBy(*ROUTE_KEY)
-            .agg(F.avg(F.coalesce(F.col("trips"), F.lit(0))).alias("bus_count"))
-            .join(unplaced, list(ROUTE_KEY), "left")
-            .fillna(0, subset=["unplaced_taps"]))
+    per_label = (per_day.groupBy(*ROUTE_KEY, "date", "label").agg(F.max("n").alias("n"), F.sum("taps").alias("taps"))
+                 .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("trips"), F.sum("taps").alias("taps")))
+    maps = _label_map(per_label, "trips", F.sum(F.when(F.col("label").isNull(), F.col("taps")).otherwise(0))
+                      .alias("unplaced_taps"))
+    trips = F.coalesce(F.try_element_at("_m", F.col("label")), F.lit(0).cast("bigint"))
+    return (stop_labels(routes, occurrence).join(maps, list(ROUTE_KEY)).groupBy(*ROUTE_KEY)
+            .agg(F.avg(trips).alias("bus_count"), F.max("unplaced_taps").alias("unplaced_taps")))
 
 
 def utilisation_profile(taps: DataFrame, routes: DataFrame, occurrence: str = "odi",
                         span: str = "per_seq_pair") -> DataFrame:
     """Per route with taps and per stop occurrence: label, 0-based
     position, boardings, alightings, running load and the route's mean
-    vehicle-trip count (A9)."""
-    od = od_counts(taps)
-    served = routes_with_taps(od, routes)
-    totals = running_load(stop_totals(resolve_trips(od, served, span), served))
-    # labels and vehicle counts from the full route table (route-sized, no
-    # dependency on the rides); the join with ``totals`` keeps served routes
+    vehicle-trip count (A9). The rides are referenced twice: for the O-D
+    counts and for the vehicle trips."""
+    totals = running_load(served_totals(od_counts(taps), routes, span))
     labels = stop_labels(routes, occurrence).select(*ROUTE_KEY, "seq", "label")
     buses = vehicle_trips_mean(taps, routes, occurrence).select(*ROUTE_KEY, "bus_count")
     return (totals.join(labels, [*ROUTE_KEY, "seq"])

@@ -3,7 +3,8 @@
 The tap table is aggregated to O-D counts first (A1: partial + final hash
 aggregate, so a hot service is combined map-side); only that small result is
 joined to the stop sequences of the routes, which are broadcast after a size
-check."""
+check. ``served_totals`` and ``served_matrix_rows`` take the O-D counts alone
+and know from them which routes have rides, so a result scans the rides once."""
 
 from __future__ import annotations
 
@@ -25,8 +26,6 @@ def od_counts(taps: DataFrame) -> DataFrame:
 
 
 def _stop_seqs(routes: DataFrame) -> DataFrame:
-    # One row per (route, stop, seq): route tables hold one row per stop
-    # occurrence (``routes.unique_occurrences`` enforces it at ingest).
     return sized_broadcast(routes.select(*ROUTE_KEY, "stop", "seq"))
 
 
@@ -70,6 +69,67 @@ def pairs_per_route(trips_df: DataFrame) -> DataFrame:
     return trips_df.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy(*ROUTE_KEY)))
 
 
+def pair_counts(trips_df: DataFrame) -> DataFrame:
+    """A15 as one row for each service-direction."""
+    return trips_df.groupBy(*ROUTE_KEY).agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def _resolved(od: DataFrame, routes: DataFrame, span: str) -> DataFrame:
+    """O-D counts with their sequence pairs; O-D rows that resolve to no
+    forward pair stay, with null sequences, so the set of service-directions
+    that have rides is still in the result."""
+    stops = _stop_seqs(routes)
+    src = stops.select(*ROUTE_KEY, F.col("stop").alias("source"), F.col("seq").alias("source_seq"))
+    dst = stops.select(*ROUTE_KEY, F.col("stop").alias("destination"), F.col("seq").alias("destination_seq"))
+    joined = od.join(src, [*ROUTE_KEY, "source"], "left").join(dst, [*ROUTE_KEY, "destination"], "left")
+    forward = F.coalesce(F.col("destination_seq") > F.col("source_seq"), F.lit(False))
+    joined = joined.select(*ROUTE_KEY, "source", "destination", "pax",
+                           F.when(forward, F.col("source_seq")).alias("source_seq"),
+                           F.when(forward, F.col("destination_seq")).alias("destination_seq"))
+    if span == "per_od":
+        w = (Window.partitionBy(*ROUTE_KEY, "source", "destination")
+             .orderBy((F.col("destination_seq") - F.col("source_seq")).asc_nulls_last(), "source_seq"))
+        joined = joined.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return joined
+
+
+def served_totals(od: DataFrame, routes: DataFrame, span: str = "per_seq_pair") -> DataFrame:
+    """J5 + A4/A5: ``stop_totals`` of the routes that have rides, from the O-D
+    counts, which are referenced once. The totals of a route travel as one
+    map by sequence (bounded by the route's length); the join with the routes
+    keeps those that have a map, an empty one included."""
+    if span not in SPANS:
+        raise ValueError(f"span must be one of {SPANS}")
+    zero = F.lit(0).cast("bigint")
+    ends = F.array(F.struct(F.col("source_seq").alias("seq"), F.col("pax").alias("b"), zero.alias("a")),
+                   F.struct(F.col("destination_seq").alias("seq"), zero.alias("b"), F.col("pax").alias("a")))
+    both = (_resolved(od, routes, span).select(*ROUTE_KEY, F.explode(ends).alias("_e")).select(*ROUTE_KEY, "_e.*")
+            .groupBy(*ROUTE_KEY, "seq").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
+    entry = F.when(F.col("seq").isNotNull(), F.struct("seq", F.struct("b", "a")))
+    maps = both.groupBy(*ROUTE_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    at = F.try_element_at("_m", F.col("seq"))
+    return (with_positions(routes).join(maps, list(ROUTE_KEY))
+            .withColumns({"boardings": F.coalesce(at["b"], zero), "alightings": F.coalesce(at["a"], zero)}).drop("_m"))
+
+
+def served_matrix_rows(od: DataFrame, routes: DataFrame, span: str = "per_seq_pair") -> DataFrame:
+    """J5 + J10/A3: ``od_matrix_rows`` of the routes that have rides, from the
+    O-D counts, which are referenced once."""
+    cells = (_resolved(od, routes, span).groupBy(*ROUTE_KEY, "source_seq", "destination_seq")
+             .agg(F.sum("pax").alias("pax"))
+             .groupBy(*ROUTE_KEY, F.col("source_seq").alias("seq"))
+             .agg(F.collect_list(F.when(F.col("destination_seq").isNotNull(), F.struct("destination_seq", "pax"))).alias("to")))
+    entry = F.when(F.col("seq").isNotNull(), F.struct("seq", F.map_from_entries("to")))
+    maps = cells.groupBy(*ROUTE_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    zero = F.lit(0).cast("bigint")
+    seqs = F.array_sort(F.collect_list("seq").over(Window.partitionBy(*ROUTE_KEY)))
+    return (with_positions(routes).withColumn("_seqs", seqs).join(maps, list(ROUTE_KEY))
+            .withColumn("_row", F.try_element_at("_m", F.col("seq")))
+            .withColumn("pax_to", F.transform("_seqs", lambda s: F.coalesce(F.try_element_at(F.col("_row"), s), zero)))
+            .withColumn("boardings", F.aggregate("pax_to", zero, lambda acc, x: acc + x))
+            .drop("_seqs", "_m", "_row"))
+
+
 def routes_with_taps(taps: DataFrame, routes: DataFrame) -> DataFrame:
     """J5 (semi): the route rows of service-directions that have taps. Pass
     an aggregate of the taps (e.g. ``od_counts``) rather than raw taps when

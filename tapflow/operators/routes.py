@@ -22,7 +22,8 @@ def _route_window() -> Window:
 
 
 def _ordered_window() -> Window:
-    return Window.partitionBy(*ROUTE_KEY).orderBy("seq")
+    # stop and validity break ties of overlapping route versions
+    return Window.partitionBy(*ROUTE_KEY).orderBy("seq", "dt_from", "stop", "km")
 
 
 def valid_for(routes: DataFrame, when: date | datetime | str) -> DataFrame:
@@ -32,9 +33,17 @@ def valid_for(routes: DataFrame, when: date | datetime | str) -> DataFrame:
 
 
 def unique_occurrences(routes: DataFrame) -> DataFrame:
-    """Ingest check: one row per (service, direction, seq); exact duplicate
-    rows collapse, so a repeated export line cannot double count."""
-    return routes.dropDuplicates([*ROUTE_KEY, "seq"])
+    """Ingest check: exact duplicate rows collapse, so a repeated export line
+    cannot double count. Rows that differ in anything are kept, also where
+    versions overlap (``conflicting_occurrences`` lists those)."""
+    return routes.dropDuplicates()
+
+
+def conflicting_occurrences(routes: DataFrame) -> DataFrame:
+    """Occurrences (service, direction, seq) with several different rows, and
+    how many: overlapping versions of a route, or a faulty export."""
+    return (unique_occurrences(routes).groupBy(*ROUTE_KEY, "seq").agg(F.count(F.lit(1)).alias("versions"))
+            .filter("versions > 1"))
 
 
 def with_positions(routes: DataFrame) -> DataFrame:
@@ -46,9 +55,17 @@ def with_positions(routes: DataFrame) -> DataFrame:
 
 
 def normalise_km(routes: DataFrame) -> DataFrame:
-    """Km divided by the km of the last stop (``km_norm``)."""
+    """Km divided by the km of the last stop (``km_norm``); null where km
+    is null, or the last km is null or zero."""
     last_km = F.max_by("km", "seq").over(_route_window())
-    return routes.withColumn("km_norm", F.col("km") / last_km)
+    return routes.withColumn("km_norm", F.try_divide(F.col("km"), last_km))
+
+
+def without_distance(routes: DataFrame) -> DataFrame:
+    """Routes that have no distance feature, with the number of stops whose
+    normalised km is missing (a null km, or a last km of zero)."""
+    return (normalise_km(routes).groupBy(*ROUTE_KEY)
+            .agg(F.count_if(F.col("km_norm").isNull()).alias("missing")).filter("missing > 0"))
 
 
 def route_summary(routes: DataFrame) -> DataFrame:

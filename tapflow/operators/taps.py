@@ -9,7 +9,7 @@ from typing import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapflow.functions import in_band, operational_weekday, weekday_numbers
+from tapflow.functions import in_band, operational_date, operational_weekday, weekday_numbers
 from tapflow.model import AM_PEAK, ROUTE_KEY, WORKING_DAYS
 
 
@@ -38,12 +38,13 @@ def within_time_range(taps: DataFrame, start: time | str = AM_PEAK[0],
 
 
 def within_dates(taps: DataFrame, first: str, last: str, slack_days: int = 1) -> DataFrame:
-    """Date-range predicate on the partition column ``date`` so a scan of
-    date-partitioned taps prunes partitions; ``slack_days`` keeps rides that
-    the 03:00 rule moves to a neighbouring day."""
-    lo = F.date_sub(F.to_date(F.lit(first)), slack_days)
-    hi = F.date_add(F.to_date(F.lit(last)), slack_days)
-    return taps.filter(F.col("date").between(lo, hi))
+    """Rides of the operational days from ``first`` to ``last`` (a ride before
+    03:00 belongs to the day before). A range on the partition column ``date``,
+    wider by ``slack_days``, comes first, so a scan of date-partitioned taps
+    prunes partitions."""
+    first, last = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    near = F.col("date").between(F.date_sub(first, slack_days), F.date_add(last, slack_days))
+    return taps.filter(near).filter(operational_date("tap_in").between(first, last))
 
 
 def for_service(df: DataFrame, service: str, direction: int) -> DataFrame:

@@ -22,8 +22,9 @@ from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
 from tapflow.operators.common import cut_lineage, round_doubles
-from tapflow.plans.oracle import VALID_DATE
+from tapflow.plans.oracle import STRATA, VALID_DATE
 from tapflow.sources import fixtures
+from tapflow.sources.readers import clean_routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,27 +37,12 @@ def register(name: str):
     return deco
 
 
-_INPUTS: dict[tuple[int, str, str], tuple[DataFrame, DataFrame]] = {}
-
-
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(taps, routes) with logical names; routes valid on the analysis date.
-    The bound DataFrames (plans, not data) are built once per session and
-    directory, so the binding's analysis and size checks are not repeated."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _INPUTS:
-        _INPUTS[key] = _bind(spark, sf_dir)
-    return _INPUTS[key]
-
-
-def _bind(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(taps, routes) with logical names; routes valid on the analysis date,
+    with positions (W2). Plans only: nothing is read, cached or remembered."""
     taps_raw, routes_raw = fixtures.load(spark, sf_dir)
     taps = TapColumns().standardise(taps_raw)
-    # The route table is a small dimension used many times per plan;
-    # persisted once, it is computed once (the cache is keyed by the plan).
-    # Positions (W2) are computed here once for every consumer.
-    routes = R.with_positions(R.unique_occurrences(
-        R.valid_for(RouteColumns().standardise(routes_raw), VALID_DATE))).persist()
+    routes = R.with_positions(R.unique_occurrences(R.valid_for(RouteColumns().standardise(routes_raw), VALID_DATE)))
     return taps, routes
 
 
@@ -74,9 +60,7 @@ def peak_taps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def running_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: running on-board load per service, direction and stop."""
     taps, routes = bus_taps(spark, sf_dir)
-    od = OD.od_counts(taps)
-    served = OD.routes_with_taps(od, routes)
-    totals = OD.stop_totals(OD.resolve_trips(od, served), served)
+    totals = OD.served_totals(OD.od_counts(taps), routes)
     return (L.running_load(totals)
             .select("service", "direction", "stop", "pos", "seq", "boardings", "alightings", "load"))
 
@@ -89,9 +73,6 @@ def _join_ints(c: str) -> F.Column:
     return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
 
 
-STRATA = {"non_loop": ["S0", "S2", "S4"], "loop": ["S1", "S3"]}
-
-
 @register("bus_taps")
 def bus_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bus rides with a route key, logical names
@@ -116,14 +97,13 @@ def peak_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def service_directions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct service-directions of the peak rides,
     kept when allow-listed, split into loop / non-loop strata, flagged when
-    the route table has them (semi/anti join)."""
+    the route table has them (one left join to the distinct route keys)."""
     taps, routes = peak_taps(spark, sf_dir)
     keys = T.assign_stratum(T.allow_listed(T.service_directions(taps), STRATA["non_loop"] + STRATA["loop"]),
                             STRATA)
-    with_route = keys.join(routes, ["service", "direction"], "left_semi").withColumn("has_route", F.lit(True))
-    without = OD.keys_without_route(keys, routes).join(keys, ["service", "direction"]) \
-        .withColumn("has_route", F.lit(False))
-    return with_route.unionByName(without).select("service", "direction", "stratum", "has_route")
+    known = routes.select("service", "direction").distinct().withColumn("known", F.lit(True))
+    return (keys.join(known, ["service", "direction"], "left")
+            .select("service", "direction", "stratum", F.col("known").isNotNull().alias("has_route")))
 
 
 @register("distinct_dates")
@@ -211,16 +191,14 @@ def trips_per_od_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_per_route_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-D rows per service-direction."""
     taps, routes = bus_taps(spark, sf_dir)
-    return OD.pairs_per_route(OD.trips(taps, routes)).select("service", "direction", "n_pairs").distinct()
+    return OD.pair_counts(OD.trips(taps, routes))
 
 
 @register("od_matrix")
 def od_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense O-D matrix rows (zero-filled) per route with taps."""
     taps, routes = bus_taps(spark, sf_dir)
-    od = OD.od_counts(taps)
-    served = OD.routes_with_taps(od, routes)
-    return (OD.od_matrix_rows(OD.resolve_trips(od, served), served)
+    return (OD.served_matrix_rows(OD.od_counts(taps), routes)
             .select("service", "direction", "seq", "pos", _join_ints("pax_to").alias("pax_to"), "boardings"))
 
 
@@ -286,9 +264,7 @@ def distance_histogram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_nodes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arc-diagram nodes with their degree."""
     taps, routes = peak_taps(spark, sf_dir)
-    tr = OD.trips(taps, routes)
-    served = OD.routes_with_taps(tr, routes)
-    return round_doubles(G.node_degree(G.nodes(served), G.edges(tr)))
+    return round_doubles(G.served_node_degree(routes, OD.trips(taps, routes)))
 
 
 @register("chart_edges")
@@ -302,7 +278,7 @@ def chart_edges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Feature tables have one row per route; they are written once (cut_lineage)
 # because the ML steps read them many times (fits, restarts, transforms).
 def _series_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taps, routes = peak_taps(spark, sf_dir)
+    taps, routes = bus_taps(spark, sf_dir)
     return cut_lineage(FE.feature_vectors(FE.stop_series(OD.trips(taps, routes), routes)))
 
 
@@ -361,24 +337,93 @@ def ward_clusters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cut_sweep(merges, range(5, 17))
 
 
+@register("cluster_charts")
+def cluster_charts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward labels at k = 5 joined to the features, the O-D rows and the
+    route stops of each member."""
+    taps, routes = bus_taps(spark, sf_dir)
+    tr = OD.trips(taps, routes)
+    items = _series_items(spark, sf_dir)
+    labels = C.cut(C.ward_linkage(D.pairwise(items, "item", "values", "dtw")), 5)
+    stops = routes.select("service", "direction", "seq", "stop")
+    return (labels.join(items.select("item", "service", "direction", F.size("values").alias("n_values")), "item")
+            .join(tr, ["service", "direction"])
+            .join(stops.withColumnRenamed("seq", "source_seq").withColumnRenamed("stop", "from_stop"),
+                  ["service", "direction", "source_seq"])
+            .join(stops.withColumnRenamed("seq", "destination_seq").withColumnRenamed("stop", "to_stop"),
+                  ["service", "direction", "destination_seq"])
+            .select("item", "cluster", "n_values", F.col("source_seq").alias("source"),
+                    F.col("destination_seq").alias("target"), "from_stop", "to_stop", F.col("pax").alias("rides")))
+
+
 @register("kmeans_sweep")
 def kmeans_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8, M9: k-means (random init, best of 2 seeds) and exact silhouette
-    for k = 2 .. n - 1 over the distance-histogram features."""
-    items = _histogram_items(spark, sf_dir)
-    n = items.count()
-    return round_doubles(C.kmeans_sweep(items, range(2, min(40, n - 1) + 1), restarts=2, max_iter=20))
+    """M8, M9: per stratum, k-means (random init, one seed, to convergence)
+    and exact silhouette for k = 2..40 over the distance-histogram features;
+    cost and silhouette are null for a k above the stratum's items."""
+    items = cut_lineage(T.assign_stratum(_histogram_items(spark, sf_dir), STRATA))
+    out = []
+    for stratum in STRATA:
+        part = items.filter(F.col("stratum") == stratum)
+        n = part.count()
+        wanted = spark.range(2, 41).select(F.lit(stratum).alias("stratum"), F.col("id").cast("int").alias("k"),
+                                           F.lit(n).cast("bigint").alias("n_items"))
+        if n < 2:
+            out.append(wanted.withColumns({c: F.lit(None).cast("double") for c in ("cost", "silhouette")}))
+            continue
+        sweep, _ = C.kmeans_sweep(part, range(2, min(40, n) + 1), restarts=1)
+        out.append(wanted.join(sweep, "k", "left").select("stratum", "k", "n_items", "cost", "silhouette"))
+    return round_doubles(out[0].unionByName(out[1]))
 
 
 @register("cluster_profile")
 def cluster_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-means labels for k = 3 and the mean profile per cluster."""
     items = _histogram_items(spark, sf_dir)
-    model, _ = C.kmeans_best(items, 3, restarts=2, max_iter=20)
+    model, _ = C.kmeans_best(items, 3, restarts=2)
     labels = model.transform(items).select("item", F.lit(3).alias("k"), "cluster")
     return round_doubles(C.cluster_profile(labels, items))
 
 
+@register("embedding_profile")
+def embedding_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and mean vector of each given label of the embeddings."""
+    items = _embedding_points(spark, sf_dir).withColumnRenamed("id", "item")
+    labels = items.select("item", F.lit(0).alias("k"), F.col("label").alias("cluster"))
+    return round_doubles(C.cluster_profile(labels, items))
+
+
+@register("service_rides")
+def service_rides_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rides of one service-direction."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return T.for_service(taps, "S0", 1).select("journey_id", "source", "destination", "bus")
+
+
+@register("service_route")
+def service_route_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the route rows of one service-direction."""
+    _, routes = inputs(spark, sf_dir)
+    return round_doubles(T.for_service(routes, "S3", 2).select("stop", "seq", "km"))
+
+
+@register("route_cleaning")
+def route_cleaning_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route table as an export writes it (padded names, stop
+    codes without leading zeros, dates as text), cleaned."""
+    _, raw = fixtures.load(spark, sf_dir)
+    text = raw.select(
+        F.concat(F.lit("  "), "service", F.lit(" ")).alias("service"), F.col("direction").cast("string").alias("direction"),
+        F.col("BusStopCode").cast("bigint").cast("string").alias("BusStopCode"),
+        F.col("BusStopSequence").cast("string").alias("BusStopSequence"),
+        F.coalesce(F.col("km").cast("string"), F.lit("n/a")).alias("km"),
+        F.date_format("dt_from", "dd/MM/yyyy").alias("dt_from"),
+        F.when(F.col("BusStopSequence") == 2, F.lit("31/02/2024")).otherwise(F.date_format("dt_to", "dd/MM/yyyy"))
+        .alias("dt_to"))
+    return round_doubles(clean_routes(text).withColumns({"dt_from": F.col("dt_from").cast("string"),
+                                                         "dt_to": F.col("dt_to").cast("string")}))
+
+
 @register("pca_features")
 def pca_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred PCA of the distance-histogram features to 3 components."""
@@ -403,7 +448,7 @@ def silhouette_score_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 at larger n: k-means (k = 10, best of 2 seeds) over the embeddings."""
     pts = _embedding_vectors(spark, sf_dir)
-    model, _ = C.kmeans_best(pts, 10, restarts=2, max_iter=20)
+    model, _ = C.kmeans_best(pts, 10, restarts=2)
     return model.transform(pts).select("id", "cluster")
 
 

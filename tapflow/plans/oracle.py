@@ -10,29 +10,40 @@ from __future__ import annotations
 
 VALID_DATE = "2024-01-15"
 
+# Allow-lists as an analysis gives them: 204 services by name, without those
+# whose number ends in 7, in two strata.
+LISTED = [k for k in range(204) if k % 10 != 7]
+STRATA = {"non_loop": [f"S{k}" for k in LISTED if k % 5 in (0, 2, 4)],
+          "loop": [f"S{k}" for k in LISTED if k % 5 in (1, 3)]}
+
 BINDING = """
 routes AS (
-  with svc as (select k, 40 - 4*k as n from (values (0),(1),(2),(3),(4)) t(k)),
+  with keys as (select p_partkey // 40 as k, p_partkey % 40 + 1 as pos, p_size from part),
   base as (
-    select s.k, s.n, p.p_partkey - 40*s.k + 1 as pos, p.p_partkey, p.p_size
-    from part p join svc s on p.p_partkey >= 40*s.k and p.p_partkey < 40*s.k + s.n),
+    select k, k % 5 as s, case when k % 11 = 5 then 12 else 40 - 4 * (k % 5) end as n,
+      case when k % 11 = 5 then 100.0 else 10.0 end::double as per_km, pos,
+      case when k % 13 = 8 and pos = 3 then null when k % 17 = 9 then 0 else p_size end as size
+    from keys where pos <= case when k % 11 = 5 then 12 else 40 - 4 * (k % 5) end),
   dirs as (
-    select k, n, 1 as direction, pos as seq, pos, p_size from base
-    union all select k, n, 2, n + 1 - pos, pos, p_size from base)
+    select *, 1 as direction, pos as seq from base
+    union all select *, 2, n + 1 - pos from base),
+  codes as (
+    select *, cast(40 * k + (case when s in (1, 3) and pos = n then 1 when s = 3 and pos = 14 then 1
+                                  when s = 4 and pos = 9 then 4 else pos end) - 1 as varchar) as code,
+      sum(size) over (partition by k, direction order by seq) as total from dirs)
   select 'S' || cast(k as varchar) as service, direction,
-    lpad(cast(40*k + (case when k in (1,3) and pos = n then 1
-                           when k = 3 and pos = 14 then 1
-                           when k = 4 and pos = 9 then 4 else pos end) - 1 as varchar), 5, '0') as "BusStopCode",
-    seq as "BusStopSequence",
-    cast(sum(p_size) over (partition by k, direction order by seq) as double) / 10 as km,
-    date '2024-01-01' as dt_from, date '2024-01-31' as dt_to
-  from dirs),
+    case when length(code) < 5 then lpad(code, 5, '0') else code end as "BusStopCode",
+    seq as "BusStopSequence", case when size is not null then cast(total as double) / per_km end as km,
+    case when k % 7 = 6 then date '2023-01-01' else date '2024-01-01' end as dt_from,
+    case when k % 7 = 6 then date '2023-12-31' else date '2024-01-31' end as dt_to
+  from codes),
 taps AS (
   with e as (
-    select *, case when user_id % 3 = 0 then user_id % 5 else 0 end as k,
+    select *, case when event_id % 3 = 0 then 0
+        else (user_id * 7 + event_id // 5) % ((select max(p_partkey) // 40 + 1 from part) + 1) end as k,
       case when event_id % 331 = 0 then null else 1 + event_id % 2 end as direction,
       1 + (event_id * 17) % 43 as sq from events),
-  f as (select *, sq + 1 + cast(floor(value) as bigint) % 15 - 3 as dq, 40 - 4*k as n from e)
+  f as (select *, sq + 1 + cast(floor(value) as bigint) % 15 - 3 as dq from e)
   select f.event_id as "JOURNEY_ID", 'S' || cast(f.k as varchar) as "Srvc_Number",
     cast(f.direction as integer) as "Direction",
     coalesce(a."BusStopCode", '99999') as "BOARDING_STOP_STN",
@@ -155,12 +166,14 @@ select journey_id, service, direction, cast(isodow(tap_in - interval 3 hour) - 1
 from peak
 """)
 
-register("service_directions", with_ctes(BUS, PEAK, ROUTES) + """
+NON_LOOP, LOOP = (", ".join(f"'{x}'" for x in STRATA[s]) for s in ("non_loop", "loop"))
+
+register("service_directions", with_ctes(BUS, PEAK, ROUTES) + f"""
 select k.service, k.direction,
-  case when k.service in ('S0', 'S2', 'S4') then 'non_loop' else 'loop' end as stratum,
+  case when k.service in ({NON_LOOP}) then 'non_loop' else 'loop' end as stratum,
   exists (select 1 from r where r.service = k.service and r.direction = k.direction) as has_route
 from (select distinct service, direction from peak) k
-where k.service in ('S0', 'S2', 'S4', 'S1', 'S3')
+where k.service in ({NON_LOOP}, {LOOP})
 """)
 
 register("distinct_dates", with_ctes(BUS) + """
@@ -184,10 +197,10 @@ from r
 """)
 
 register("route_summary", with_ctes(ROUTES) + """
-select service, direction, count(*) as n_stops, round(arg_max(km, seq), 6) as route_km,
+select service, direction, count(*) as n_stops, round(arg_max_null(km, seq), 6) as route_km,
   arg_min(stop, seq) as first_stop, arg_max(stop, seq) as last_stop,
   arg_min(stop, seq) = arg_max(stop, seq) as is_loop,
-  not (arg_max(km, seq) < 12 and count(*) < 20) as kept
+  not (arg_max_null(km, seq) < 12 and count(*) < 20) as kept
 from r group by service, direction
 """)
 
@@ -363,7 +376,8 @@ def totals_over(trips_cte: str) -> str:
 tr AS (select * from {trips_cte}),
 sv AS (
   select r.*, cast(row_number() over (partition by service, direction order by seq) - 1 as integer) as pos,
-    km / arg_max(km, seq) over (partition by service, direction) as km_norm
+    km / nullif(last_value(km) over (partition by service, direction order by seq
+      rows between unbounded preceding and unbounded following), 0) as km_norm
   from r where exists (select 1 from tr where tr.service = r.service and tr.direction = r.direction)),
 fb AS (select service, direction, source_seq as seq, sum(pax) as boardings from tr group by all),
 fa AS (select service, direction, destination_seq as seq, sum(pax) as alightings from tr group by all),
@@ -393,6 +407,9 @@ register("stop_series", with_ctes(*SERIES_CTES) + """
 select service, direction, position, round(feature, 6) as feature from series
 """)
 
+# The clustered series come from the rides of the whole day.
+DAY_SERIES = (BUS, ROUTES, ALL_ROUTES, trips("bus"), totals_over("trips"), SERIES)
+
 # Exact DTW (|x - y| point cost) between the stop series of every pair of
 # routes, by anti-diagonals: diagonal k holds D[i][k - i] for i = 0..n and
 # depends only on diagonals k - 1 and k - 2, so each recursion step is one
@@ -418,11 +435,11 @@ dtw AS (
 dist AS (select id_a, id_b, d1[n + 1] as distance from dtw where k = n + m)
 """
 
-register("dtw_distances", with_ctes(*SERIES_CTES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+register("dtw_distances", with_ctes(*DAY_SERIES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select id_a, id_b, round(distance, 6) as distance from dist
 """)
 
-register("distance_matrix", with_ctes(*SERIES_CTES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+register("distance_matrix", with_ctes(*DAY_SERIES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select id_a as i, id_b as j, round(distance, 6) as distance from dist
 union all
 select id_b, id_a, round(distance, 6) from dist
@@ -432,10 +449,11 @@ select item, item, 0.0 from items
 
 register("distance_histogram",
          with_ctes(BUS, PEAK, ROUTES, ALL_ROUTES, trips("peak"), TOP, totals_over("top")) + """
-, h AS (
+, whole AS (select service, direction from ft group by all having count(*) = count(km_norm)),
+h AS (
   select ft.*, min(km_norm) over (partition by service, direction) as lo0,
     max(km_norm) over (partition by service, direction) as hi0
-  from ft),
+  from ft semi join whole using (service, direction)),
 h2 AS (
   select *, case when hi0 > lo0 then lo0 else lo0 - 0.5 end as lo,
     case when hi0 > lo0 then hi0 else hi0 + 0.5 end as hi
@@ -456,7 +474,7 @@ hist AS (
   select service, direction, bin, sum(boardings) as b, sum(alightings) as a from h5 group by all),
 grid AS (
   select k.service, k.direction, b.bin
-  from (select distinct service, direction from ft) k, range(0, 10) b(bin)),
+  from whole k, range(0, 10) b(bin)),
 full_h AS (
   select g.service, g.direction, g.bin, cast(coalesce(h.b, 0) as double) as b,
     cast(coalesce(h.a, 0) as double) as a
@@ -510,7 +528,7 @@ per AS (
 sil AS (
   select id, label, case when own_n > 1 then own_sum / (own_n - 1) end as a, b from per),
 sil2 AS (
-  select *, case when a is null or b is null then 0.0 else (b - a) / greatest(a, b) end as silhouette from sil)
+  select *, case when a is null or b is null then 0.0 else coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) end as silhouette from sil)
 """
 
 register("silhouette_points", "WITH " + POINTS + """
@@ -563,7 +581,7 @@ gaps AS (
 best_gap AS (select min(step) as best_step from gaps where gap = (select max(gap) from gaps))
 """
 
-register("ward_heights", with_ctes(*SERIES_CTES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
+register("ward_heights", with_ctes(*DAY_SERIES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select step, round(height, 6) as height, size, round(gap, 6) as gap,
   cast(n_items - best_step + 1 as integer) as suggested_k
 from gaps, best_gap
@@ -585,12 +603,42 @@ firsts AS (select k, grp, min(item) as first from grp group by all),
 lab AS (select k, grp, cast(row_number() over (partition by k order by first) as integer) as cluster from firsts)
 """
 
-register("ward_clusters", with_ctes(*SERIES_CTES, DTW, WARD, CUTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+register("ward_clusters", with_ctes(*DAY_SERIES, DTW, WARD, CUTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select cast(g.k as integer) as k, g.item, l.cluster from grp g join lab l on l.k = g.k and l.grp = g.grp
 """)
 
-register("ward_merges", with_ctes(*SERIES_CTES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
+register("ward_merges", with_ctes(*DAY_SERIES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
 select step, lft as "left", rgt as "right", round(height, 6) as height, size, round(gap, 6) as gap,
   cast(n_items - best_step + 1 as integer) as suggested_k
 from gaps, best_gap
 """)
+
+register("cluster_charts", with_ctes(*DAY_SERIES, DTW, WARD, CUTS).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select g.item, l.cluster, cast(len(i.v) as integer) as n_values, t.source_seq as source,
+  t.destination_seq as target, t.source as from_stop, t.destination as to_stop, t.pax as rides
+from grp g join lab l on l.k = g.k and l.grp = g.grp join items i on i.item = g.item
+join trips t on t.service || ':' || cast(t.direction as varchar) = g.item
+where g.k = 5
+""")
+
+register("embedding_profile", """
+with v as (select vec_id, label, unnest(embedding) as value, unnest(range(0, len(embedding))) as position from embeddings)
+select 0 as k, cast(label as varchar) as cluster, cast(position as integer) as position,
+  round(avg(cast(value as double)), 6) as mean, count(*) as members
+from v group by label, position
+""")
+
+register("service_rides", with_ctes(BUS) + """
+select journey_id, source, destination, bus from bus where service = 'S0' and direction = 1
+""")
+
+register("service_route", with_ctes(ROUTES) + """
+select stop, seq, round(km, 6) as km from r where service = 'S3' and direction = 2
+""")
+
+register("route_cleaning", "WITH " + BINDING + """
+select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, round(km, 6) as km,
+  cast(dt_from as varchar) as dt_from,
+  case when "BusStopSequence" <> 2 then cast(dt_to as varchar) end as dt_to
+from routes
+""")

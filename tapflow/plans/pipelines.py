@@ -36,8 +36,8 @@ def prepared(taps: DataFrame, routes: DataFrame, valid_on: str, days: Iterable[s
              period: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Bus rides with a route key, optionally on ``days`` and touching
     ``band``; the routes valid on ``valid_on`` with positions. ``period``
-    (first, last date) adds a predicate on the date partition column so a
-    date-partitioned tap table is pruned at the scan."""
+    (first, last date) keeps the rides of those operational days; its range
+    on the date column prunes a date-partitioned tap table at the scan."""
     if period:
         taps = T.within_dates(taps, *period)
     rides = T.with_route_key(T.bus_only(taps))
@@ -50,11 +50,12 @@ def prepared(taps: DataFrame, routes: DataFrame, valid_on: str, days: Iterable[s
 
 
 def feature_extraction(taps: DataFrame, routes: DataFrame, valid_on: str, version: int = 2,
-                       strata: Mapping[str, Iterable[str]] | None = None, out: str | None = None) -> DataFrame:
+                       strata: Mapping[str, Iterable[str]] | None = None, out: str | None = None,
+                       period: tuple[str, str] | None = None) -> DataFrame:
     """Features per service-direction (``feature`` array<double>), with
     a ``stratum`` column when allow-lists are given (rows of unlisted
-    services are dropped)."""
-    rides, valid = prepared(taps, routes, valid_on)
+    services are dropped). ``period`` as in ``prepared``."""
+    rides, valid = prepared(taps, routes, valid_on, period=period)
     trips_df = OD.trips(rides, valid)
     feats = FE.stop_series(trips_df, valid) if version == 1 else FE.distance_histogram(trips_df, valid)
     if strata:
@@ -65,11 +66,11 @@ def feature_extraction(taps: DataFrame, routes: DataFrame, valid_on: str, versio
 
 
 def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None = None,
-               restarts: int = 3, max_iter: int = 100, out: str | None = None,
+               restarts: int = 3, max_iter: int = C.KMEANS_MAX_ITER, out: str | None = None,
                charts: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """E2 for one stratum. v1: exact DTW between stop series, Ward linkage,
     maxclust cuts (default k = 5..16). v2: k-means sweep (default k =
-    2..min(40, n - 1)) with exact silhouettes, and centred PCA to 3
+    2..40; a k above the number of items raises) with exact silhouettes, and centred PCA to 3
     components. With ``out`` the labels and member features are written as a
     tree partitioned by k and cluster, together with each member route's
     chart nodes and edges when ``charts`` (from ``chart_tables``) is given
@@ -81,16 +82,7 @@ def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None =
         labels = C.cut_sweep(merges, ks or range(5, 17))
         result.update(merges=merges, gaps=C.merge_gaps(merges), labels=labels)
     else:
-        n = items.count()
-        ks = list(ks or range(2, min(40, n - 1) + 1))
-        result["sweep"] = C.kmeans_sweep(items, ks, restarts=restarts, max_iter=max_iter)
-        parts = []
-        for k in ks:
-            model, _ = C.kmeans_best(items, k, restarts, max_iter)
-            parts.append(model.transform(items).select("item", F.lit(k).alias("k"), "cluster"))
-        labels = parts[0]
-        for p in parts[1:]:
-            labels = labels.unionByName(p)
+        result["sweep"], labels = C.kmeans_sweep(items, list(ks or range(2, 41)), restarts=restarts, max_iter=max_iter)
         result.update(labels=labels, pca=C.pca(items, 3))
     result["profile"] = C.cluster_profile(result["labels"], items)
     if out:
@@ -113,11 +105,12 @@ def chart_tables(taps: DataFrame, routes: DataFrame, valid_on: str) -> tuple[Dat
 
 def utilisation(taps: DataFrame, routes: DataFrame, valid_on: str, days: Iterable[str] | None = None,
                 band: tuple[time, time] | None = None, occurrence: str = "odi",
-                out: str | None = None, fmt: str = "parquet") -> DataFrame:
+                out: str | None = None, fmt: str = "parquet",
+                period: tuple[str, str] | None = None) -> DataFrame:
     """Utilisation profile (label, position, totals, running load, mean
     vehicle trips) per route with rides; the day and band filters are
     optional (the reference defines but does not apply them)."""
-    rides, valid = prepared(taps, routes, valid_on, days, band)
+    rides, valid = prepared(taps, routes, valid_on, days, band, period)
     profile = L.utilisation_profile(rides, valid, occurrence)
     if out:
         sinks.write_table(profile, out, fmt, partition_by=None)

@@ -12,12 +12,16 @@ from pyspark.sql import SparkSession
 PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def recommended_conf(shuffle_bytes: int | None = None, cores: int | None = None) -> dict[str, str]:
+def recommended_conf(shuffle_bytes: int | None = None, cores: int | None = None,
+                     time_zone: str = "Asia/Singapore") -> dict[str, str]:
     """Spark settings for a large run. ``shuffle_bytes`` (largest shuffle,
     e.g. the per-day vehicle-trip distinct) sizes the initial shuffle
-    partition count; AQE coalesces it down at run time."""
+    partition count; AQE coalesces it down at run time. ``time_zone`` is that
+    of the card readers: weekdays, bands and hours of timestamp columns follow
+    the session's zone."""
     initial = max(cores or 200, (shuffle_bytes or 0) // PARTITION_BYTES + 1)
     return {
+        "spark.sql.session.timeZone": time_zone,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES // 2),

@@ -1,10 +1,13 @@
 """Test binding: taps from the driver's ``events`` table, routes from ``part``.
 
 The definition is the one in FIXTURES.md §4, written with the DataFrame API.
-Routes: five services S0..S4 built from the first 200 part keys (service k has
-40 - 4k stops), both directions, km = running sum of part size / 10. Taps: one
-per event; stop sequences are derived from the event id and value, and mapped
-to stop codes through the routes (unknown positions become stop '99999').
+Routes: one service for every 40 part keys, both directions, in five shapes;
+km = running sum of part size / 10. Some services are short, some were valid
+in another year, some have a missing km or none but zeros. Taps: one per
+event, a third of them on service S0 and the others spread over all services
+and one that has no route; stop sequences are derived from the event id and
+value, and mapped to stop codes through the routes (unknown positions become
+stop '99999').
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 from tapflow.operators.common import sized_broadcast
 
 UNKNOWN_STOP = "99999"
-N_SERVICES = 5
+KEYS_PER_SERVICE = 40
 ROUTE_VALID_FROM, ROUTE_VALID_TO = "2024-01-01", "2024-01-31"
+EXPIRED_FROM, EXPIRED_TO = "2023-01-01", "2023-12-31"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,38 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def routes_from_parts(part: DataFrame) -> DataFrame:
     """Route table (physical names) derived from ``part``."""
-    k = F.floor(F.col("p_partkey") / 40)
-    n = F.lit(40) - F.lit(4) * F.col("k")
-    base = (part.select("p_partkey", "p_size")
-            .withColumn("k", k)
-            .filter((F.col("k") >= 0) & (F.col("k") < N_SERVICES))
-            .withColumn("n", n)
-            .withColumn("pos", F.col("p_partkey") - F.lit(40) * F.col("k") + 1)
+    shape, short = F.col("k") % 5, F.col("k") % 11 == 5
+    km = F.when((F.col("k") % 13 == 8) & (F.col("pos") == 3), F.lit(None)) \
+        .when(F.col("k") % 17 == 9, F.lit(0)).otherwise(F.col("p_size"))
+    base = (part.select("p_size", F.expr("cast(p_partkey div 40 as bigint)").alias("k"),
+                        (F.col("p_partkey") % KEYS_PER_SERVICE + 1).alias("pos"))
+            .withColumns({"n": F.when(short, F.lit(12)).otherwise(F.lit(40) - F.lit(4) * shape),
+                          "per_km": F.when(short, F.lit(100.0)).otherwise(F.lit(10.0)), "size": km})
             .filter(F.col("pos") <= F.col("n")))
-    dirs = (base.select("k", "n", F.lit(1).alias("direction"), F.col("pos").alias("seq"),
-                        "pos", "p_size")
-            .unionByName(base.select("k", "n", F.lit(2).alias("direction"),
-                                     (F.col("n") + 1 - F.col("pos")).alias("seq"), "pos", "p_size")))
+    ways = F.array(F.struct(F.lit(1).alias("direction"), F.col("pos").alias("seq")),
+                   F.struct(F.lit(2).alias("direction"), (F.col("n") + 1 - F.col("pos")).alias("seq")))
+    dirs = base.select("*", F.explode(ways).alias("w")).select("*", "w.*")
     pos = F.col("pos")
-    code_pos = (F.when(F.col("k").isin(1, 3) & (pos == F.col("n")), F.lit(1))
-                .when((F.col("k") == 3) & (pos == 14), F.lit(1))
-                .when((F.col("k") == 4) & (pos == 9), F.lit(4))
+    code_pos = (F.when(shape.isin(1, 3) & (pos == F.col("n")), F.lit(1))
+                .when((shape == 3) & (pos == 14), F.lit(1))
+                .when((shape == 4) & (pos == 9), F.lit(4))
                 .otherwise(pos))
+    code = (F.lit(40) * F.col("k") + code_pos - 1).cast("string")
     w = Window.partitionBy("k", "direction").orderBy("seq")
+    expired = F.col("k") % 7 == 6
+    running = F.sum("size").over(w).cast("double") / F.col("per_km")
     return dirs.select(
         F.concat(F.lit("S"), F.col("k").cast("string")).alias("service"),
         F.col("direction"),
-        F.lpad((F.lit(40) * F.col("k") + code_pos - 1).cast("string"), 5, "0").alias("BusStopCode"),
+        F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code).alias("BusStopCode"),
         F.col("seq").alias("BusStopSequence"),
-        (F.sum("p_size").over(w).cast("double") / 10).alias("km"),
-        F.to_date(F.lit(ROUTE_VALID_FROM)).alias("dt_from"),
-        F.to_date(F.lit(ROUTE_VALID_TO)).alias("dt_to"),
+        F.when(F.col("size").isNotNull(), running).alias("km"),
+        F.when(expired, F.to_date(F.lit(EXPIRED_FROM))).otherwise(F.to_date(F.lit(ROUTE_VALID_FROM))).alias("dt_from"),
+        F.when(expired, F.to_date(F.lit(EXPIRED_TO))).otherwise(F.to_date(F.lit(ROUTE_VALID_TO))).alias("dt_to"),
     )
 
 
-def taps_from_events(events: DataFrame, routes: DataFrame) -> DataFrame:
+def taps_from_events(events: DataFrame, part: DataFrame, routes: DataFrame) -> DataFrame:
     """Tap table (physical names) derived from ``events`` and the routes."""
-    k = F.when(F.col("user_id") % 3 == 0, F.col("user_id") % 5).otherwise(F.lit(0))
+    services = part.select((F.expr("cast(max(p_partkey) div 40 as bigint)") + 1)).scalar()
+    k = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")) \
+        .otherwise((F.col("user_id") * 7 + F.expr("event_id div 5")) % (services + 1))
     direction = F.when(F.col("event_id") % 331 == 0, F.lit(None)).otherwise(1 + F.col("event_id") % 2)
     sq = 1 + (F.col("event_id") * 17) % 43
     f = events.select(
@@ -94,6 +102,6 @@ def taps_from_events(events: DataFrame, routes: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(taps, routes) with physical column names, as in the card-data export."""
-    routes = routes_from_parts(table(spark, sf_dir, "part")).persist()
-    taps = taps_from_events(table(spark, sf_dir, "events"), routes)
-    return taps, routes
+    part = table(spark, sf_dir, "part")
+    routes = routes_from_parts(part)
+    return taps_from_events(table(spark, sf_dir, "events"), part, routes), routes

@@ -1,7 +1,8 @@
-"""Scans (S1-S5): taps from Parquet or CSV with a declared schema, routes
-from CSV with cleaning. Readers declare schemas instead of inferring them
-(one pass, stable types) and parse leniently so a malformed value becomes a
-null instead of failing the job; ``rejects`` counts what was lost."""
+"""Scans (S1-S5): taps from Parquet or CSV with declared types, routes from
+CSV with cleaning. CSV columns are read as text under the names of the file's
+header and selected by name, whatever their order and whatever other columns
+there are; a value that does not fit its type becomes null, and ``rejects``
+gives the rows where that happened."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from tapflow.functions import parse_date, strip, zero_pad
 from tapflow.model import ROUTE_DATE_FORMAT, RouteColumns, TapColumns
 
-# Declared tap schema of the card-data export (physical names).
+# The declared columns of the card-data export (physical names).
 TAP_SCHEMA = T.StructType([
     T.StructField("ALIGHTING_STOP_STN", T.StringType()),
     T.StructField("BOARDING_STOP_STN", T.StringType()),
@@ -35,28 +36,38 @@ def read_taps_parquet(spark: SparkSession, path: str, cols: TapColumns = TapColu
     return cols.standardise(spark.read.parquet(path))
 
 
+def _text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV with a header, all columns as text; raises if one of ``columns``
+    is not in the header. Only the header line is read to know the names."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = sorted(set(columns) - set(raw.columns))
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}; the header has {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _typed(field: T.StructField, timestamp_format: str | None) -> F.Column:
+    text = F.when(F.trim(F.col(f"`{field.name}`")) != "", F.trim(F.col(f"`{field.name}`")))
+    if isinstance(field.dataType, T.TimestampType) and timestamp_format:
+        return F.try_to_timestamp(text, F.lit(timestamp_format))
+    return F.col(f"`{field.name}`") if isinstance(field.dataType, T.StringType) else text.try_cast(field.dataType)
+
+
 def read_taps_csv(spark: SparkSession, path: str, cols: TapColumns = TapColumns(),
                   schema: T.StructType = TAP_SCHEMA, timestamp_format: str | None = None) -> DataFrame:
-    """CSV taps with a header and a declared schema. PERMISSIVE mode
-    nulls malformed fields; the raw line of a bad record is kept in
-    ``_corrupt_record`` for ``rejects``."""
-    full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record").schema(full))
-    if timestamp_format:
-        reader = reader.option("timestampFormat", timestamp_format)
-    return cols.standardise(reader.csv(path))
-
-
-def rejects(spark: SparkSession, path: str, schema: T.StructType = TAP_SCHEMA) -> DataFrame:
-    """Rows of a CSV that did not fit the declared schema, with their raw
-    line in ``_corrupt_record``. Spark refuses queries that touch only the
-    corrupt-record column of a raw file, so the parsed rows are persisted
-    first (a data-quality pass; ``unpersist`` the result when done)."""
-    full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).csv(path)).persist()
-    return raw.filter(F.col("_corrupt_record").isNotNull())
+    """CSV taps with a header; columns by name, typed by ``schema``."""
+    raw = _text_csv(spark, path, schema.names)
+    return cols.standardise(raw.select(*[_typed(f, timestamp_format).alias(f.name) for f in schema]))
+
+
+def rejects(spark: SparkSession, path: str, schema: T.StructType = TAP_SCHEMA,
+            timestamp_format: str | None = None) -> DataFrame:
+    """The text rows of a CSV in which a value does not fit its type, with the
+    names of those columns in ``bad_columns``."""
+    raw = _text_csv(spark, path, schema.names)
+    bad = [F.when((F.trim(F.col(f"`{f.name}`")) != "") & _typed(f, timestamp_format).isNull(), F.lit(f.name))
+           for f in schema]
+    return raw.withColumn("bad_columns", F.array_compact(F.array(*bad))).filter(F.size("bad_columns") > 0)
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +94,6 @@ def clean_routes(raw: DataFrame, cols: RouteColumns = RouteColumns(),
 
 def read_routes_csv(spark: SparkSession, path: str, cols: RouteColumns = RouteColumns(),
                     date_format: str = ROUTE_DATE_FORMAT) -> DataFrame:
-    """Route CSV with a header, read as text and cleaned."""
-    raw = spark.read.option("header", True).schema(T.StructType(
-        [T.StructField(c, T.StringType()) for c in (cols.service, cols.direction, cols.stop, cols.seq,
-                                                  cols.km, cols.dt_from, cols.dt_to)])).csv(path)
-    return clean_routes(raw, cols, date_format)
+    """Route CSV with a header, columns by name, cleaned."""
+    names = [cols.service, cols.direction, cols.stop, cols.seq, cols.km, cols.dt_from, cols.dt_to]
+    return clean_routes(_text_csv(spark, path, names), cols, date_format)

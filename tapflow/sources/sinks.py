@@ -1,25 +1,19 @@
 """Sinks (S7-S10): partitioned Parquet/CSV outputs and the per-cluster
 output tree. Outputs are written by the executors in parallel; a single file
-is produced only on request and only for small results."""
+is produced only on request."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# A single output file funnels all rows through one task: allowed only for
-# results up to this many rows (checked before writing).
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 single_file: bool = False) -> None:
     """Overwrite ``path`` with ``df`` (Parquet by default, CSV with a
     header otherwise), optionally partitioned by columns. ``single_file``
-    coalesces to one file after checking the row count is small."""
+    sends all rows through one task, whatever their number: meant for results
+    a person opens."""
     if single_file:
-        n = df.limit(SINGLE_FILE_MAX_ROWS + 1).count()
-        if n > SINGLE_FILE_MAX_ROWS:
-            raise ValueError(f"single_file is for small results (at most {SINGLE_FILE_MAX_ROWS} rows)")
         df = df.coalesce(1)
     w = df.write.mode("overwrite")
     if partition_by:
