@@ -13,8 +13,52 @@ def _hinted(df):
 
 
 def test_broadcast_only_within_the_bound(spark):
-    assert _hinted(common.sized_broadcast(spark.range(10), max_rows=10))
-    assert not _hinted(common.sized_broadcast(spark.range(1000), max_rows=999))
+    assert _hinted(common.sized_broadcast(spark.range(10)))
+    assert _hinted(common.sized_broadcast(spark.range(1000), max_bytes=8000))
+    assert not _hinted(common.sized_broadcast(spark.range(1000), max_bytes=7999))
+
+
+def test_a_table_that_grows_is_checked_again(spark, tmp_dir):
+    spark.range(10).write.parquet(f"{tmp_dir}/t")
+    first = common.sized_broadcast(spark.read.parquet(f"{tmp_dir}/t"), max_bytes=4000)
+    spark.range(10_000).write.mode("append").parquet(f"{tmp_dir}/t")
+    assert _hinted(first) and not _hinted(common.sized_broadcast(spark.read.parquet(f"{tmp_dir}/t"), max_bytes=4000))
+
+
+def test_tables_are_removed(spark):
+    import os
+    out = common.cut_lineage(spark.range(5))
+    folder = os.path.dirname(out.inputFiles()[0].split(":", 1)[1])
+    folder = "/" + folder.lstrip("/")
+    assert os.path.isdir(folder) and out.count() == 5
+    common.drop_tables()
+    assert not os.path.exists(folder)
+
+
+def test_persisted_is_released(spark):
+    from tapflow.sources import sinks
+    df = sinks.persisted(spark.range(100).selectExpr("id * 2 as x"))
+    assert df.count() == 100 and df.storageLevel.useMemory
+    df.unpersist()
+    assert not df.storageLevel.useMemory
+
+
+def test_workers_need_no_copy_of_the_package(tmp_dir):
+    """A pair query started from another folder, with the package on the
+    driver's path only."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = (SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')\n"
+            "     .config('spark.sql.shuffle.partitions', '2').getOrCreate())\n"
+            "import __spark_entry__ as e\n"
+            "print('ROWS', e.queries()['silhouette_score'](s, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_dir, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
 
 
 def test_cut_lineage_writes_under_the_checkpoint_dir(spark):

@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 from conftest import SF_SMALL
 from tapflow.operators import features as FE
 from tapflow.operators import od as OD
+from tapflow.operators import routes as R
 from tapflow.operators import taps as T
 from tapflow.plans import catalog
 from tapflow.sources import fixtures, readers
@@ -33,6 +34,26 @@ def test_route_lookups_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_one_scan_of_the_rides_for_each_result(spark):
+    for name, scans in {"running_load": 1, "od_matrix": 1, "chart_nodes": 1, "service_directions": 1, "pairs_per_route": 1,
+                        "vehicle_trips_boarding": 1, "vehicle_trips_mean": 1, "utilisation_profile": 2}.items():
+        plan = catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("event_id#") and sum("Relation [" in x and "event_id" in x for x in plan.splitlines()) == scans, name
+
+
+def test_km_faults_leave_other_routes_unchanged(spark):
+    from frames import route, taps as rides
+    ok = route(spark, "A", 1, ["a", "b", "c"], [1.0, 2.0, 4.0])
+    t = rides(spark, [("a", "c"), ("b", "c")])
+    for kms, dropped in (([1.0, None, 4.0], True), ([0.0, 0.0, 0.0], True), ([1.0, 2.0, None], True), ([3.0, 3.0, 3.0], False)):
+        both = ok.unionByName(route(spark, "B", 1, ["a", "b", "c"], kms))
+        tt = t.unionByName(rides(spark, [("a", "c"), ("b", "c")], service="B"))
+        got = {r.service: list(r.feature) for r in FE.distance_histogram(OD.trips(tt, both), both).collect()}
+        alone = FE.distance_histogram(OD.trips(t, ok), ok).first().feature
+        assert got["A"] == list(alone) and ("B" not in got) == dropped
+        assert {r.service for r in R.without_distance(both).collect()} == ({"B"} if dropped else set())
+
+
 def test_stop_series_unit_norm_and_histogram_halves(spark):
     taps, routes = catalog.peak_taps(spark, SF_SMALL)
     tr = OD.trips(taps, routes)
@@ -76,7 +97,7 @@ def test_pipelines_from_files(spark, tmp_dir):
     feats = spark.read.parquet(f"{tmp_dir}/out/features_v2")
     assert feats.count() == catalog.QUERIES["distance_histogram"](spark, SF_SMALL) \
         .select("service", "direction").distinct().count()
-    res = pipelines.clustering(feats, version=2, ks=[2, 3], restarts=1, max_iter=10, out=f"{tmp_dir}/tree")
+    res = pipelines.clustering(feats, version=2, ks=[2, 3], restarts=1, out=f"{tmp_dir}/tree")
     assert res["labels"].count() == 2 * feats.count()
     assert spark.read.parquet(f"{tmp_dir}/tree/features").count() == 2 * feats.count()
 
@@ -91,8 +112,11 @@ def test_date_partitions_are_pruned(spark, tmp_dir):
     rides, _ = pipelines.prepared(taps, routes, "2024-01-15", period=("2024-01-08", "2024-01-12"))
     plan = _plan(rides)
     assert "PartitionFilters: [isnotnull(Date" in plan and "Date#" in plan
-    dates = {r.date.isoformat() for r in rides.select("date").distinct().collect()}
-    assert dates and min(dates) >= "2024-01-07" and max(dates) <= "2024-01-13"
+    days = {r[0].isoformat() for r in rides.select(F.to_date(F.col("tap_in") - F.expr("interval 3 hours"))).distinct().collect()}
+    assert days == {f"2024-01-{d:02d}" for d in range(8, 13)}
+    every, _ = pipelines.prepared(taps, routes, "2024-01-15")
+    day = F.to_date(F.col("tap_in") - F.expr("interval 3 hours"))
+    assert rides.count() == every.filter(day.between("2024-01-08", "2024-01-12")).count()
 
 
 def test_clustering_pipeline_v1(spark, tmp_dir):

@@ -51,3 +51,56 @@ def test_tap_csv_declared_schema_and_rejects(spark, tmp_dir):
     rows = t.orderBy("journey_id").collect()
     assert rows[0].direction == 1 and rows[1].direction is None and rows[1].tap_out is None
     assert readers.rejects(spark, path).count() == 1
+
+
+def test_csv_columns_are_read_by_name(spark, tmp_dir):
+    import pytest
+    with open(f"{tmp_dir}/routes.csv", "w") as f:
+        f.write("direction,service,note,BusStopSequence,BusStopCode,dt_to,dt_from,km\n")
+        f.write("1,10,x,2,7,28/02/2017,01/02/2017,1.5\n")
+    r = readers.read_routes_csv(spark, f"{tmp_dir}/routes.csv").first()
+    assert (r.service, r.direction, r.stop, r.seq, r.km) == ("10", 1, "00007", 2, 1.5)
+    with open(f"{tmp_dir}/taps.csv", "w") as f:
+        f.write("JOURNEY_ID,Srvc_Number,Direction,extra,TRAVEL_MODE,Year,tap_in_time,tap_out_time,Date,Ride_Distance,"
+                "BUS_REG_NUM,Bus_Trip_Num,BOARDING_STOP_STN,ALIGHTING_STOP_STN\n")
+        f.write("5,S1,2,?,Bus,2017,2017-02-01 08:00:00,,2017-02-01,2.5,B1,4,00001,00002\n")
+        f.write("6,S1,two,?,Bus,2017,never,,2017-02-01,2.5,B1,4,00001,00002\n")
+    rows = readers.read_taps_csv(spark, f"{tmp_dir}/taps.csv").orderBy("journey_id").collect()
+    assert (rows[0].service, rows[0].direction, rows[0].mode, rows[0].source, rows[0].destination) == ("S1", 2, "Bus", "00001", "00002")
+    assert rows[1].direction is None and rows[1].tap_in is None
+    bad = readers.rejects(spark, f"{tmp_dir}/taps.csv").collect()
+    assert [(r.JOURNEY_ID, sorted(r.bad_columns)) for r in bad] == [("6", ["Direction", "tap_in_time"])]
+    with open(f"{tmp_dir}/short.csv", "w") as f:
+        f.write("service,direction\n1,1\n")
+    with pytest.raises(ValueError):
+        readers.read_routes_csv(spark, f"{tmp_dir}/short.csv")
+
+
+def test_inferred_csv(spark, tmp_dir):
+    with open(f"{tmp_dir}/m.csv", "w") as f:
+        f.write("a,b\n1,2.5\n3,x\n")
+    df = readers.read_csv_inferred(spark, f"{tmp_dir}/m.csv")
+    assert df.dtypes == [("a", "int"), ("b", "string")] and df.count() == 2
+
+
+def test_service_filters(spark):
+    from frames import taps
+    from tapflow.operators import taps as T
+    both = taps(spark, [("a", "b")]).unionByName(taps(spark, [("c", "d")], service="B", direction=2))
+    assert [r.source for r in T.for_service(both, "B", 2).collect()] == ["c"]
+    two = route(spark, "A", 1, ["a"]).unionByName(route(spark, "A", 2, ["b"]))
+    assert [r.stop for r in T.for_service(two, "A", 2).collect()] == ["b"]
+
+
+def test_overlapping_versions_keep_all_rows(spark):
+    a = route(spark, "A", 1, ["x", "y"])
+    b = route(spark, "A", 1, ["x", "z"], [1.0, 3.0])
+    kept = R.unique_occurrences(a.unionByName(b).unionByName(a))
+    assert sorted((r.seq, r.stop, r.km) for r in kept.collect()) == [(1, "x", 1.0), (2, "y", 2.0), (2, "z", 3.0)]
+    assert [(r.seq, r.versions) for r in R.conflicting_occurrences(a.unionByName(b)).collect()] == [(2, 2)]
+
+
+def test_session_settings_set_the_time_zone():
+    from tapflow.session import recommended_conf
+    assert recommended_conf()["spark.sql.session.timeZone"] == "Asia/Singapore"
+    assert recommended_conf(time_zone="UTC")["spark.sql.session.timeZone"] == "UTC"
