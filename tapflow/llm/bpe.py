@@ -35,8 +35,8 @@ from tapflow.llm.text import map_texts
 # Fixed value: the split pattern of this kind of vocabulary; {L}, {N} are the
 # classes of letters and numbers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
-WORD_CACHE = 500_000  # remembered words of a Python worker; those of the current slice stay when it is full
-PAIR_CACHE = 2_000_000  # remembered token pairs of a task, likewise
+WORD_CACHE = 200_000  # remembered words of a Python worker; those of the current slice stay when it is full
+PAIR_CACHE = 300_000  # remembered token pairs of a task, likewise
 TRIE_DEPTH = 64  # longer words share no trie nodes; their states are propagated along the word alone
 
 
@@ -180,14 +180,14 @@ class TrieEncoder:
                     return token
         raise AssertionError("every byte is a token")
 
-    def read_back(self, states: list[bytes]) -> list[int]:
+    def read_back(self, states: list[bytes]) -> tuple[int, ...]:
         ids, d = [], len(states) - 1
         while d:
             ids.append(self.vocab[states[d]])
             d -= len(states[d])
-        return ids[::-1]
+        return tuple(reversed(ids))
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, by one depth-first walk of their trie. The
         trie is held as its depth-first order: the sorted words, where what a
         word shares with the one before it is the path from the root that is
@@ -210,7 +210,7 @@ class TrieEncoder:
             before = raw
         return out
 
-    def encode_long(self, raw: bytes) -> list[int]:
+    def encode_long(self, raw: bytes) -> tuple[int, ...]:
         """The same states along one long word, whose last ``longest`` bytes
         are all that a state looks at."""
         states = [b""]
@@ -239,7 +239,7 @@ class Codec:
             self.bytes[i] = token
         for token, i in self.special.items():
             self.bytes[i] = token.encode("utf-8")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -255,7 +255,7 @@ class Codec:
         if len(self.known) + len(new) > WORD_CACHE:  # the words of this slice stay
             self.known = {w: self.known[w] for w in used.difference(new)}
         self.known.update(self.trie.encode_words(new.difference(self.special)))
-        self.known.update({t: [i] for t, i in self.special.items()})
+        self.known.update({t: (i,) for t, i in self.special.items()})
         return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
 
     def decode(self, ids: list[int]) -> str:

@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,9 +90,11 @@ def candidates(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, in
     return [(a, b, digest(a, b)) for a, b in sorted(runs)]
 
 
-def document_key(ident, text: str | None) -> bytes:
-    import xxhash
-    return xxhash.xxh3_128_digest(f"{ident}\0".encode() + (b"" if text is None else b"=" + text.encode("utf-8")))
+def document_key(id_col: Column, text_col: Column) -> Column:
+    """128 bits that tell documents apart by id and text."""
+    ident = F.when(id_col.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), id_col.cast("string")))
+    whole = F.concat(ident, F.lit("\n"), F.coalesce(text_col.cast("string"), F.lit("")))
+    return F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
 
 
 def _places(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -103,23 +105,20 @@ def _places(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 1):
-                rows, h, doc, start, stop = [], [], [], [], []
-                for k, (ident, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    found = candidates(text, min_words) if text else []
-                    if found:
-                        key = document_key(ident, text)
-                        rows += [k] * len(found)
-                        doc += [key] * len(found)
-                        start += [a for a, _, _ in found]
-                        stop += [b for _, b, _ in found]
-                        h += [x.to_bytes(16, "big") for _, _, x in found]
+            for part in text_slices(batch, 2):
+                rows, found = [], []
+                for k, text in enumerate(part.column(2).to_pylist()):
+                    here = candidates(text, min_words) if text else []
+                    rows += [k] * len(here)
+                    found += here
+                rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.binary()), part.column(0).take(pa.array(rows, pa.int64())),
-                     pa.array(doc, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
-                    ["h", "id", "doc", "start", "stop"])
+                    [pa.array([x.to_bytes(16, "big") for _, _, x in found], pa.binary()), part.column(0).take(rows),
+                     part.column(1).take(rows), pa.array([a for a, _, _ in found], pa.int32()),
+                     pa.array([b for _, b, _ in found], pa.int32())], ["h", "id", "doc", "start", "stop"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), document_key(F.col(id_col), F.col(text_col)),
+                     F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def _by_document(places: DataFrame) -> DataFrame:
@@ -131,21 +130,6 @@ def _by_document(places: DataFrame) -> DataFrame:
     return F.broadcast(lists) if small else lists
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """``df`` with the document key in a further column."""
-    at_id, at = df.columns.index(id_col), df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, at):
-                keys = [document_key(i, t) for i, t in zip(part.column(at_id).to_pylist(), part.column(at).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())],
-                                                 [*part.schema.names, name])
-
-    return df.mapInArrow(run, schema)
-
-
 def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, h, start, stop) of the places to remove: documents by key, lines
@@ -162,8 +146,8 @@ def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                  & (F.col("start") == F.col("first_start"))).alias("is_first")))
 
     # Bytes of every place of the repeated candidates.
-    keyed = _keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
-                   "id", "text", "doc")
+    keyed = df.select(document_key(F.col(id_col), F.col(text_col)).alias("doc"),
+                      F.col(text_col).cast("string").alias("text"))
 
     def slices(batches):
         for batch in batches:
@@ -187,11 +171,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 counts: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with the repeated passages taken out of ``text_col``; ``counts``
     names two further columns for the lines before and the lines removed."""
-    marks = _by_document(repeated_places(df, id_col, text_col, min_words)).withColumnRenamed("places", "__places")
-    at = df.columns.index(text_col)
-    keyed = _keyed(df, id_col, text_col, "__doc")
-    joined = keyed.join(marks.withColumnRenamed("doc", "__mark"), F.col("__doc") == F.col("__mark"), "left") \
-        .drop("__doc", "__mark")
+    at, taken, name = df.columns.index(text_col), {c.lower() for c in df.columns}, "places"
+    while name in taken:
+        name += "_"
+    marks = _by_document(repeated_places(df, id_col, text_col, min_words)).select(
+        F.col("doc").alias(name + "_doc"), F.col("places").alias(name))
+    joined = (df.join(marks, document_key(F.col(id_col), F.col(text_col)) == F.col(name + "_doc"), "left")
+              .drop(name + "_doc"))
     fields = [*df.schema.fields, *(T.StructField(c, T.LongType()) for c in counts or ())]
 
     def run(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20  # text bytes handed to a kernel at once (one row at least)
+SLICE_BYTES = 1 << 20  # text bytes handed to a kernel at once (one row at least)
 
 Kernel = Callable[[list[str]], list[pa.Array]]
 
@@ -30,6 +30,7 @@ def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = SLICE_BYTES
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a Python worker goes on to other operators
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -39,7 +39,7 @@ ODDS_BITS, EMBED_BITS, EMBED = 17, 12, 4
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 10_000
 FOLDS, EPOCHS, STEPS, BATCH = 4, 6, 100, 96  # STEPS: least number of steps in an epoch
 THRESHOLD = 0.3
-WORD_CACHE = 200_000  # words of a task whose inputs are remembered
+WORD_CACHE = 60_000  # words of a task whose inputs are remembered
 WORDS = re.compile(r"[^\W_]+")
 
 
