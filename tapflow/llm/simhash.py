@@ -42,6 +42,7 @@ SEED = 42
 SAMPLE_ROWS = 8192  # fingerprints from which the shared part of the tree is built
 SHARD_ROWS = 4096  # fingerprints that a shard is meant to hold
 BLOCK_ROWS = 1024  # fingerprints compared directly
+STRIPE_PAIRS = 1 << 20  # distances held at once
 VANTAGES = 6  # candidates tried for each node
 # Ids of rows to drop are broadcast up to this size; above it they are joined by a shuffle.
 BROADCAST_BYTES, ID_BYTES = 32 << 20, 32
@@ -151,9 +152,9 @@ def block_links(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     that have a smaller one; ``x`` sorted and distinct. Rows of distances are
     reduced to labels a stripe at a time."""
     n = len(x)
-    labels = np.arange(n)
-    for at in range(0, n, 256):
-        i, j = np.nonzero(distances(x[at:, None].T, x[at:at + 256, None]) <= limit)
+    labels, stripe = np.arange(n), max(1, min(256, STRIPE_PAIRS // max(1, n)))
+    for at in range(0, n, stripe):
+        i, j = np.nonzero(distances(x[at:, None].T, x[at:at + stripe, None]) <= limit)
         i, j = i + at, j + at
         off = i != j
         if off.any():
