@@ -642,3 +642,53 @@ select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, roun
   case when "BusStopSequence" <> 2 then cast(dt_to as varchar) end as dt_to
 from routes
 """)
+
+
+def pca_ctes(points: str, n: int = 3, squarings: int = 20) -> str:
+    """Centred PCA of ``points`` (id, v): the covariance, and each component
+    as the limit of repeated squaring of the deflated matrix (2^20 steps of
+    power iteration), signed so that the largest loading is positive."""
+    out = f"""
+mu AS (select list(m order by p) as m from (select p, avg(x) as m from (
+  select unnest(v) as x, unnest(range(1, len(v) + 1)) as p from {points}) group by p)),
+cen AS (select id, list_transform(range(1, len(v) + 1), lambda i: v[i] - m[i]) as c from {points}, mu),
+cells AS (select i, j, sum(c[i] * c[j]) as s
+  from (select c, i, unnest(range(1, len(c) + 1)) as j from (select c, unnest(range(1, len(c) + 1)) as i from cen))
+  group by i, j),
+a1 AS (select list(r order by i) as a from (select i, list(s order by j) as r from cells group by i))"""
+    for k in range(1, n + 1):
+        out += f""",
+sq{k} AS (
+  select 0 as t, a as m from a{k}
+  union all
+  select t + 1, list_transform(p, lambda r: list_transform(r, lambda x: x / tr)) from (
+    select t, p, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i][i])) as tr from (
+      select t, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q))) as p
+      from sq{k} where t < {squarings}))),
+row{k} AS (select m[list_position(g, list_max(g))] as r from (
+  select m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) as g from sq{k} where t = {squarings})),
+unit{k} AS (select list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) as u from row{k}),
+v{k} AS (select list_transform(u, lambda x: x * sign(u[list_position(g, list_max(g))])) as v
+  from (select u, list_transform(u, lambda x: abs(x)) as g from unit{k})),
+a{k + 1} AS (
+  select list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1),
+    lambda j: a[i][j] - l * v[i] * v[j])) as a
+  from (select a, v, list_dot_product(v, list_transform(a, lambda r: list_dot_product(r, v))) as l from a{k}, v{k}))"""
+    return out
+
+
+PCS = ", ".join(f"round(list_dot_product(c, v{k}.v), 6) as pc{k}" for k in (1, 2, 3))
+
+register("pca_embeddings", "WITH RECURSIVE points AS (select cast(vec_id as varchar) as id, "
+         "cast(embedding as double[]) as v from embeddings)," + pca_ctes("points") + f"""
+select id, {PCS} from cen, v1, v2, v3
+""")
+
+_HISTOGRAM = QUERIES["distance_histogram"].replace("round(f.b / m.mb, 6)", "f.b / m.mb") \
+    .replace("round(f.a / m.ma, 6)", "f.a / m.ma")
+register("pca_features", "WITH RECURSIVE hist_points AS (" + _HISTOGRAM + """),
+points AS (select service || ':' || cast(direction as varchar) as id, list(feature order by position) as v
+  from hist_points group by service, direction),""" + pca_ctes("points") + f"""
+select split_part(id, ':', 1) as service, cast(split_part(id, ':', 2) as integer) as direction, {PCS}
+from cen, v1, v2, v3
+""")
