@@ -36,7 +36,7 @@ from tapflow.llm.text import map_texts
 # classes of letters and numbers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 WORD_CACHE = 200_000  # remembered words of a Python worker; those of the current slice stay when it is full
-PAIR_CACHE = 300_000  # remembered token pairs of a task, likewise
+PAIR_CACHE = 300_000  # remembered token pairs of a Python worker, dropped together when full
 TRIE_DEPTH = 64  # longer words share no trie nodes; their states are propagated along the word alone
 
 
