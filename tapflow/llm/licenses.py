@@ -6,6 +6,11 @@ among those of known licenses: for the whole text, and for each line, since
 short notices stand on lines of their own. Known texts go through the same
 form, so a change of the form needs no new table.
 
+The form of a whole text that is made of the forms of its lines depends on
+where the lines break. So the license of a whole text is looked up by its
+flowed form: copyright statements (not the lines that begin with the word) are
+taken out, the lines are joined, and the spellings apply to the whole.
+
 All steps are built-in functions on one row; the table of known digests is
 fixed and small, and is broadcast. Defined results: a null or empty text has
 the empty form, which matches nothing; repeated rows give equal results.
@@ -31,6 +36,22 @@ SPELLINGS = [
 ]
 COPYRIGHT_LINE = r"^[^0-9a-z]*(copyright([^0-9a-z]|$)|\(c\)|©|all rights reserved)"
 
+# Copyright statements in a text with single spaces: a mark with a sign, year
+# or name, up to the end of the line or what licenses go on with on that line.
+# '(c)' alone also numbers clauses, so it needs a year or a line of names.
+_YEAR = r"(?:[0-9]{4}|[<\[{]?(?:year|yyyy)(?![0-9a-z]))"
+_SIGNED = (rf"(?:copyright[ :,]*(?:\(c\)|©)|©|(?:copyright|\(c\))[ :,]*{_YEAR}"
+           rf"|\(c\) copyright[ :,]*(?:{_YEAR}|(?-i:[A-Z])))")
+_NAMED = (r"(?:copyright(?: by| of)? (?!(?:notices?|holders?|owners?|laws?|licen[cs]es?|licensors?|statements?|interests?"
+          r"|treaty|treaties|acts?|directive|office|disclaimer|protection|and|or|in|is|are|as|to|for|by|of|on|the)(?![0-9a-z]))"
+          r"(?:(?-i:[A-Z])|(?=(?:[^ \n]+ ?){1,5}(?:\n|\z)))|\(c\)(?=(?-i:(?: (?:[A-Z][^ \n]*|and|of|the)){1,8}) ?(?:\n|\z)))")
+_GO_ON = (r"permission (?:is hereby|is granted|to use)|redistribution and use|this software is|the software is provided"
+          r"|this program|licensed under|everyone is permitted|all rights reserved|mit license|isc license|zlib license")
+_END = rf"(?:[^\n]{{0,200}}?(?=(?<![0-9a-z])(?:{_GO_ON})|\n|\z))?"
+STATEMENTS = [rf"(?i)(?<![^\n])[^0-9a-z\n]*?(?:{_SIGNED}|{_NAMED}){_END}",
+              rf"(?i)(?<![0-9a-z]){_SIGNED}[^\n]{{0,200}}?(?=(?<![0-9a-z])(?:{_GO_ON}))",
+              r"(?i)(?<![0-9a-z])all rights reserved(?![0-9a-z])"]
+
 # Known full texts (fixed values, public licenses), and notices by a rule.
 MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -106,6 +127,17 @@ def canonical_lines(text: Column) -> Column:
                     lambda x: x != "")
 
 
+def flowed(text: Column) -> Column:
+    """Canonical form of a whole text, wherever its lines break."""
+    form = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[ \t\x0B\f\r]+", " ")
+    for pattern in STATEMENTS:
+        form = F.regexp_replace(form, pattern, " ")
+    form = F.trim(F.regexp_replace(F.translate(form, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    for pattern, to in SPELLINGS:
+        form = F.regexp_replace(form, pattern, to)
+    return form
+
+
 def digest(form: Column) -> Column:
     return F.sha2(form.cast("binary"), 256)
 
@@ -118,6 +150,13 @@ def known_digests(spark: SparkSession) -> DataFrame:
         F.min("license").alias("license"))
 
 
+def known_flows(spark: SparkSession) -> DataFrame:
+    """(flow_digest, flow_license) of the known texts by their flowed forms."""
+    rows = spark.createDataFrame(known_texts(), "license string, text string")
+    flows = rows.select(digest(flowed(F.col("text"))).alias("flow_digest"), "license")
+    return flows.groupBy("flow_digest").agg(F.min("license").alias("flow_license"))
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_license, text_digest, n_notice_lines, notice_licenses) for
     every row: the license that the whole text is, or null; the digest of its
@@ -125,11 +164,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that they name (sorted, distinct)."""
     known = known_digests(df.sparkSession)
     by_digest = F.create_map(*[F.lit(x) for r in known.collect() for x in (r["digest"], r["license"])])
-    forms = df.select(F.col(id_col), canonical_lines(F.col(text_col)).alias("forms"))
+    forms = df.select(F.col(id_col), canonical_lines(F.col(text_col)).alias("forms"),
+                      digest(flowed(F.col(text_col))).alias("flow"))
     lines = F.filter(F.transform("forms", lambda f: by_digest[digest(f)]), lambda x: x.isNotNull())
-    found = forms.select(id_col, digest(F.array_join("forms", " ")).alias("text_digest"), lines.alias("lines"))
-    return (found.join(F.broadcast(known.withColumnRenamed("digest", "known")), F.col("text_digest") == F.col("known"),
-                       "left")
-            .select(id_col, F.col("license").alias("text_license"), "text_digest",
+    found = forms.select(id_col, "flow", digest(F.array_join("forms", " ")).alias("text_digest"), lines.alias("lines"))
+    return (found
+            .join(F.broadcast(known_flows(df.sparkSession)), F.col("flow") == F.col("flow_digest"), "left")
+            .select(id_col, F.col("flow_license").alias("text_license"), "text_digest",
                     F.size("lines").cast("long").alias("n_notice_lines"),
                     F.array_sort(F.array_distinct("lines")).alias("notice_licenses")))

@@ -4,6 +4,7 @@ toxicity network against brute force."""
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -258,6 +259,25 @@ def test_license_texts_and_notices(spark):
     assert known.count() == known.select("digest").distinct().count() > 100
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def test_license_texts_in_any_wrapping(spark):
+    full = [("MIT", licenses.MIT_GRANT), ("ISC", licenses.ISC_TEXT), ("Zlib", licenses.ZLIB_TEXT)]
+    statements = ["", "Copyright (c) 2020 Someone\n\n", "(c) 2019-2021 A. B. <a@b.org>\nAll rights reserved.\n",
+                  "Copyright Jane Doe\n", "copyright jane doe\n", "Copyright (c) 2020 Someone ", "\u00a9 Someone Else. All rights reserved. "]
+    cases = [(k, s + (wrapped(t, w) if w else t)) for k, t in full for s in statements
+             for w in (None, 20, 33, *range(40, 101, 5))]
+    cases += [(k, s + before + last) for k, t in full for s in statements[:2] for at in re.finditer("(?i)copyright", t)
+              for before, last in [(t[:at.start()].rstrip() + "\n", t[at.start():]),
+                                   (t[:at.end()] + "\n", t[at.end():].lstrip())]]
+    cases += [(None, licenses.MIT_GRANT + x) for x in ("\nand more", "\ncopyright holders may object",
+                                                       "\n(c) You must pay for it.")]
+    got = rows_of(licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])))
+    assert [(c, r[1]) for c, r in zip(cases, got) if c[0] != r[1]] == []
+
+
 # --- chats -----------------------------------------------------------------
 def plain_cost(codes):
     """Least cost by relaxing over (turns read, state)."""
