@@ -4,7 +4,8 @@ A text is brought to a canonical form (case, punctuation, copyright lines and
 equivalent spellings leave no trace), and the SHA-256 of the form is looked up
 among those of known licenses: for the whole text, and for each line, since
 short notices stand on lines of their own. Known texts go through the same
-form, so a change of the form needs no new table.
+form, so a change of the form needs no new table; the long texts of which only
+digests are kept (`license_digests`) are the exception.
 
 The form of a whole text that is made of the forms of its lines depends on
 where the lines break. So the license of a whole text is looked up by its
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapflow.llm.license_digests import FULL_DIGESTS
 from tapflow.llm.reputation import LOWER, UPPER
 
 # Equivalent spellings, applied in order to lower-case words with single spaces.
@@ -151,10 +153,13 @@ def known_digests(spark: SparkSession) -> DataFrame:
 
 
 def known_flows(spark: SparkSession) -> DataFrame:
-    """(flow_digest, flow_license) of the known texts by their flowed forms."""
+    """(flow_digest, flow_license) of the known texts by their flowed forms, and
+    of the complete texts known by digest."""
+    kept = spark.createDataFrame([(d, k) for k, ds in FULL_DIGESTS.items() for d in ds],
+                                 "flow_digest string, license string")
     rows = spark.createDataFrame(known_texts(), "license string, text string")
     flows = rows.select(digest(flowed(F.col("text"))).alias("flow_digest"), "license")
-    return flows.groupBy("flow_digest").agg(F.min("license").alias("flow_license"))
+    return flows.unionByName(kept).groupBy("flow_digest").agg(F.min("license").alias("flow_license"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 toxicity network against brute force."""
 
 import itertools
+import os
 import random
 import re
 import textwrap
@@ -278,6 +279,36 @@ def test_license_texts_in_any_wrapping(spark):
     assert [(c, r[1]) for c, r in zip(cases, got) if c[0] != r[1]] == []
 
 
+BSD_2 = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted '
+    'provided that the following conditions are met: 1. Redistributions of source code must retain the '
+    'above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions '
+    'in binary form must reproduce the above copyright notice, this list of conditions and the '
+    'following disclaimer in the documentation and/or other materials provided with the distribution. '
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+    'IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    'FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR '
+    'CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL '
+    'DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, '
+    'DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER '
+    'IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT '
+    'OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.')
+SHIPPED = "/usr/share/common-licenses"
+SHIPPED_NAMES = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0",
+                 "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+def test_complete_license_texts_by_digest(spark):
+    cases = [("BSD-2-Clause", s + (wrapped(BSD_2, w) if w else BSD_2)) for w in (None, 60, 72, 79, 100)
+             for s in ("", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n")] + [(None, BSD_2 + " and more")]
+    for file, name in SHIPPED_NAMES.items():
+        if os.path.exists(f"{SHIPPED}/{file}"):
+            text = open(f"{SHIPPED}/{file}", encoding="utf-8").read()
+            cases += [(name, text), (name, " ".join(text.split())), (None, text + "\nand more"), (None, text[:-100])]
+    got = rows_of(licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])))
+    assert [(i, c[0], r[1]) for i, (c, r) in enumerate(zip(cases, got)) if c[0] != r[1]] == []
+
+
 # --- chats -----------------------------------------------------------------
 def plain_cost(codes):
     """Least cost by relaxing over (turns read, state)."""
