@@ -1,7 +1,8 @@
 """URL filter: rules, and empirical-Bayes host reputation where no rule fits.
 
 Labelled page outcomes (bad or not) are counted for each host. The bad share
-of a host is shrunk through beta-binomial priors: the suffix is shrunk towards
+of a host is shrunk through beta-binomial priors: the public suffix (see
+`public_suffixes`) is shrunk towards
 the overall share, the registered domain towards its suffix, the host towards
 its domain. Each level has one precision, from the spread of its groups around
 their parents by moments, and a posterior variance that includes its parent's. A page is blocked if the lower posterior bound of
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapflow.llm.public_suffixes import BELOW, EXACT, EXCEPT, MOST_LABELS
 from tapflow.operators.common import cut_lineage
 
 Z = 1.645  # one-sided 95 % bound
@@ -53,12 +55,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def domain_of(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last one,
-    without a port; an address of digits is its own domain and suffix."""
+    """(registered domain, suffix): the longest public suffix (of several
+    labels as listed, else the last label) with one label more, and itself,
+    without a port; an address of digits is its own domain and suffix, and so
+    is a host that is a suffix."""
     bare = F.regexp_replace(host, r":[0-9]*$", "")
     number = bare.rlike(r"^[0-9.]+$")
-    return (F.when(number, bare).otherwise(F.regexp_extract(bare, r"([^.]*\.)?[^.]*$", 0)),
-            F.when(number, bare).otherwise(F.regexp_extract(bare, r"[^.]*$", 0)))
+    labels = F.size(F.split(bare, r"\.", -1))
+    ends = F.array(*[F.when(labels >= k, F.substring_index(bare, ".", -k)) for k in range(MOST_LABELS, 1, -1)])
+    ends = F.call_function("filter", ends, _is_suffix())
+    suffix = F.coalesce(F.try_element_at(ends, F.lit(1)), F.substring_index(bare, ".", -1))
+    domain = F.regexp_extract(F.left(bare, F.length(bare) - F.length(suffix)), r"[^.]*\.?$", 0)
+    return F.when(number, bare).otherwise(F.concat(domain, suffix)), F.when(number, bare).otherwise(suffix)
+
+
+def _is_suffix() -> Column:
+    """Whether a name of several labels is a public suffix, as a lambda (SQL
+    text, since thousands of literals are slow to make one by one)."""
+    exact, below, but = (", ".join(f"'{x}'" for x in sorted(s)) for s in (EXACT, BELOW, EXCEPT))
+    return F.expr(f"n -> n in ({exact}) or (substring(n, locate('.', n) + 1) in ({below}) and n not in ({but}))")
 
 
 def _shrunk(groups: DataFrame) -> DataFrame:
@@ -82,12 +97,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, host_col: str = "host
     ``outcomes`` (id, bad) of some of them: posterior mean and bounds of the
     bad share."""
     marked = outcomes.groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    hosts = cut_lineage(
+    domain, suffix = domain_of(F.col("host"))
+    hosts = cut_lineage(  # the list of suffixes is looked up once, and is not in the later plans
         pages.select(F.col(id_col).alias("page"), F.col(host_col).alias("host"))
         .join(marked, F.col("page") == F.col("id"), "left")
-        .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+        .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+        .withColumns({"domain": domain, "suffix": suffix}))
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("suffix", "domain").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)

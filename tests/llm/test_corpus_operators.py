@@ -243,6 +243,25 @@ def test_posterior_shrinks_towards_parents(spark):
     assert abs(got["new.d0.com"]["share"] - mean) < 0.1 and got["new.d0.com"]["low"] < min(r["low"] for r in d0)
 
 
+def test_domains_under_suffixes_of_several_labels(spark):
+    want = {"www.bad.co.uk": ("bad.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.github.io": ("b.github.io", "github.io"),
+            "shop.com.au:80": ("shop.com.au", "com.au"), "x.y.co.jp": ("y.co.jp", "co.jp"), "a.b.foo.ck": ("b.foo.ck", "foo.ck"),
+            "m.www.ck": ("www.ck", "ck"), "a.example.com": ("example.com", "com"), "com": ("com", "com"), "": ("", ""),
+            "a..com": (".com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "notco.uk": ("notco.uk", "uk"),
+            "a.notco.uk": ("notco.uk", "uk")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = reputation.domain_of(F.col("host"))
+    got = hosts.select("host", domain.alias("domain"), suffix.alias("suffix")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    # A bad site spread over subdomains with a label each, beside good ones under the same suffix.
+    names = [f"s{i}.bad.co.uk" for i in range(60)] + [f"www.good{i}.co.uk" for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(names)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i < 60) for i in range(120)], "id long, bad boolean")
+    found = reputation.judge_urls(pages, outcomes, []).collect()
+    assert {r["verdict"] for r in found if r["page_id"] < 60} == {"block"}
+    assert {r["verdict"] for r in found if r["page_id"] >= 60} == {"allow"}
+
+
 # --- licenses --------------------------------------------------------------
 def test_license_texts_and_notices(spark):
     mit = licenses.MIT_GRANT
