@@ -7,8 +7,9 @@ windows are broadcast; every document word position is hashed with the words
 after it, the hash is looked up, and hits are verified on the words
 themselves. A word inside any occurrence of a window is hit.
 
-The broadcast is bounded: items above ``PASS_BYTES`` of text are dealt to
-several passes, each with its own broadcast, whose hits add up on the rows.
+The broadcast is bounded: distinct items above ``PASS_BYTES`` of text are dealt
+by hash to several passes of at most that size on average (a pass may hold one
+large item more), each with its own broadcast, whose hits add up on the rows.
 
 A null text has no words. Items without words have no windows. Items are told
 apart by their id as text (a null id is ''); rows that repeat an id add
@@ -190,7 +191,7 @@ def _free_names(df: DataFrame) -> list[str]:
 def benchmark_passes(benchmark: DataFrame, item_col: str, item_text: str, pass_bytes: int) -> Iterator[list[tuple]]:
     """The items of each pass, as (id, text) on the driver."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"),
-                             F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+                             F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     passes = int(max(1, -(-total // pass_bytes)))
     for k in range(passes):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapflow.llm import chat, components, licenses, linededup, recurrent, reputation, simhash, toxicity
+from tapflow.llm import chat, components, decontamination, licenses, linededup, recurrent, reputation, simhash, toxicity
 
 from .test_text_operators import frame, rows_of
 
@@ -262,6 +262,15 @@ def test_domains_under_suffixes_of_several_labels(spark):
     assert {r["verdict"] for r in found if r["page_id"] >= 60} == {"allow"}
 
 
+# --- benchmark passes ------------------------------------------------------
+def test_repeated_benchmark_rows_reach_the_driver_once(spark):
+    rows = [(i, f"item {i} " * 5) for i in range(50)] + [(7, "copied item " * 5)] * 500 + [(None, None)] * 3
+    passes = list(decontamination.benchmark_passes(frame(spark, rows), "doc_id", "text", 1000))
+    got = [x for p in passes for x in p]
+    assert len(got) == len(set(got)) == 52 and len(passes) < 10
+    assert set(got) == {("" if i is None else str(i), t or "") for i, t in rows}
+
+
 # --- licenses --------------------------------------------------------------
 def test_license_texts_and_notices(spark):
     mit = licenses.MIT_GRANT
