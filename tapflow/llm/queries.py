@@ -17,9 +17,12 @@ from tapflow.llm.decontamination import scan_documents
 from tapflow.llm.licenses import COPYRIGHT_LINE, SPELLINGS, known_texts, scan_licenses
 from tapflow.llm.linededup import MIN_WORDS, dedup_lines
 from tapflow.llm.quality import quality_cascade
+from tapflow.llm.ranked import search_items
 from tapflow.llm.reputation import MAX_BAD, RHO_MAX, RHO_MIN, Z, judge_urls
+from tapflow.llm.runs import scan_runs
 from tapflow.llm.secrets import scan_secrets
 from tapflow.llm.simhash import simhash_components
+from tapflow.llm.tokencounts import count_tokens
 from tapflow.llm.toxicity import THRESHOLD, held_out, score_toxicity, train_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +241,96 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, train_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@register
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Every document scored for every item with a term in common.
+ORACLE["op11_ranked_search"] = r"""
+with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l,
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' as p),
+d as (select doc_id, regexp_extract_all(translate(text, u, l), p) as w from documents, letters where text is not null),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, u, l), p)) as term from benchmark, letters),
+size as (select cast(count(*) as bigint) as n_docs, cast(sum(len(w)) as bigint) as n_terms from d where len(w) > 0),
+tf as (select doc_id, len(w) as n, term, count(*) as tf from (select doc_id, w, unnest(w) as term from d) group by all),
+weight as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1))) as bigint) as w
+           from tf, size group by term, n_docs),
+score as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))
+                                       as bigint) as score
+          from tf join weight using (term) join q using (term), size group by item_id, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score where score > 0)
+where rank <= 50
+"""
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+', 0)"
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words of one document in ten, chosen by the
+    CRC-32 of its id, made periodic from a word on; in plain SQL functions."""
+    w = docs.selectExpr("doc_id", "text", "crc32(encode(cast(doc_id as string), 'UTF-8')) as h") \
+        .selectExpr("*", f"if(h % 10 = 0, {_words('text')}, null) as w") \
+        .selectExpr("*", "h div 10 as g", "cast(size(w) as bigint) as n")
+    w = w.selectExpr("*", "g % nullif(n, 0) as a").selectExpr("*", "1 + ((n - a) div (3 + g % 8)) as p")
+    looped = "array_join(transform(sequence(0L, n - 1), i -> get(w, cast(if(i < a, i, a + (i - a) % p) as int))), ' ')"
+    return w.selectExpr("doc_id", f"if(h % 10 = 0 and n > 0, {looped}, text) as text")
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    runs = scan_runs(with_loops(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = ("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> "
+            "if(b is null or r.length > b.length, r, b))")  # of equal lengths the first, by start and period
+    listed = r"concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))"
+    return (runs.selectExpr("*", f"{best} as best")
+            .selectExpr("doc_id", "cast(size(runs) as bigint) as n_runs", "best.start", "best.length", "best.period",
+                        "(1000 * best.length) div best.period as exponent_milli",
+                        f"sha2(encode({listed}, 'UTF-8'), 256) as runs_sha256",
+                        "sha2(encode(collapsed, 'UTF-8'), 256) as collapsed_sha256"))
+
+
+# CRC-32 bit by bit. A run holds a five-word window twice at the distance of
+# its period, so periods come from equal windows; places in a row at one
+# distance are a stretch, as long as it can be.
+ORACLE["op12_periodic_runs"] = r"""
+with id as (select doc_id, text, cast(doc_id as varchar) as s from documents),
+h as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+             xor(4294967295, list_reduce(list_prepend(4294967295::bigint, range(8 * len(s))),
+               lambda c, k: xor(xor(c, case when k % 8 = 0 then ascii(s[k // 8 + 1])::bigint else 0 end) >> 1,
+                 3988292384 * (xor(c, case when k % 8 = 0 then ascii(s[k // 8 + 1])::bigint else 0 end) & 1)))) as h from id),
+p as (select *, h // 10 as g, len(w) as n, a0 as a, 1 + (len(w) - a0) // (3 + (h // 10) % 8) as p
+      from (select *, case when len(w) > 0 then (h // 10) % len(w) else 0 end as a0 from h)),
+t as (select doc_id, n, case when h % 10 = 0 and n > 0
+        then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from p),
+win as (select doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') as five from (select *, unnest(range(n - 4)) as i from t)),
+same as (select a.doc_id, a.i, b.i - a.i as p from win a join win b using (doc_id, five)
+         where b.i > a.i and 4 * (b.i - a.i) <= a.n),
+stretch as (select doc_id, p, min(i) as start, count(*) + 4 + p as length
+            from (select *, i - row_number() over (partition by doc_id, p order by i) as isle from same) group by doc_id, p, isle),
+runs as (select doc_id, start, length, min(p) as period from stretch
+         where length >= greatest(6, 4 * p) group by doc_id, start, length),
+sums as (select doc_id, count(*) as n_runs, arg_max(r, (length, -start, -period)) as best,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed
+         from (select *, {'start': start, 'length': length, 'period': period} as r from runs) group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as words
+         from (select doc_id, unnest(w) as word, unnest(range(n)) as i from t) anti join gone using (doc_id, i) group by doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, cast(best.start as bigint) as start, cast(best.length as bigint) as length,
+       cast(best.period as bigint) as period, cast(1000 * best.length // best.period as bigint) as exponent_milli,
+       sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from t left join sums using (doc_id) left join kept using (doc_id)
+"""
+
+
+@register
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
