@@ -45,6 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _TABLES: dict[str, tuple[SparkSession, str]] = {}
 
 
+def table_path(spark: SparkSession) -> str:
+    """A fresh path under the shared checkpoint folder, which ``drop_tables``
+    removes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tapflow-tables/{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(drop_tables)
+    _TABLES[path] = (spark, path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     return a DataFrame reading it. The lineage is cut (a lost executor costs
@@ -53,12 +63,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     real size statistics, so later joins against small results broadcast.
     The tables of a session are removed by ``drop_tables``, at the latest
     when the driver's Python exits."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tapflow-tables/{uuid.uuid4().hex}"
-    if not _TABLES:
-        atexit.register(drop_tables)
-    _TABLES[path] = (spark, path)
+    spark, path = df.sparkSession, table_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -21,9 +21,10 @@ from tapflow.operators import load as L
 from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
-from tapflow.operators.common import cut_lineage, round_doubles
+from tapflow.operators.common import cut_lineage, round_doubles, table_path
 from tapflow.plans.oracle import STRATA, VALID_DATE
 from tapflow.sources import fixtures
+from tapflow.sources import readers
 from tapflow.sources.readers import clean_routes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +425,42 @@ def route_cleaning_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                          "dt_to": F.col("dt_to").cast("string")}))
 
 
+def _exported_routes(spark: SparkSession, sf_dir: str) -> str:
+    path = table_path(spark)
+    fixtures.export_routes(fixtures.load(spark, sf_dir)[1], path)
+    return path
+
+
+@register("csv_folder_routes")
+def csv_folder_routes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 on a folder: the route table written as CSV files of two layouts,
+    some lines of them malformed, read by each file's header and cleaned."""
+    rows = readers.read_routes_csv(spark, _exported_routes(spark, sf_dir))
+    return round_doubles(rows.withColumns({"dt_from": F.col("dt_from").cast("string"), "dt_to": F.col("dt_to").cast("string")}))
+
+
+@register("csv_rejects")
+def csv_rejects_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a typed scan of that folder does not show, the malformed
+    lines with their text and the rows with values that do not fit."""
+    schema = spark.createDataFrame([], "service string, direction int, BusStopSequence bigint, km double").schema
+    bad = readers.rejects(spark, _exported_routes(spark, sf_dir), schema)
+    good = F.col(readers.MALFORMED).isNull()  # the columns of a malformed line are not certain
+    return bad.select(F.col(readers.MALFORMED).alias("line"), F.when(good, F.concat_ws(",", "bad_columns")).alias("bad_columns"),
+                      *[F.when(good, F.col(c)).alias(c.lower()) for c in schema.names])
+
+
+@register("csv_folder_taps")
+def csv_folder_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2, S5 on a folder: the rides written as CSV files of two layouts, read
+    by each file's header with declared types, counted by day and hour."""
+    path = table_path(spark)
+    fixtures.export_taps(fixtures.load(spark, sf_dir)[0], path)
+    rides = T.with_route_key(T.bus_only(readers.read_taps_csv(spark, path)))
+    return round_doubles(rides.groupBy(_text("date"), "service", "direction", "source", F.hour("tap_out").alias("hour_out"))
+                         .agg(F.count(F.lit(1)).alias("rides"), F.sum("ride_km").alias("km")))
+
+
 @register("pca_features")
 def pca_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred PCA of the distance-histogram features to 3 components."""

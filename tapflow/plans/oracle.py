@@ -636,6 +636,34 @@ register("service_route", with_ctes(ROUTES) + """
 select stop, seq, round(km, 6) as km from r where service = 'S3' and direction = 2
 """)
 
+register("csv_folder_routes", "WITH " + BINDING + """
+select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, round(km, 6) as km,
+  cast(dt_from as varchar) as dt_from, cast(dt_to as varchar) as dt_to
+from routes where "BusStopSequence" not in (5, 7)
+""")
+
+register("csv_rejects", "WITH " + BINDING + """,
+t AS (
+  select *, cast(substr(service, 2) as bigint) % 2 = 0 as even, strftime(dt_from, '%d/%m/%Y') as f, strftime(dt_to, '%d/%m/%Y') as t,
+    coalesce(replace(cast(km as varchar), 'e', 'E'), 'n/a') as k from routes)
+select case when even and "BusStopSequence" = 5 then concat_ws(',', service, direction, "BusStopCode", 5)
+            when even then concat_ws(',', service, direction, "BusStopCode", 7, k, f, t, '?')
+            when "BusStopSequence" = 5 then concat_ws(',', direction, 'x', service, 5)
+            else concat_ws(',', direction, 'x', service, 7, t, f, "BusStopCode", k, '?') end as line,
+  cast(null as varchar) as bad_columns, cast(null as varchar) as service, cast(null as varchar) as direction,
+  cast(null as varchar) as busstopsequence, cast(null as varchar) as km
+from t where "BusStopSequence" in (5, 7)
+union all
+select null, 'km', service, cast(direction as varchar), cast("BusStopSequence" as varchar), 'n/a'
+from t where km is null and "BusStopSequence" not in (5, 7)
+""")
+
+register("csv_folder_taps", with_ctes(BUS) + """
+select cast(date as varchar) as date, service, direction, source, cast(extract(hour from tap_out) as integer) as hour_out,
+  count(*) as rides, round(sum(ride_km), 6) as km
+from bus group by all
+""")
+
 register("route_cleaning", "WITH " + BINDING + """
 select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, round(km, 6) as km,
   cast(dt_from as varchar) as dt_from,

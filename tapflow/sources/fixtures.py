@@ -105,3 +105,40 @@ def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     routes = routes_from_parts(part)
     return taps_from_events(table(spark, sf_dir, "events"), part, routes), routes
+
+
+def write_lines(rows: DataFrame, fields: dict[str, F.Column], path: str, extra: F.Column | None = None) -> None:
+    """Add files of CSV lines under the header ``fields`` to the folder
+    ``path``; ``extra`` gives, where it is not null, a line to write instead."""
+    line = F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields.values()])
+    one = rows.select(F.coalesce(extra, line).alias(",".join(fields)) if extra is not None else line.alias(",".join(fields)))
+    # a separator that does not occur, so that the lines are written as they are
+    one.write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "\u0002").csv(path)
+
+
+def export_routes(routes: DataFrame, path: str) -> None:
+    """The route table as a folder of CSV files in two layouts: services with
+    an even number in the declared order, the others in another order with a
+    surplus column. Sequence 5 is cut off after four fields, sequence 7 has a
+    field too many, and a missing km is written as n/a."""
+    c = {name: F.col(name) for name in ("service", "direction", "BusStopCode", "BusStopSequence")}
+    c |= {"km": F.coalesce(F.col("km").cast("string"), F.lit("n/a"))}
+    c |= {d: F.date_format(d, "dd/MM/yyyy") for d in ("dt_from", "dt_to")}
+    order = ["direction", "note", "service", "BusStopSequence", "dt_to", "dt_from", "BusStopCode", "km"]
+    even = F.substring("service", 2, 10).cast("bigint") % 2 == 0
+    for rows, fields in ((routes.filter(even), c), (routes.filter(~even), {n: c.get(n, F.lit("x")) for n in order})):
+        first = F.concat_ws(",", *[x.cast("string") for x in list(fields.values())[:4]])
+        whole = F.concat_ws(",", *[x.cast("string") for x in fields.values()])
+        seq = F.col("BusStopSequence")
+        write_lines(rows, fields, path, F.when(seq == 5, first).when(seq == 7, F.concat(whole, F.lit(",?"))))
+
+
+def export_taps(taps: DataFrame, path: str) -> None:
+    """The tap table as a folder of CSV files in two layouts, by the parity
+    of the ride's number."""
+    c = {n: F.col(n) for n in taps.columns} | {
+        n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in ("tap_in_time", "tap_out_time")}
+    turned = dict(reversed(c.items())) | {"ticket": F.lit("adult")}
+    odd = F.col("JOURNEY_ID") % 2 == 1
+    write_lines(taps.filter(~odd), c, path)
+    write_lines(taps.filter(odd), turned, path)
