@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_SHARED: dict[tuple, str] = {}
+
+
+def shared_table(spark: SparkSession, key: tuple, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build`` written once and read by all callers of the
+    session that give the same ``key`` and input files. The files' names,
+    sizes and times are part of the key, so changed inputs are computed anew;
+    so are tables that ``drop_tables`` removed."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime").collect()
+    key = (spark.sparkContext.applicationId, key, tuple(sorted(map(tuple, files))))
+    if _SHARED.get(key) not in _TABLES:
+        path = table_path(spark)
+        build().write.mode("overwrite").parquet(path)
+        _SHARED[key] = path
+    return spark.read.parquet(_SHARED[key])
+
+
 def drop_tables() -> None:
     """Remove all tables that ``cut_lineage`` wrote, once the results that
     read them have been written."""

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,20 +61,37 @@ def block_pairs(items: DataFrame, id_col: str, blocks: int, upper: bool):
     return left, right.select(*[F.col(c).alias(c) for c in right.columns])
 
 
-def dtw_batch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def dtw_batch(x: np.ndarray, y: np.ndarray, band: int | None = None) -> np.ndarray:
     """Exact dynamic time warping distance for P pairs at once (point cost
-    |x - y|, steps (1,0), (0,1), (1,1)). x: (P, n), y: (P, m)."""
+    |x - y|, steps (1,0), (0,1), (1,1)). x: (P, n), y: (P, m). A ``band``
+    allows only |i - j| <= max(band, |n - m|); none allows every path.
+
+    Works by anti-diagonals: the cells (i, k - i) of diagonal k depend on the
+    two diagonals before it alone, so one step evaluates a diagonal of every
+    pair. Cells are kept by i, with those outside the grid or band infinite."""
     p, n = x.shape
     m = y.shape[1]
-    prev = np.full((p, m + 1), np.inf)
-    prev[:, 0] = 0.0
-    for i in range(1, n + 1):
-        cur = np.full((p, m + 1), np.inf)
-        cost = np.abs(x[:, i - 1:i] - y)
-        for j in range(1, m + 1):
-            cur[:, j] = cost[:, j - 1] + np.minimum(np.minimum(prev[:, j], cur[:, j - 1]), prev[:, j - 1])
-        prev = cur
-    return prev[:, m]
+    if n == 0 or m == 0:
+        return np.full(p, 0.0 if n == m else np.inf)
+    reach = n + m if band is None else max(band, abs(n - m))
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])  # y backwards: a diagonal is a slice of both
+    before, last, now = (np.full((n + 2, p), np.inf) for _ in range(3))
+    cost = np.empty((n, p))
+    before[0] = 0.0
+    for k in range(2, n + m + 1):  # i + j = k, counted from 1
+        lo, hi = max(1, k - m, -((reach - k) // 2)), min(n, k - 1, (k + reach) // 2)
+        if lo > hi:
+            now[hi:lo + 1] = np.inf
+        else:
+            now[lo - 1] = now[hi + 1] = np.inf  # the ends beside the diagonal are read later
+            c, d = cost[:hi - lo + 1], now[lo:hi + 1]
+            np.subtract(xt[lo - 1:hi], yt[m - k + lo:m - k + hi + 1], out=c)
+            np.abs(c, out=c)
+            np.minimum(last[lo - 1:hi], last[lo:hi + 1], out=d)
+            np.minimum(d, before[lo - 1:hi], out=d)
+            d += c
+        before, last, now = last, now, before
+    return last[n].copy()
 
 
 def euclidean_batch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -93,8 +110,12 @@ def _by_length(values: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(at, np.stack([rows[i] for i in at])) for n in np.unique(sizes) for at in [np.flatnonzero(sizes == n)]]
 
 
-def _pair_task(metric: str):
-    kernel = KERNELS[metric]
+# Pairs that one step of the DTW kernel evaluates: its buffers stay in cache.
+KERNEL_PAIRS = 512
+
+
+def _pair_task(metric: str, band: int | None = None):
+    kernel = (lambda x, y: dtw_batch(x, y, band)) if metric == "dtw" else KERNELS[metric]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -104,26 +125,26 @@ def _pair_task(metric: str):
         out = []
         for la, x in _by_length(left["v"]):
             for rb, y in _by_length(right["v"]):
-                # pairs of equal lengths are evaluated together, a bounded chunk of rows at a time
-                chunk = max(1, TASK_BYTES // (8 * len(rb) * max(1, x.shape[1] + y.shape[1])))
-                for at in range(0, len(la), chunk):
-                    ia, ib = np.meshgrid(np.arange(at, min(len(la), at + chunk)), np.arange(len(rb)), indexing="ij")
-                    a, b = li[la[ia.ravel()]], ri[rb[ib.ravel()]]
-                    keep = a < b if same else a != b
-                    ia, ib, a, b = ia.ravel()[keep], ib.ravel()[keep], a[keep], b[keep]
-                    if len(ia):
-                        out.append(pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a),
-                                                 "distance": kernel(x[ia], y[ib])}))
+                # pairs of equal lengths are evaluated together, a bounded number at a time
+                ia, ib = np.meshgrid(np.arange(len(la)), np.arange(len(rb)), indexing="ij")
+                a, b = li[la[ia.ravel()]], ri[rb[ib.ravel()]]
+                keep = a < b if same else a != b
+                ia, ib, a, b = ia.ravel()[keep], ib.ravel()[keep], a[keep], b[keep]
+                d = [kernel(x[ia[k:k + KERNEL_PAIRS]], y[ib[k:k + KERNEL_PAIRS]]) for k in range(0, len(ia), KERNEL_PAIRS)]
+                if d:
+                    out.append(pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a),
+                                             "distance": np.concatenate(d)}))
         return pd.concat(out, ignore_index=True) if out else _empty_pairs()
 
     return run
 
 
 def pairwise(items: DataFrame, id_col: str, value_col: str, metric: str = "dtw",
-             blocks: int | None = None) -> DataFrame:
+             blocks: int | None = None, band: int | None = None) -> DataFrame:
     """M4 (``dtw``) or Euclidean distances for every unordered item pair:
     (id_a, id_b, distance) with id_a < id_b. ``blocks`` defaults to
-    ``n_blocks`` of the items and cores (one count job)."""
+    ``n_blocks`` of the items and cores (one count job). ``band`` limits how
+    far DTW may warp (see ``dtw_batch``)."""
     if metric not in KERNELS:
         raise ValueError(f"metric must be one of {sorted(KERNELS)}")
     # the item table (n rows) is materialised once: both block sides and the
@@ -134,7 +155,125 @@ def pairwise(items: DataFrame, id_col: str, value_col: str, metric: str = "dtw",
         blocks = _blocks_for(src)
     left, right = block_pairs(src, "id", blocks, upper=True)
     return (left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
-            .applyInPandas(_pair_task(metric), PAIR_SCHEMA))
+            .applyInPandas(_pair_task(metric, band), PAIR_SCHEMA))
+
+
+def dtw_bounds(x: np.ndarray, y: np.ndarray, band: int | None = None) -> np.ndarray:
+    """Lower bounds of the DTW distances of every x (P, n) to every y (Q, m):
+    each value of the one is aligned with a value of the other within the
+    band, so it costs at least its distance to their range (the envelope);
+    the larger of both directions. A matrix (P, Q)."""
+    def one_way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = a.shape[1], b.shape[1]
+        reach = n + m if band is None else max(band, abs(n - m))
+        out = np.zeros((len(a), len(b)))
+        for i in range(n):
+            lo, hi = max(0, i - reach), min(m, i + reach + 1)
+            if lo < hi:
+                low, high = b[:, lo:hi].min(axis=1), b[:, lo:hi].max(axis=1)
+                v = a[:, i:i + 1]
+                out += np.maximum(np.maximum(low[None, :] - v, v - high[None, :]), 0)
+        return out
+
+    return np.maximum(one_way(x, y), one_way(y, x).T)
+
+
+def _nearest_task(band: int | None):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        li, ri = left["id"].astype(str).to_numpy(), right["id"].astype(str).to_numpy()
+        lv, rv = _by_length(left["v"]), _by_length(right["v"])
+        bound = np.full((len(li), len(ri)), np.inf)
+        for la, x in lv:
+            for rb, y in rv:
+                bound[np.ix_(la, rb)] = dtw_bounds(x, y, band)
+        bound *= 1 - 1e-12  # a bound is a sum in another order than the distance
+        bound[li[:, None] == ri[None, :]] = np.inf
+        open_pairs = np.isfinite(bound)
+        best, who = np.full(len(li), np.inf), np.full(len(li), None, dtype=object)
+        done, total = 0, int(open_pairs.sum())
+        place = {id(at): {r: k for k, r in enumerate(at.tolist())} for at, _ in [*lv, *rv]}
+        # the most promising candidates of every item first, then all that can still be as near
+        share = max(1, len(ri) // 16)
+        while open_pairs.any():
+            masked = np.where(open_pairs, bound, np.inf)
+            take = np.argpartition(masked, min(share, len(ri)) - 1, axis=1)[:, :share]
+            chosen = np.zeros_like(open_pairs)
+            np.put_along_axis(chosen, take, True, axis=1)
+            chosen &= open_pairs
+            open_pairs &= ~chosen
+            for la, x in lv:
+                for rb, y in rv:
+                    a, b = np.nonzero(chosen[np.ix_(la, rb)])
+                    for k in range(0, len(a), KERNEL_PAIRS):
+                        d = dtw_batch(x[a[k:k + KERNEL_PAIRS]], y[b[k:k + KERNEL_PAIRS]], band)
+                        done += len(d)
+                        for row, other, dist in zip(la[a[k:k + KERNEL_PAIRS]].tolist(), ri[rb[b[k:k + KERNEL_PAIRS]]], d.tolist()):
+                            if dist < best[row] or (dist == best[row] and other < who[row]):
+                                best[row], who[row] = dist, other
+            open_pairs &= bound <= best[:, None]
+        found = np.flatnonzero(np.isfinite(best))
+        counts = np.zeros(len(found), np.int64)
+        skipped = counts.copy()
+        if len(found):  # the counts of the task are on its first row
+            counts[0], skipped[0] = done, total - done
+        return pd.DataFrame({"id": li[found], "neighbour": who[found], "distance": best[found],
+                             "evaluated": counts, "skipped": skipped})
+
+    return run
+
+
+def nearest(items: DataFrame, id_col: str, value_col: str, band: int | None = None,
+            blocks: int | None = None) -> DataFrame:
+    """M4: the nearest other item of every item by DTW, ties by the smaller
+    id: (id, neighbour, distance, evaluated, skipped). Candidates are taken by
+    rising lower bound, and a pair whose bound is above the item's best so far
+    is skipped; both numbers of pairs are given, summed over the items that a
+    block's tasks listed first (their totals are those of the whole)."""
+    src = cut_lineage(items.select(F.col(id_col).cast("string").alias("id"),
+                                   F.col(value_col).cast("array<double>").alias("v")))
+    if blocks is None:
+        blocks = _blocks_for(src)
+    left, right = block_pairs(src, "id", blocks, upper=False)
+    part = (left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
+            .applyInPandas(_nearest_task(band), "id string, neighbour string, distance double, evaluated bigint, skipped bigint"))
+    return (part.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("m"), F.sum("evaluated").alias("evaluated"),
+                                   F.sum("skipped").alias("skipped"))
+            .select("id", "m.neighbour", "m.distance", "evaluated", "skipped"))
+
+
+def numbered(ids: DataFrame, id_col: str) -> DataFrame:
+    """(id, number): the distinct ids numbered from 0 in their order, without
+    one task that sees all of them: ids are range-partitioned and sorted, and
+    each partition's numbers start at the sum of the sizes before it."""
+    ordered = cut_lineage(ids.select(F.col(id_col).alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+                          .select("id", F.spark_partition_id().alias("part"),
+                                  F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ordered.join(F.broadcast(starts), "part").select("id", (F.col("start") + F.col("at")).alias("number"))
+
+
+def condensed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M5: the pair table as a condensed vector (place, distance), the upper
+    triangle row by row, and the items' numbers (id, number). The pair (i, j)
+    of n items, i < j, is at n i - i (i + 1) / 2 + j - i - 1."""
+    items = cut_lineage(numbered(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id"))
+    n = items.select(F.count(F.lit(1))).scalar()
+    i, j = F.col("i"), F.col("j")
+    placed = (pairs.join(items.toDF("id_a", "i"), "id_a").join(items.toDF("id_b", "j"), "id_b")
+              .select((n * i - F.expr("i * (i + 1) div 2") + j - i - 1).alias("place"), "distance"))
+    return placed, items
+
+
+def uncondensed(vector: DataFrame, n: F.Column) -> DataFrame:
+    """(place, i, j, distance) from a condensed vector over ``n`` items. The
+    row is the root of a quadratic, mended by one where the double is off."""
+    start = lambda i: n * i - F.floor(i * (i + 1) / 2)  # noqa: E731  place of the first pair of row i
+    guess = F.floor((2 * n - 1 - F.sqrt((2 * n - 1) * (2 * n - 1) - 8 * F.col("place"))) / 2).cast("bigint")
+    i = F.when(start(guess) > F.col("place"), guess - 1).when(start(guess + 1) <= F.col("place"), guess + 1).otherwise(guess)
+    rows = vector.withColumn("i", i)
+    return rows.select("place", "i", (F.col("place") - start(F.col("i")) + F.col("i") + 1).cast("bigint").alias("j"), "distance")
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

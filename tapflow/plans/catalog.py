@@ -21,7 +21,7 @@ from tapflow.operators import load as L
 from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
-from tapflow.operators.common import cut_lineage, round_doubles, table_path
+from tapflow.operators.common import cut_lineage, round_doubles, shared_table, table_path
 from tapflow.plans.oracle import STRATA, VALID_DATE
 from tapflow.sources import fixtures
 from tapflow.sources import readers
@@ -299,22 +299,56 @@ def _embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(_embedding_points(spark, sf_dir).withColumn("features", array_to_vector("values")))
 
 
+# The distances and the linkage of the stop series are read by several queries
+# of a session, which share one table of each.
+def _series_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_table(spark, ("dtw",), [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "part")],
+                        lambda: D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+
+
+def _series_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_table(spark, ("ward",), [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "part")],
+                        lambda: C.ward_linkage(_series_pairs(spark, sf_dir)))
+
+
 @register("dtw_distances")
 def dtw_distances_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact DTW between the stop series of every pair of routes."""
-    return round_doubles(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+    return round_doubles(_series_pairs(spark, sf_dir))
+
+
+@register("dtw_banded")
+def dtw_banded_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 with a warping band of 4 positions around the diagonal."""
+    return round_doubles(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw", band=4))
+
+
+@register("dtw_nearest")
+def dtw_nearest_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: the nearest route of every route by DTW, found with lower bounds."""
+    near = D.nearest(_series_items(spark, sf_dir), "item", "values")
+    return round_doubles(near.select("id", "neighbour", "distance"))
 
 
 @register("distance_matrix")
 def distance_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: the DTW matrix in long form (both orientations and the diagonal)."""
-    return round_doubles(D.mirrored(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw")))
+    return round_doubles(D.mirrored(_series_pairs(spark, sf_dir)))
+
+
+@register("condensed_distances")
+def condensed_distances_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: the DTW distances as a condensed vector, with the items' numbers
+    found again from the places."""
+    pairs, items = D.condensed(_series_pairs(spark, sf_dir))
+    n = items.select(F.count(F.lit(1))).scalar()
+    return round_doubles(D.uncondensed(pairs, n).select("place", "i", "j", "distance"))
 
 
 @register("ward_merges")
 def ward_merges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward linkage of the DTW distances, with height gaps."""
-    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
+    merges = _series_linkage(spark, sf_dir)
     gaps = C.merge_gaps(merges)
     return round_doubles(merges.join(gaps.select("step", "gap", "suggested_k"), "step")
                          .select("step", "left", "right", "height", "size", "gap", "suggested_k"))
@@ -325,17 +359,39 @@ def ward_heights_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward merge heights and sizes in merge order, with the height
     gaps and the suggested number of clusters (cluster ids left out, so the
     result compares with a sequential implementation)."""
-    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
-    gaps = C.merge_gaps(merges)
-    return round_doubles(merges.join(gaps.select("step", "gap", "suggested_k"), "step")
-                         .select("step", "height", "size", "gap", "suggested_k"))
+    return ward_merges_q(spark, sf_dir).select("step", "height", "size", "gap", "suggested_k")
+
+
+@register("ward_embeddings")
+def ward_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 from vectors: Ward linkage of the embeddings, no pair table."""
+    return round_doubles(C.ward_from_vectors(_embedding_points(spark, sf_dir), "id", "values")
+                         .select("step", "left", "right", "height", "size"))
 
 
 @register("ward_clusters")
 def ward_clusters_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: maxclust cuts for k = 5..16."""
-    merges = C.ward_linkage(D.pairwise(_series_items(spark, sf_dir), "item", "values", "dtw"))
-    return C.cut_sweep(merges, range(5, 17))
+    return C.cut_sweep(_series_linkage(spark, sf_dir), range(5, 17))
+
+
+@register("ward_tied_cuts")
+def ward_tied_cuts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 on tied heights: the embeddings on a coarse grid repeat, so cuts
+    into nearly as many clusters as items give fewer."""
+    points = _embedding_points(spark, sf_dir).select("id", F.transform(F.slice("values", 1, 2), lambda x: F.floor(x * 2) * 1.0)
+                                                     .alias("values"))
+    merges = shared_table(spark, ("ward_grid",), [f"{sf_dir.rstrip('/')}/embeddings.parquet"],
+                          lambda: C.ward_from_vectors(points, "id", "values"))
+    n = merges.count() + 1
+    cuts = C.cut_sweep(merges, [n - n // 10, n - n // 4, n // 2])
+    return cuts.groupBy("k").agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("items"))
+
+
+@register("ward_threshold_cuts")
+def ward_threshold_cuts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: flat clusters below given heights."""
+    return C.cut_heights(_series_linkage(spark, sf_dir), [0.5, 1.0, 2.0])
 
 
 @register("cluster_charts")
@@ -345,7 +401,7 @@ def cluster_charts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     taps, routes = bus_taps(spark, sf_dir)
     tr = OD.trips(taps, routes)
     items = _series_items(spark, sf_dir)
-    labels = C.cut(C.ward_linkage(D.pairwise(items, "item", "values", "dtw")), 5)
+    labels = C.cut(_series_linkage(spark, sf_dir), 5)
     stops = routes.select("service", "direction", "seq", "stop")
     return (labels.join(items.select("item", "service", "direction", F.size("values").alias("n_values")), "item")
             .join(tr, ["service", "direction"])

@@ -621,6 +621,95 @@ join trips t on t.service || ':' || cast(t.direction as varchar) = g.item
 where g.k = 5
 """)
 
+def banded(band: int) -> str:
+    """DTW with the cells of |i - j| <= max(band, |n - m|) alone."""
+    return DTW.replace("when i >= 1 and k + 1 - i between 1 and m",
+                       f"when i >= 1 and k + 1 - i between 1 and m and abs(2 * i - k - 1) <= greatest({band}, abs(n - m))")
+
+
+register("dtw_banded", with_ctes(*DAY_SERIES, banded(4)).replace("WITH ", "WITH RECURSIVE ", 1) + """
+select id_a, id_b, round(distance, 6) as distance from dist
+""")
+
+register("dtw_nearest", with_ctes(*DAY_SERIES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, ends AS (select id_a as id, id_b as other, distance from dist union all select id_b, id_a, distance from dist)
+select id, arg_min(other, (round(distance, 9), other)) as neighbour, round(min(distance), 6) as distance from ends group by id
+""")
+
+register("condensed_distances", with_ctes(*DAY_SERIES, DTW).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, num AS (select item, row_number() over (order by item) - 1 as i from items)
+select row_number() over (order by a.i, b.i) - 1 as place, a.i as i, b.i as j, round(distance, 6) as distance
+from dist join num a on a.item = id_a join num b on b.item = id_b
+""")
+
+# Clusters below a height: an item belongs to the latest merge up to it that
+# holds the item.
+register("ward_threshold_cuts", with_ctes(*DAY_SERIES, DTW, WARD).replace("WITH ", "WITH RECURSIVE ", 1) + """
+, mm AS (select step, height, unnest(members) as item from heights),
+hh AS (select unnest([0.5, 1.0, 2.0])::double as height),
+grp AS (
+  select hh.height, it.item,
+    coalesce('m' || cast((select max(mm.step) from mm where mm.item = it.item and mm.height <= hh.height) as varchar), it.item) as grp
+  from hh, items it),
+firsts AS (select height, grp, min(item) as first from grp group by all)
+select g.height, g.item, cast(dense_rank() over (partition by g.height order by f.first) as integer) as cluster
+from grp g join firsts f on f.height = g.height and f.grp = g.grp
+""")
+
+# Sequential Ward over a full matrix of squared distances, one row of it for
+# each cluster; a row keeps its nearest among the later clusters.
+def ward_matrix(points: str) -> str:
+    return f"""
+num AS (select id, v, cast(row_number() over (order by id) as integer) as i from {points}),
+mat AS (
+  select a.i, a.id, list(case when b.i > a.i then list_sum(list_transform(range(1, len(a.v) + 1), lambda k: (a.v[k] - b.v[k]) * (a.v[k] - b.v[k])))
+                         else 'inf'::double end order by b.i) as r
+  from num a, num b group by a.i, a.id),
+ward AS (
+  select 0 as step, list(r order by i) as m, list(1::double order by i) as sz, list(id order by i) as ids,
+    0 as a, 0 as b, 0::double as h from mat
+  union all
+  select step + 1,
+    list_transform(m, lambda r, x: case
+      when x = b0 then list_transform(r, lambda q: 'inf'::double)
+      when x > b0 then r
+      when x < a0 then list_transform(r, lambda q, y: case
+        when y = b0 then 'inf'::double
+        when y = a0 and q < 'inf'::double then ((sz[a0] + sz[x]) * q + (sz[b0] + sz[x]) * r[b0] - sz[x] * h0) / (sz[a0] + sz[b0] + sz[x])
+        else q end)
+      when x = a0 then list_transform(r, lambda q, y: case
+        when y <= a0 or y = b0 or q = 'inf'::double then 'inf'::double
+        else ((sz[a0] + sz[y]) * q + (sz[b0] + sz[y]) * (case when y > b0 then m[b0][y] else m[y][b0] end) - sz[y] * h0)
+             / (sz[a0] + sz[b0] + sz[y]) end)
+      else list_transform(r, lambda q, y: case when y = b0 then 'inf'::double else q end) end),
+    list_transform(sz, lambda q, y: case when y = a0 then q + sz[b0] else q end), ids, a0, b0, h0
+  from (select *, list_position(m[a0], h0) as b0 from (
+    select *, list_position(mins, h0) as a0 from (
+      select *, list_min(mins) as h0 from (select *, list_transform(m, lambda r: list_min(r)) as mins from ward
+                                           where step < len(sz) - 1)))) w),
+steps AS (select step, ids[a] as lft, ids[b] as rgt, sqrt(greatest(h, 0)) as height, cast(sz[a] as bigint) as size
+          from ward where step > 0)"""
+
+
+register("ward_embeddings", "WITH RECURSIVE points AS (select cast(vec_id as varchar) as id, cast(embedding as double[]) as v "
+         "from embeddings)," + ward_matrix("points") + """
+select cast(row_number() over (order by height, step) as integer) as step, lft as "left", rgt as "right",
+  round(height, 6) as height, size from steps
+""")
+
+# The number of clusters at the lowest height that leaves at most k.
+register("ward_tied_cuts", "WITH RECURSIVE points AS (select cast(vec_id as varchar) as id, "
+         "list_transform(cast(embedding as double[])[1:2], lambda x: floor(x * 2)) as v from embeddings),"
+         + ward_matrix("points") + """,
+n AS (select count(*) + 1 as n from steps),
+ks AS (select n, unnest([n - n // 10, n - n // 4, n // 2]) as k from n),
+ranked AS (select height, row_number() over (order by height) as pos from steps)
+select cast(k as integer) as k, n - (select count(*) from steps s
+    where s.height <= (select height from ranked where pos = n - k) + 1e-9 * (select max(height) from steps)) as clusters,
+  n as items
+from ks
+""")
+
 register("embedding_profile", """
 with v as (select vec_id, label, unnest(embedding) as value, unnest(range(0, len(embedding))) as position from embeddings)
 select 0 as k, cast(label as varchar) as cluster, cast(position as integer) as position,
