@@ -415,30 +415,21 @@ def cluster_charts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kmeans_sweep")
 def kmeans_sweep_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8, M9: per stratum, k-means (random init, one seed, to convergence)
-    and exact silhouette for k = 2..40 over the distance-histogram features;
-    cost and silhouette are null for a k above the stratum's items."""
+    """M8, M9: per stratum, the least-cost k-means of 5 seeds and its exact
+    silhouette for k = 2..40 over the distance-histogram features; cost and
+    silhouette are null for a k above the stratum's items. All fits of both
+    strata share their iterations."""
     items = cut_lineage(T.assign_stratum(_histogram_items(spark, sf_dir), STRATA))
-    out = []
-    for stratum in STRATA:
-        part = items.filter(F.col("stratum") == stratum)
-        n = part.count()
-        wanted = spark.range(2, 41).select(F.lit(stratum).alias("stratum"), F.col("id").cast("int").alias("k"),
-                                           F.lit(n).cast("bigint").alias("n_items"))
-        if n < 2:
-            out.append(wanted.withColumns({c: F.lit(None).cast("double") for c in ("cost", "silhouette")}))
-            continue
-        sweep, _ = C.kmeans_sweep(part, range(2, min(40, n) + 1), restarts=1)
-        out.append(wanted.join(sweep, "k", "left").select("stratum", "k", "n_items", "cost", "silhouette"))
-    return round_doubles(out[0].unionByName(out[1]))
+    sweep, _ = C.kmeans_sweep(items, range(2, 41), restarts=5, group_col="stratum")
+    sizes = items.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_items"))
+    return round_doubles(sweep.join(sizes, "stratum").select("stratum", "k", "n_items", "cost", "silhouette"))
 
 
 @register("cluster_profile")
 def cluster_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-means labels for k = 3 and the mean profile per cluster."""
     items = _histogram_items(spark, sf_dir)
-    model, _ = C.kmeans_best(items, 3, restarts=2)
-    labels = model.transform(items).select("item", F.lit(3).alias("k"), "cluster")
+    labels = C.kmeans_fits(items, [3], restarts=2).labels.select(F.col("id").alias("item"), "k", "cluster")
     return round_doubles(C.cluster_profile(labels, items))
 
 
@@ -537,12 +528,17 @@ def silhouette_score_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(C.silhouette_score(_embedding_points(spark, sf_dir), "id", "label", "values"))
 
 
+@register("silhouette_squared")
+def silhouette_squared_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9, fast mode: silhouettes of the embeddings by squared distances."""
+    points = C.silhouette_by_squares(_embedding_points(spark, sf_dir), "label", "values")
+    return round_doubles(points.select("id", "label", "a", "b", "silhouette"))
+
+
 @register("kmeans_embeddings")
 def kmeans_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8 at larger n: k-means (k = 10, best of 2 seeds) over the embeddings."""
-    pts = _embedding_vectors(spark, sf_dir)
-    model, _ = C.kmeans_best(pts, 10, restarts=2)
-    return model.transform(pts).select("id", "cluster")
+    """M8 at larger n: k-means (k = 10, best of 5 seeds) over the embeddings."""
+    return C.kmeans_fits(_embedding_points(spark, sf_dir), [10], restarts=5, id_col="id").labels.select("id", "cluster")
 
 
 @register("kmeans_invariants")

@@ -816,3 +816,103 @@ register("kmeans_invariants", """
 select cast(10 as bigint) as clusters, count(*) as points, cast(0 as bigint) as misassigned, cast(0 as bigint) as off_centre
 from embeddings
 """)
+
+
+def lloyd(points: str, ks: str, restarts: int) -> str:
+    """Lloyd's algorithm for every (stratum, k, seed) of ``points`` (stratum,
+    id, v), from the k first items in the order of the MD5 of seed and id;
+    ``best`` has the least cost of each (stratum, k), ``lab`` its labels."""
+    return f"""
+pts AS (select stratum, id, v from {points}),
+size AS (select stratum, count(*) as n from pts group by stratum),
+drawn AS (
+  select stratum, seed, v, row_number() over (partition by stratum, seed order by md5(seed || ':' || id), id) as pos
+  from pts, (select unnest(range(1, {restarts + 1})) as seed)),
+lloyd AS (
+  select stratum, k, seed, list(v order by pos) as c, true as moves
+  from drawn join size using (stratum), (select unnest({ks}) as k) where pos <= k and k <= n group by all
+  union all
+  select stratum, k, seed, new as c,
+    list_max(list_transform(range(1, k + 1), lambda j: list_max(list_transform(range(1, len(new[j]) + 1),
+      lambda d: abs(new[j][d] - c[j][d]))))) > 1e-9 as moves
+  from (
+    select stratum, k, seed, c, list_transform(range(1, k + 1), lambda j:
+        coalesce(list_filter(means, lambda m: m.label = j)[1].mean, c[j])) as new
+    from (
+      select stratum, k, seed, c, list(struct_pack(label := label, mean := mean)) as means
+      from (
+        select stratum, k, seed, any_value(c) as c, label, list(x order by d) as mean
+        from (
+          select stratum, k, seed, any_value(c) as c, label, d, avg(v[d]) as x
+          from (
+            select *, unnest(range(1, len(v) + 1)) as d
+            from (
+              select *, list_position(dist, list_min(dist)) as label
+              from (
+                select l.stratum, l.k, l.seed, l.c, p.v, list_transform(l.c, lambda m:
+                    list_sum(list_transform(range(1, len(m) + 1), lambda d: (p.v[d] - m[d]) * (p.v[d] - m[d])))) as dist
+                from lloyd l join pts p on p.stratum = l.stratum where l.moves)))
+          group by stratum, k, seed, label, d)
+        group by stratum, k, seed, label)
+      group by stratum, k, seed, c))),
+near AS (
+  select l.stratum, l.k, l.seed, p.id, p.v, list_transform(l.c, lambda m:
+      list_sum(list_transform(range(1, len(m) + 1), lambda d: (p.v[d] - m[d]) * (p.v[d] - m[d])))) as dist
+  from lloyd l join pts p on p.stratum = l.stratum where not l.moves),
+costs AS (select stratum, k, seed, sum(list_min(dist)) as cost from near group by all),
+best AS (select stratum, k, arg_min(seed, (round(cost, 7), seed)) as seed, arg_min(cost, (round(cost, 7), seed)) as cost
+         from costs group by all),
+lab AS (select stratum, k, id, v, cast(list_position(dist, list_min(dist)) - 1 as integer) as cluster
+        from near semi join best using (stratum, k, seed))"""
+
+
+_STRATUM = "case " + " ".join(f"when service in ({', '.join(repr(x) for x in v)}) then '{k}'" for k, v in STRATA.items()) + " end"
+_HISTOGRAM_POINTS = "hist_points AS (" + _HISTOGRAM + """),
+hist AS (select service, service || ':' || cast(direction as varchar) as id, list(feature order by position) as v
+  from hist_points group by service, direction)"""
+
+register("kmeans_sweep", "WITH RECURSIVE " + _HISTOGRAM_POINTS + f""",
+listed AS (select {_STRATUM} as stratum, id, v from hist where {_STRATUM} is not null),""" + lloyd("listed", "range(2, 41)", 5) + """,
+d AS (
+  select a.stratum, a.id as x, b.id as y, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda d: (a.v[d] - b.v[d]) * (a.v[d] - b.v[d])))) as dist
+  from pts a join pts b on a.stratum = b.stratum),
+sums AS (
+  select a.stratum, a.k, a.id, a.cluster, b.cluster as other, count(*) as n, sum(dist) as s
+  from lab a join lab b on a.stratum = b.stratum and a.k = b.k join d on d.stratum = a.stratum and d.x = a.id and d.y = b.id
+  group by all),
+ab AS (
+  select stratum, k, id, max(case when other = cluster and n > 1 then s / (n - 1) end) as a,
+    min(case when other <> cluster then s / n end) as b from sums group by stratum, k, id),
+sil AS (
+  select stratum, k, avg(case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as s
+  from ab group by all)
+select size.stratum, cast(kk.k as integer) as k, size.n as n_items, round(best.cost, 6) as cost, round(sil.s, 6) as silhouette
+from size cross join (select unnest(range(2, 41)) as k) kk
+left join best on best.stratum = size.stratum and best.k = kk.k left join sil on sil.stratum = size.stratum and sil.k = kk.k
+""")
+
+register("cluster_profile", "WITH RECURSIVE " + _HISTOGRAM_POINTS + """,
+whole AS (select '' as stratum, id, v from hist),""" + lloyd("whole", "[3]", 2) + """
+select cast(k as integer) as k, cluster, cast(position as integer) as position, round(avg(x), 6) as mean, count(*) as members
+from (select k, cluster, unnest(v) as x, unnest(range(len(v))) as position from lab) group by k, cluster, position
+""")
+
+_EMBEDDED = "points AS (select '' as stratum, cast(vec_id as varchar) as id, cast(embedding as double[]) as v from embeddings),"
+register("kmeans_embeddings", "WITH RECURSIVE " + _EMBEDDED + lloyd("points", "[10]", 5) + """
+select id, cluster from lab
+""")
+
+# Mean squared distances pair by pair.
+register("silhouette_squared", """
+with p as (select cast(vec_id as varchar) as id, cast(label as varchar) as label, cast(embedding as double[]) as v from embeddings),
+d as (
+  select a.id, a.label, b.label as other, count(*) as n,
+    sum(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) as s
+  from p a, p b group by all),
+ab as (
+  select id, label, max(case when other = label and n > 1 then s / (n - 1) end) as a,
+    min(case when other <> label then s / n end) as b from d group by id, label)
+select id, label, round(a, 6) as a, round(b, 6) as b,
+  round(case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end, 6) as silhouette
+from ab
+""")

@@ -69,8 +69,9 @@ def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None =
                restarts: int = 3, max_iter: int = C.KMEANS_MAX_ITER, out: str | None = None,
                charts: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """E2 for one stratum. v1: exact DTW between stop series, Ward linkage,
-    maxclust cuts (default k = 5..16). v2: k-means sweep (default k =
-    2..40; a k above the number of items raises) with exact silhouettes, and centred PCA to 3
+    maxclust cuts (default k = 5..16). v2: k-means sweep (default k = 2..40,
+    ``restarts`` seeds, all fits at once; a k above the number of items has
+    null cost and silhouette) with exact silhouettes, and centred PCA to 3
     components. With ``out`` the labels and member features are written as a
     tree partitioned by k and cluster, together with each member route's
     chart nodes and edges when ``charts`` (from ``chart_tables``) is given
@@ -94,9 +95,11 @@ def clustering(features: DataFrame, version: int = 2, ks: Iterable[int] | None =
     return result
 
 
-def chart_tables(taps: DataFrame, routes: DataFrame, valid_on: str) -> tuple[DataFrame, DataFrame]:
-    """Arc-diagram nodes (with degree) and edges for every route with rides."""
-    rides, valid = prepared(taps, routes, valid_on)
+def chart_tables(taps: DataFrame, routes: DataFrame, valid_on: str,
+                 period: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Arc-diagram nodes (with degree) and edges for every route with rides;
+    ``period`` as in ``prepared``, to count the rides that the features count."""
+    rides, valid = prepared(taps, routes, valid_on, period=period)
     trips_df = OD.trips(rides, valid)
     edges = G.edges(trips_df)
     served = OD.routes_with_taps(trips_df, valid)
