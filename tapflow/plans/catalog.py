@@ -21,6 +21,7 @@ from tapflow.operators import load as L
 from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
+from tapflow.operators import versions as V
 from tapflow.operators.common import cut_lineage, round_doubles, shared_table, table_path
 from tapflow.plans.oracle import STRATA, VALID_DATE
 from tapflow.sources import fixtures
@@ -203,6 +204,17 @@ def od_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("service", "direction", "seq", "pos", _join_ints("pax_to").alias("pax_to"), "boardings"))
 
 
+@register("running_load_as_of")
+def running_load_as_of_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 over a period: every ride on the route versions valid on its date;
+    running load per version and stop."""
+    taps, _ = bus_taps(spark, sf_dir)
+    routes = R.unique_occurrences(RouteColumns().standardise(fixtures.route_versions(fixtures.table(spark, sf_dir, "part"))))
+    counts = V.as_of(V.od_counts_by_date(taps), routes, ("2024-01-01", "2024-12-31"))
+    load = L.running_load(OD.served_totals(counts, R.with_positions(V.versioned(routes))))
+    return V.split_version(load).select("service", "direction", "version", "stop", "pos", "seq", "boardings", "alightings", "load")
+
+
 @register("vehicle_trips_boarding")
 def vehicle_trips_boarding_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 (terminal labels): distinct vehicle trips boarding per stop, summed over dates."""

@@ -154,6 +154,36 @@ select service, direction, stop, pos, seq, boardings, alightings, load from ld
 """)
 
 
+# Every version of every route, and the rides by the versions valid on their
+# date; the version is part of the key that the other steps group by.
+VERSIONS = """
+numbered AS (select *, cast(substr(service, 2) as bigint) as k from routes),
+versions AS (
+  select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, km, dt_from,
+    case when (k % 5 <> 0 or k % 11 = 5) and dt_to = date '2024-01-31' then date '2024-01-15' else dt_to end as dt_to
+  from numbered
+  union all
+  select 'S' || k, direction, case when length(code) < 5 then lpad(code, 5, '0') else code end,
+    case when direction = 1 then pos else 41 - pos end, case when direction = 1 then pos else 41 - pos end::double,
+    case when k % 9 = 4 then date '2024-01-11' else date '2024-01-16' end, date '9999-12-31'
+  from (select p_partkey // 40 as k, p_partkey % 40 + 1 as pos, cast(p_partkey as varchar) as code,
+          unnest([1, 2]) as direction from part)
+  where k % 5 <> 0 or k % 11 = 5),
+r AS (
+  select service || '@' || dt_from || '/' || dt_to as service, direction, stop, seq, km, dt_from, dt_to from versions),
+rides AS (
+  select v.key as service, b.direction, b.source, b.destination
+  from bus b join (select distinct service, direction, dt_from, dt_to, service || '@' || dt_from || '/' || dt_to as key
+                   from versions) v
+    on v.service = b.service and v.direction = b.direction and b.date between v.dt_from and v.dt_to)
+"""
+
+register("running_load_as_of", with_ctes(BUS, VERSIONS, served("rides"), trips("rides"), TOTALS) + """
+select split_part(service, '@', 1) as service, direction, split_part(service, '@', 2) as version, stop, pos, seq,
+  boardings, alightings, load
+from ld
+""")
+
 register("bus_taps", with_ctes(BUS) + """
 select journey_id, service, direction, source, destination, bus, trip, round(ride_km, 6) as ride_km,
   year, cast(date as varchar) as date

@@ -21,6 +21,7 @@ from tapflow.operators.common import sized_broadcast
 UNKNOWN_STOP = "99999"
 KEYS_PER_SERVICE = 40
 ROUTE_VALID_FROM, ROUTE_VALID_TO = "2024-01-01", "2024-01-31"
+FIRST_UNTIL, SECOND_FROM, OVERLAP_FROM = "2024-01-15", "2024-01-16", "2024-01-11"
 EXPIRED_FROM, EXPIRED_TO = "2023-01-01", "2023-12-31"
 
 
@@ -61,6 +62,29 @@ def routes_from_parts(part: DataFrame) -> DataFrame:
     )
 
 
+def route_versions(part: DataFrame) -> DataFrame:
+    """Route table over a longer time, from the whole of ``part``. Services
+    whose shape leaves part keys out get a second version that runs straight
+    through all forty, from the middle of the month on and without an end; a
+    first version of the month ends there, but one service in nine changes
+    over gradually, with both versions valid for some days."""
+    k, pos = F.expr("cast(p_partkey div 40 as bigint)"), F.col("p_partkey") % KEYS_PER_SERVICE + 1
+    partial = (F.col("k") % 5 != 0) | (F.col("k") % 11 == 5)
+    number = F.substring("service", 2, 10).cast("bigint")
+    changed = ((number % 5 != 0) | (number % 11 == 5)) & (F.col("dt_to") == F.lit(ROUTE_VALID_TO).cast("date"))
+    first = routes_from_parts(part).withColumn("dt_to", F.when(changed, F.lit(FIRST_UNTIL).cast("date")).otherwise(F.col("dt_to")))
+    ways = F.array(F.struct(F.lit(1).alias("direction"), F.col("pos").alias("seq")),
+                   F.struct(F.lit(2).alias("direction"), (41 - F.col("pos")).alias("seq")))
+    code = (F.lit(40) * F.col("k") + F.col("pos") - 1).cast("string")
+    second = (part.select(k.alias("k"), pos.alias("pos")).filter(partial).select("*", F.explode(ways).alias("w"))
+              .select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("service"), "w.direction",
+                      F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code).alias("BusStopCode"),
+                      F.col("w.seq").alias("BusStopSequence"), F.col("w.seq").cast("double").alias("km"),
+                      F.when(F.col("k") % 9 == 4, F.lit(OVERLAP_FROM)).otherwise(F.lit(SECOND_FROM)).cast("date").alias("dt_from"),
+                      F.lit("9999-12-31").cast("date").alias("dt_to")))
+    return first.unionByName(second)
+
+
 def taps_from_events(events: DataFrame, part: DataFrame, routes: DataFrame) -> DataFrame:
     """Tap table (physical names) derived from ``events`` and the routes."""
     services = part.select((F.expr("cast(max(p_partkey) div 40 as bigint)") + 1)).scalar()
