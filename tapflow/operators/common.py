@@ -99,6 +99,12 @@ def drop_tables() -> None:
             return
 
 
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """L3: the first ``n`` rows in the order of ``order``, whatever the
+    partitions; every task sends its own first ``n`` only."""
+    return df.orderBy(*order).limit(n)
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (presentation for comparisons)."""
     cols = [F.round(F.col(f.name), places).alias(f.name) if f.dataType.typeName() == "double"

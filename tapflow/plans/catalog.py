@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapflow.model import RouteColumns, TapColumns
 from tapflow.operators import cluster as C
+from tapflow.operators import daily as DY
 from tapflow.operators import distance as D
 from tapflow.operators import features as FE
 from tapflow.operators import graph as G
@@ -22,10 +23,11 @@ from tapflow.operators import od as OD
 from tapflow.operators import routes as R
 from tapflow.operators import taps as T
 from tapflow.operators import versions as V
-from tapflow.operators.common import cut_lineage, round_doubles, shared_table, table_path
+from tapflow.operators.common import cut_lineage, head, round_doubles, shared_table, table_path
 from tapflow.plans.oracle import STRATA, VALID_DATE
 from tapflow.sources import fixtures
 from tapflow.sources import readers
+from tapflow.sources import sinks
 from tapflow.sources.readers import clean_routes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,6 +522,79 @@ def csv_folder_taps_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                          .agg(F.count(F.lit(1)).alias("rides"), F.sum("ride_km").alias("km")))
 
 
+JANUARY = ("2024-01-01", "2024-01-31")
+
+
+def _daily(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The daily counts of January in two runs, of which the second repeats
+    the days from the 11th to the 20th."""
+    taps, _ = bus_taps(spark, sf_dir)
+    path = table_path(spark)
+    for period in (("2024-01-01", "2024-01-20"), ("2024-01-11", "2024-01-31")):
+        DY.update_daily(taps, path, period, [name])
+    return path
+
+
+@register("daily_od_counts")
+def daily_od_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, A1 by date: the O-D counts of the month from daily partitions."""
+    return DY.over_days(spark, _daily(spark, sf_dir, "od"), "od", JANUARY)
+
+
+@register("daily_vehicle_trips")
+def daily_vehicle_trips_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, A8 by date: vehicle trips per boarding stop from daily partitions,
+    for the days from the 6th to the 25th."""
+    return DY.over_days(spark, _daily(spark, sf_dir, "vehicle_trips"), "vehicle_trips", ("2024-01-06", "2024-01-25"))
+
+
+@register("daily_service_days")
+def daily_service_days_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, A7, A12 by date: days with rides of every service-direction."""
+    return DY.service_days(spark, _daily(spark, sf_dir, "od"), JANUARY)
+
+
+@register("csv_round_trip")
+def csv_round_trip_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route table written as one CSV file and as files by
+    direction, read again with inferred types; rows as the first has them, and
+    whether the second has them too."""
+    _, routes = inputs(spark, sf_dir)
+    rows = routes.select("service", "direction", "stop", "seq", "km")
+    one, many = table_path(spark), table_path(spark)
+    sinks.write_table(rows, one, "csv", single_file=True)
+    sinks.write_table(rows, many, "csv", partition_by=["direction"])
+    first = readers.read_csv_inferred(spark, one)
+    second = spark.read.option("header", True).option("inferSchema", True).csv(many)
+    key = ["service", "direction", "seq"]
+    return round_doubles(first.join(second.select(*key, F.col("stop").alias("other")), key, "left")
+                         .select("service", "direction", F.col("stop").cast("bigint").alias("stop"),
+                                 F.col("seq").cast("bigint").alias("seq"), "km", (F.col("stop") == F.col("other")).alias("same")))
+
+
+@register("cluster_tree")
+def cluster_tree_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings written as a folder for each k and cluster
+    (their labels, and those halved), read again and summed by folder."""
+    points = sinks.persisted(_embedding_points(spark, sf_dir))
+    labels = points.select(F.col("id").alias("item"), F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.floor(F.col("label").cast("int") / k).cast("int").alias("cluster")) for k in (1, 2)])).alias("c")) \
+        .select("item", "c.*")
+    path = table_path(spark)
+    sinks.write_cluster_tree(labels, path, ("features", points.select(F.col("id").alias("item"), "values")))
+    points.unpersist()
+    back = spark.read.parquet(f"{path}/features")
+    return round_doubles(back.groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("items"),
+                                                          F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total")))
+
+
+@register("first_rides")
+def first_rides_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the first 100 rides by time and number."""
+    taps, _ = bus_taps(spark, sf_dir)
+    return head(taps, 100, "tap_in", "journey_id").select("journey_id", "service", "direction", "source")
+
+
 @register("pca_features")
 def pca_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred PCA of the distance-histogram features to 3 components."""

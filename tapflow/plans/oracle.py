@@ -755,6 +755,35 @@ register("service_route", with_ctes(ROUTES) + """
 select stop, seq, round(km, 6) as km from r where service = 'S3' and direction = 2
 """)
 
+register("daily_od_counts", with_ctes(BUS) + """
+select service, direction, source, destination, count(*) as pax from bus group by all
+""")
+
+register("daily_vehicle_trips", with_ctes(BUS) + """
+select service, direction, source as stop, cast(sum(n) as bigint) as vehicle_trips from (
+  select service, direction, source, date, count(distinct (bus, trip)) as n from bus
+  where date between date '2024-01-06' and date '2024-01-25' group by all)
+group by all
+""")
+
+register("daily_service_days", with_ctes(BUS) + """
+select service, direction, count(distinct date) as days, count(*) as rides from bus group by all
+""")
+
+register("csv_round_trip", with_ctes(ROUTES) + """
+select service, direction, cast(stop as bigint) as stop, seq, round(km, 6) as km, true as same from r
+""")
+
+register("cluster_tree", """
+with e as (select k, label // k as cluster, list_sum(cast(embedding as double[])) as s
+           from embeddings, (select unnest([1, 2]) as k))
+select k, cast(cluster as integer) as cluster, count(*) as items, round(sum(s), 6) as total from e group by all
+""")
+
+register("first_rides", with_ctes(BUS) + """
+select journey_id, service, direction, source from bus order by tap_in, journey_id limit 100
+""")
+
 register("csv_folder_routes", "WITH " + BINDING + """
 select service, direction, "BusStopCode" as stop, "BusStopSequence" as seq, round(km, 6) as km,
   cast(dt_from as varchar) as dt_from, cast(dt_to as varchar) as dt_to
