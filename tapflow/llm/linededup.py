@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapflow.llm.text import text_slices
+from tapflow.llm.text import free_name, text_slices
 from tapflow.operators.common import cut_lineage
 
 MIN_WORDS = 50  # a passage has more words than this
@@ -171,13 +171,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 counts: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with the repeated passages taken out of ``text_col``; ``counts``
     names two further columns for the lines before and the lines removed."""
-    at, taken, name = df.columns.index(text_col), {c.lower() for c in df.columns}, "places"
-    while name in taken:
-        name += "_"
+    at, name, key = df.columns.index(text_col), free_name(df, "places"), free_name(df, "places_doc")
     marks = _by_document(repeated_places(df, id_col, text_col, min_words)).select(
-        F.col("doc").alias(name + "_doc"), F.col("places").alias(name))
-    joined = (df.join(marks, document_key(F.col(id_col), F.col(text_col)) == F.col(name + "_doc"), "left")
-              .drop(name + "_doc"))
+        F.col("doc").alias(key), F.col("places").alias(name))
+    joined = (df.join(marks, document_key(F.col(id_col), F.col(text_col)) == F.col(key), "left")
+              .drop(key))
     fields = [*df.schema.fields, *(T.StructField(c, T.LongType()) for c in counts or ())]
 
     def run(batches):

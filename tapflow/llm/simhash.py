@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapflow.llm.components import connected_components, group_labels
-from tapflow.llm.text import hash_sample, map_texts, strings, text_slices
+from tapflow.llm.text import free_name, hash_sample, map_texts, strings, text_slices
 from tapflow.operators.common import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -233,10 +233,11 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut_lineage(simhash_components(df, id_col, text_col, shingle, limit))
     found = found.withColumnRenamed(id_col, "id").withColumn("mine", F.col("id").eqNullSafe(F.col("component_id")))
     ids = cut_lineage(found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("mine").alias("mine")))
-    gone = ids.filter("n > 1 or not mine").select(F.col("id").alias("gone"))
+    name = free_name(df, "gone")
+    gone = ids.filter("n > 1 or not mine").select(F.col("id").alias(name))
     if gone.count() * ID_BYTES <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    kept = df.join(gone, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    kept = df.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
     repeated = ids.filter("n > 1 and mine").select(F.col("id").alias("again"))
     if repeated.isEmpty():
         return kept

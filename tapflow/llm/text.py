@@ -71,6 +71,14 @@ def filter_texts(df: DataFrame, text_col: str, kernel: Callable[[], Callable[[li
     return df.mapInArrow(run, df.schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows of ``df``, those with the smallest hash of
     ``key``: the same rows at every run, however the table is partitioned.
