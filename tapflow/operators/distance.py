@@ -112,6 +112,8 @@ def _by_length(values: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
 
 # Pairs that one step of the DTW kernel evaluates: its buffers stay in cache.
 KERNEL_PAIRS = 512
+# Distances that agree to so many places are tied.
+TIE_PLACES = 9
 
 
 def _pair_task(metric: str, band: int | None = None):
@@ -180,6 +182,11 @@ def dtw_bounds(x: np.ndarray, y: np.ndarray, band: int | None = None) -> np.ndar
 
 def _nearest_task(band: int | None):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": pd.Series([], dtype=object), "neighbour": pd.Series([], dtype=object),
+                                 "distance": pd.Series([], dtype="float64"), "evaluated": pd.Series([], dtype="int64"),
+                                 "skipped": pd.Series([], dtype="int64")})
+        right = right.sort_values("id")  # of tied distances the smaller id is found first
         li, ri = left["id"].astype(str).to_numpy(), right["id"].astype(str).to_numpy()
         lv, rv = _by_length(left["v"]), _by_length(right["v"])
         bound = np.full((len(li), len(ri)), np.inf)
@@ -189,14 +196,11 @@ def _nearest_task(band: int | None):
         bound *= 1 - 1e-12  # a bound is a sum in another order than the distance
         bound[li[:, None] == ri[None, :]] = np.inf
         open_pairs = np.isfinite(bound)
-        best, who = np.full(len(li), np.inf), np.full(len(li), None, dtype=object)
-        done, total = 0, int(open_pairs.sum())
-        place = {id(at): {r: k for k, r in enumerate(at.tolist())} for at, _ in [*lv, *rv]}
+        total, known = int(open_pairs.sum()), np.full(bound.shape, np.inf)
         # the most promising candidates of every item first, then all that can still be as near
         share = max(1, len(ri) // 16)
         while open_pairs.any():
-            masked = np.where(open_pairs, bound, np.inf)
-            take = np.argpartition(masked, min(share, len(ri)) - 1, axis=1)[:, :share]
+            take = np.argpartition(np.where(open_pairs, bound, np.inf), share - 1, axis=1)[:, :share]
             chosen = np.zeros_like(open_pairs)
             np.put_along_axis(chosen, take, True, axis=1)
             chosen &= open_pairs
@@ -205,18 +209,18 @@ def _nearest_task(band: int | None):
                 for rb, y in rv:
                     a, b = np.nonzero(chosen[np.ix_(la, rb)])
                     for k in range(0, len(a), KERNEL_PAIRS):
-                        d = dtw_batch(x[a[k:k + KERNEL_PAIRS]], y[b[k:k + KERNEL_PAIRS]], band)
-                        done += len(d)
-                        for row, other, dist in zip(la[a[k:k + KERNEL_PAIRS]].tolist(), ri[rb[b[k:k + KERNEL_PAIRS]]], d.tolist()):
-                            if dist < best[row] or (dist == best[row] and other < who[row]):
-                                best[row], who[row] = dist, other
-            open_pairs &= bound <= best[:, None]
+                        i, j = a[k:k + KERNEL_PAIRS], b[k:k + KERNEL_PAIRS]
+                        known[la[i], rb[j]] = dtw_batch(x[i], y[j], band).round(TIE_PLACES)
+            open_pairs &= bound <= known.min(axis=1)[:, None] + 10.0 ** -TIE_PLACES
+        who = known.argmin(axis=1)
+        best = known[np.arange(len(li)), who]
         found = np.flatnonzero(np.isfinite(best))
+        evaluated = int(np.isfinite(known).sum())
         counts = np.zeros(len(found), np.int64)
         skipped = counts.copy()
         if len(found):  # the counts of the task are on its first row
-            counts[0], skipped[0] = done, total - done
-        return pd.DataFrame({"id": li[found], "neighbour": who[found], "distance": best[found],
+            counts[0], skipped[0] = evaluated, total - evaluated
+        return pd.DataFrame({"id": li[found], "neighbour": ri[who[found]], "distance": best[found],
                              "evaluated": counts, "skipped": skipped})
 
     return run
@@ -225,7 +229,8 @@ def _nearest_task(band: int | None):
 def nearest(items: DataFrame, id_col: str, value_col: str, band: int | None = None,
             blocks: int | None = None) -> DataFrame:
     """M4: the nearest other item of every item by DTW, ties by the smaller
-    id: (id, neighbour, distance, evaluated, skipped). Candidates are taken by
+    id, where distances are rounded to ``TIE_PLACES`` so that ties do not hang
+    on the last bits of a sum: (id, neighbour, distance, evaluated, skipped). Candidates are taken by
     rising lower bound, and a pair whose bound is above the item's best so far
     is skipped; both numbers of pairs are given, summed over the items that a
     block's tasks listed first (their totals are those of the whole)."""

@@ -18,20 +18,23 @@ STRATA = {"non_loop": [f"S{k}" for k in LISTED if k % 5 in (0, 2, 4)],
 
 BINDING = """
 routes AS (
-  with keys as (select p_partkey // 40 as k, p_partkey % 40 + 1 as pos, p_size from part),
+  with keys as (
+    select k, key, p_size, n0, key <= n0 as main, case when key <= n0 then key else key - n0 end as pos,
+      case when key <= n0 then n0 else 40 - n0 end as n, case when key <= n0 then k % 5 else 0 end as s
+    from (select *, case when k % 11 = 5 then 12 else 40 - 4 * (k % 5) end as n0
+          from (select p_partkey // 40 as k, p_partkey % 40 + 1 as key, p_size from part))),
   base as (
-    select k, k % 5 as s, case when k % 11 = 5 then 12 else 40 - 4 * (k % 5) end as n,
-      case when k % 11 = 5 then 100.0 else 10.0 end::double as per_km, pos,
-      case when k % 13 = 8 and pos = 3 then null when k % 17 = 9 then 0 else p_size end as size
-    from keys where pos <= case when k % 11 = 5 then 12 else 40 - 4 * (k % 5) end),
+    select *, case when main and k % 11 = 5 then 100.0 else 10.0 end::double as per_km,
+      case when main and k % 13 = 8 and pos = 3 then null when main and k % 17 = 9 then 0 else p_size end as size
+    from keys),
   dirs as (
     select *, 1 as direction, pos as seq from base
     union all select *, 2, n + 1 - pos from base),
   codes as (
     select *, cast(40 * k + (case when s in (1, 3) and pos = n then 1 when s = 3 and pos = 14 then 1
-                                  when s = 4 and pos = 9 then 4 else pos end) - 1 as varchar) as code,
-      sum(size) over (partition by k, direction order by seq) as total from dirs)
-  select 'S' || cast(k as varchar) as service, direction,
+                                  when s = 4 and pos = 9 then 4 else key end) - 1 as varchar) as code,
+      sum(size) over (partition by k, main, direction order by seq) as total from dirs)
+  select case when main then 'S' else 'L' end || cast(k as varchar) as service, direction,
     case when length(code) < 5 then lpad(code, 5, '0') else code end as "BusStopCode",
     seq as "BusStopSequence", case when size is not null then cast(total as double) / per_km end as km,
     case when k % 7 = 6 then date '2023-01-01' else date '2024-01-01' end as dt_from,
@@ -42,9 +45,10 @@ taps AS (
     select *, case when event_id % 3 = 0 then 0
         else (user_id * 7 + event_id // 5) % ((select max(p_partkey) // 40 + 1 from part) + 1) end as k,
       case when event_id % 331 = 0 then null else 1 + event_id % 2 end as direction,
-      1 + (event_id * 17) % 43 as sq from events),
+      case when event_id % 11 = 7 then 'L' else 'S' end as line,
+      1 + (event_id * 17) % case when event_id % 11 = 7 then 12 else 43 end as sq from events),
   f as (select *, sq + 1 + cast(floor(value) as bigint) % 15 - 3 as dq from e)
-  select f.event_id as "JOURNEY_ID", 'S' || cast(f.k as varchar) as "Srvc_Number",
+  select f.event_id as "JOURNEY_ID", f.line || cast(f.k as varchar) as "Srvc_Number",
     cast(f.direction as integer) as "Direction",
     coalesce(a."BusStopCode", '99999') as "BOARDING_STOP_STN",
     coalesce(b."BusStopCode", '99999') as "ALIGHTING_STOP_STN",
@@ -53,8 +57,8 @@ taps AS (
     cast(extract(year from f.ts) as int) as "Year", f.ts as tap_in_time,
     case when f.event_id % 97 = 0 then null else f.ts + interval 20 minute end as tap_out_time,
     cast(f.ts as date) as "Date"
-  from f left join routes a on a.service = 'S' || cast(f.k as varchar) and a.direction = coalesce(f.direction,1) and a."BusStopSequence" = f.sq
-         left join routes b on b.service = 'S' || cast(f.k as varchar) and b.direction = coalesce(f.direction,1) and b."BusStopSequence" = f.dq)
+  from f left join routes a on a.service = f.line || cast(f.k as varchar) and a.direction = coalesce(f.direction,1) and a."BusStopSequence" = f.sq
+         left join routes b on b.service = f.line || cast(f.k as varchar) and b.direction = coalesce(f.direction,1) and b."BusStopSequence" = f.dq)
 """
 
 # Logical tap columns, Bus mode, non-null route key.

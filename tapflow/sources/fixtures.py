@@ -1,11 +1,13 @@
 """Test binding: taps from the driver's ``events`` table, routes from ``part``.
 
 The definition is the one in FIXTURES.md §4, written with the DataFrame API.
-Routes: one service for every 40 part keys, both directions, in five shapes;
-km = running sum of part size / 10. Some services are short, some were valid
+Routes: one service S<k> for every 40 part keys, both directions, in five
+shapes of up to 40 stops, and a straight local service L<k> through the keys
+that the shape leaves out, so every part row is a stop; km = running sum of part
+size / 10. Some services are short, some were valid
 in another year, some have a missing km or none but zeros. Taps: one per
-event, a third of them on service S0 and the others spread over all services
-and one that has no route; stop sequences are derived from the event id and
+event, a third of them on S0 or L0 (which has no route) and the others spread
+over all services and one that has no route, one in eleven on local services; stop sequences are derived from the event id and
 value, and mapped to stop codes through the routes (unknown positions become
 stop '99999').
 """
@@ -31,28 +33,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def routes_from_parts(part: DataFrame) -> DataFrame:
     """Route table (physical names) derived from ``part``."""
-    shape, short = F.col("k") % 5, F.col("k") % 11 == 5
-    km = F.when((F.col("k") % 13 == 8) & (F.col("pos") == 3), F.lit(None)) \
-        .when(F.col("k") % 17 == 9, F.lit(0)).otherwise(F.col("p_size"))
-    base = (part.select("p_size", F.expr("cast(p_partkey div 40 as bigint)").alias("k"),
-                        (F.col("p_partkey") % KEYS_PER_SERVICE + 1).alias("pos"))
-            .withColumns({"n": F.when(short, F.lit(12)).otherwise(F.lit(40) - F.lit(4) * shape),
-                          "per_km": F.when(short, F.lit(100.0)).otherwise(F.lit(10.0)), "size": km})
-            .filter(F.col("pos") <= F.col("n")))
+    k = F.expr("cast(p_partkey div 40 as bigint)")
+    main, short = F.col("main"), F.col("main") & (F.col("k") % 11 == 5)
+    shape = F.when(main, F.col("k") % 5).otherwise(F.lit(0))
+    length = F.when(F.col("k") % 11 == 5, F.lit(12)).otherwise(F.lit(40) - F.lit(4) * (F.col("k") % 5))
+    km = F.when(main & (F.col("k") % 13 == 8) & (F.col("pos") == 3), F.lit(None)) \
+        .when(main & (F.col("k") % 17 == 9), F.lit(0)).otherwise(F.col("p_size"))
+    base = (part.select("p_size", k.alias("k"), (F.col("p_partkey") % KEYS_PER_SERVICE + 1).alias("key"))
+            .withColumn("len", length).withColumn("main", F.col("key") <= F.col("len"))
+            .withColumns({"pos": F.when(main, F.col("key")).otherwise(F.col("key") - F.col("len")),
+                          "n": F.when(main, F.col("len")).otherwise(40 - F.col("len"))})
+            .withColumns({"per_km": F.when(short, F.lit(100.0)).otherwise(F.lit(10.0)), "size": km, "shape": shape}))
     ways = F.array(F.struct(F.lit(1).alias("direction"), F.col("pos").alias("seq")),
                    F.struct(F.lit(2).alias("direction"), (F.col("n") + 1 - F.col("pos")).alias("seq")))
     dirs = base.select("*", F.explode(ways).alias("w")).select("*", "w.*")
-    pos = F.col("pos")
-    code_pos = (F.when(shape.isin(1, 3) & (pos == F.col("n")), F.lit(1))
+    pos, shape = F.col("pos"), F.col("shape")
+    code_key = (F.when(shape.isin(1, 3) & (pos == F.col("n")), F.lit(1))
                 .when((shape == 3) & (pos == 14), F.lit(1))
                 .when((shape == 4) & (pos == 9), F.lit(4))
-                .otherwise(pos))
-    code = (F.lit(40) * F.col("k") + code_pos - 1).cast("string")
-    w = Window.partitionBy("k", "direction").orderBy("seq")
+                .otherwise(F.col("key")))
+    code = (F.lit(40) * F.col("k") + code_key - 1).cast("string")
+    w = Window.partitionBy("k", "main", "direction").orderBy("seq")
     expired = F.col("k") % 7 == 6
     running = F.sum("size").over(w).cast("double") / F.col("per_km")
     return dirs.select(
-        F.concat(F.lit("S"), F.col("k").cast("string")).alias("service"),
+        F.concat(F.when(main, F.lit("S")).otherwise(F.lit("L")), F.col("k").cast("string")).alias("service"),
         F.col("direction"),
         F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code).alias("BusStopCode"),
         F.col("seq").alias("BusStopSequence"),
@@ -91,10 +96,11 @@ def taps_from_events(events: DataFrame, part: DataFrame, routes: DataFrame) -> D
     k = F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")) \
         .otherwise((F.col("user_id") * 7 + F.expr("event_id div 5")) % (services + 1))
     direction = F.when(F.col("event_id") % 331 == 0, F.lit(None)).otherwise(1 + F.col("event_id") % 2)
-    sq = 1 + (F.col("event_id") * 17) % 43
+    local = F.col("event_id") % 11 == 7
+    sq = 1 + (F.col("event_id") * 17) % F.when(local, F.lit(12)).otherwise(F.lit(43))
     f = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.concat(F.lit("S"), k.cast("string")).alias("svc"),
+        F.concat(F.when(local, F.lit("L")).otherwise(F.lit("S")), k.cast("string")).alias("svc"),
         direction.alias("dirn"),
         F.coalesce(direction, F.lit(1)).alias("jdir"),
         sq.alias("sq"),

@@ -53,7 +53,7 @@ def test_nearest_neighbours_equal_those_of_all_pairs(spark):
         full = {}
         for r in D.pairwise(items, "item", "values", "dtw", band=band).collect():
             for a, b in ((r.id_a, r.id_b), (r.id_b, r.id_a)):
-                full[a] = min(full.get(a, (np.inf, "")), (r.distance, b))
+                full[a] = min(full.get(a, (np.inf, "")), (round(r.distance, 9), b))
         for blocks in (1, 3):
             rows = D.nearest(items, "item", "values", band, blocks).collect()
             assert {r.id: (r.distance, r.neighbour) for r in rows} == full
