@@ -198,8 +198,7 @@ def _nearest_task(band: int | None):
         open_pairs = np.isfinite(bound)
         total, known = int(open_pairs.sum()), np.full(bound.shape, np.inf)
         # the most promising candidates of every item first, then all that can still be as near
-        share = max(1, len(ri) // 16)
-        while open_pairs.any():
+        for share in (max(1, len(ri) // 16), len(ri)):
             take = np.argpartition(np.where(open_pairs, bound, np.inf), share - 1, axis=1)[:, :share]
             chosen = np.zeros_like(open_pairs)
             np.put_along_axis(chosen, take, True, axis=1)
@@ -211,6 +210,7 @@ def _nearest_task(band: int | None):
                     for k in range(0, len(a), KERNEL_PAIRS):
                         i, j = a[k:k + KERNEL_PAIRS], b[k:k + KERNEL_PAIRS]
                         known[la[i], rb[j]] = dtw_batch(x[i], y[j], band).round(TIE_PLACES)
+            # what is open in the second turn is evaluated; its bounds are below the item's best of the first
             open_pairs &= bound <= known.min(axis=1)[:, None] + 10.0 ** -TIE_PLACES
         who = known.argmin(axis=1)
         best = known[np.arange(len(li)), who]
@@ -236,8 +236,8 @@ def nearest(items: DataFrame, id_col: str, value_col: str, band: int | None = No
     block's tasks listed first (their totals are those of the whole)."""
     src = cut_lineage(items.select(F.col(id_col).cast("string").alias("id"),
                                    F.col(value_col).cast("array<double>").alias("v")))
-    if blocks is None:
-        blocks = _blocks_for(src)
+    if blocks is None:  # ordered block pairs: few blocks keep the cores busy, and large ones batch more pairs of equal lengths
+        blocks = n_blocks(src.count(), cores=max(1, src.sparkSession.sparkContext.defaultParallelism // 4))
     left, right = block_pairs(src, "id", blocks, upper=False)
     part = (left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj"))
             .applyInPandas(_nearest_task(band), "id string, neighbour string, distance double, evaluated bigint, skipped bigint"))
