@@ -23,7 +23,6 @@ import hashlib
 import json
 from collections.abc import Iterable
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +32,11 @@ from pyspark.sql import types as T
 from tapflow.llm.text import map_texts
 
 # Fixed value: the split pattern of this kind of vocabulary; {L}, {N} are the
-# classes of letters and numbers.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
-WORD_CACHE = 200_000  # remembered words of a Python worker; those of the current slice stay when it is full
+# classes of letters and numbers. Letters, the most frequent case, are tried
+# first; no other alternative starts with what they start with.
+SPLIT = r" ?[{L}]+| ?[{N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
+WORD_CACHE = 400_000  # remembered words of a Python worker; those of the current slice stay when it is full
 PAIR_CACHE = 300_000  # remembered token pairs of a Python worker, dropped together when full
-TRIE_DEPTH = 64  # longer words share no trie nodes; their states are propagated along the word alone
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -102,7 +101,7 @@ def splitter(newer: str):
     if newer:
         less = lambda c: rf"[\p{{{c}}}--[{newer}]]"
         exact = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?" + less("L") + "+| ?" + less("N") + "+| ?(?:(?!" + less("L") + "|" + less("N")
+            " ?" + less("L") + "+| ?" + less("N") + "+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?!" + less("L") + "|" + less("N")
             + r")\S)+|\s+(?!\S)|\s+", regex.V1)
     else:
         exact = plain
@@ -129,27 +128,60 @@ def plain_merges(raw: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[byte
 
 
 class TrieEncoder:
-    """Encodes distinct words; holds the vocabulary and the pair memory."""
+    """Encodes distinct words; holds the vocabulary and the pair memory.
+
+    Which tokens end at a place is known from an automaton over the vocabulary
+    (its state is the longest end of the prefix that some token starts with), so
+    no stretch of the word is cut out and looked up. A place of a word costs the
+    same in a word of any length."""
 
     def __init__(self, vocab: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int]):
-        self.vocab, self.ranks = vocab, ranks
-        self.longest = max(map(len, vocab))
+        self.ranks = ranks
+        self.raw = {i: t for t, i in vocab.items()}
+        self.size = {i: len(t) for t, i in vocab.items()}
         self.made = {a + b: (r, a, b) for (a, b), r in ranks.items()}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-
-    def follows(self, before: bytes, token: bytes) -> bool:
-        """Whether ``token`` stays whole after ``before``. Undoes the merges
-        of both, the later one first, and looks for a pair across the border
-        that would have been joined before its sides were used up. Of equal
-        ranks the left pair is joined first, hence the two comparisons."""
-        key = (before, token)
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
+        self.pairs: dict[int, bool] = {}
+        self.build(vocab)
+
+    def build(self, vocab: dict[bytes, int]) -> None:
+        """States, numbered by growing depth: ``edge`` from state and byte to
+        the next state, ``fall`` the state of the longest proper end, ``ends``
+        the tokens that end there with their sizes, longest first."""
+        self.edge, self.fall, self.ends = {}, [0], [()]
+        at = {b"": 0}  # states of the last depth, by prefix
+        for depth in range(1, 1 + max(map(len, vocab))):
+            tokens = [t for t in vocab if len(t) >= depth]
+            before, at = at, {}
+            for token in tokens:
+                prefix = token[:depth]
+                if prefix in at:
+                    continue
+                parent, byte = before[prefix[:-1]], prefix[-1]
+                at[prefix] = state = len(self.fall)
+                fall = self.step(self.fall[parent], byte) if depth > 1 else 0
+                self.edge[parent << 8 | byte] = state
+                self.fall.append(fall)
+                own = vocab.get(prefix)
+                self.ends.append(self.ends[fall] if own is None else ((own, depth), *self.ends[fall]))
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        edge = self.edge
+        while (after := edge.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.fall[state]
+        return after
+
+    def follows(self, first: int, second: int) -> bool:
+        """Whether token ``second`` stays whole after ``first``. Undoes the
+        merges of both, the later one first, and looks for a pair across the
+        border that would have been joined before its sides were used up. Of
+        equal ranks the left pair is joined first, hence the two comparisons."""
         if len(self.pairs) >= PAIR_CACHE:
             self.pairs.clear()
         never = (1 << 60, b"", b"")
-        left, right, left_used, right_used = before, token, 1 << 60, 1 << 60
+        left, right, left_used, right_used = self.raw[first], self.raw[second], 1 << 60, 1 << 60
         known = True
         while True:
             rank = self.ranks.get((left, right))
@@ -163,66 +195,53 @@ class TrieEncoder:
                 left_used, left = a[0], a[2]
             else:
                 right_used, right = b[0], b[1]
-        self.pairs[key] = known
+        self.pairs[first << 32 | second] = known
         return known
 
-    def last_token(self, prefix: bytes, states: list[bytes]) -> bytes:
-        """Last token of the encoding of ``prefix``; ``states[d]`` is that of
-        its first ``d`` bytes."""
-        n, vocab, pairs = len(prefix), self.vocab, self.pairs
-        for start in range(n - self.longest if n > self.longest else 0, n):
-            token = prefix[start:]
-            if token in vocab:
-                if not start:
-                    return token
-                ok = pairs.get((states[start], token))
-                if ok or ok is None and self.follows(states[start], token):
-                    return token
-        raise AssertionError("every byte is a token")
-
-    def read_back(self, states: list[bytes]) -> tuple[int, ...]:
-        ids, d = [], len(states) - 1
+    def read_back(self, last: list[int]) -> tuple[int, ...]:
+        ids, d, size = [], len(last) - 1, self.size
         while d:
-            ids.append(self.vocab[states[d]])
-            d -= len(states[d])
+            ids.append(last[d])
+            d -= size[last[d]]
         return tuple(reversed(ids))
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, by one depth-first walk of their trie. The
-        trie is held as its depth-first order: the sorted words, where what a
-        word shares with the one before it is the path from the root that is
-        already walked, with its states."""
-        out, states, before = {}, [b""], b""
-        last_token = self.last_token
-        for word, raw in sorted(((w, w.encode("utf-8")) for w in words), key=itemgetter(1)):
-            if len(raw) > TRIE_DEPTH:
-                out[word] = self.encode_long(raw)
-                continue
+        trie is held as its depth-first order: the sorted words (code points
+        sort as their bytes do), where what a word shares with the one before
+        it is the path from the root that is already walked. ``last[d]`` is the
+        last token of the path's first ``d`` bytes, ``place[d]`` the state of
+        the automaton there."""
+        out, last, place, before = {}, [-1], [0], b""
+        edge, ends, known_pair = self.edge, self.ends, self.pairs.get
+        for word in sorted(words):
+            raw = word.encode("utf-8")
             shared = 0
             for x, y in zip(before, raw):
                 if x != y:
                     break
                 shared += 1
-            del states[shared + 1:]
-            for n in range(shared + 1, len(raw) + 1):
-                states.append(last_token(raw[:n], states))
-            out[word] = self.read_back(states)
+            del last[shared + 1:], place[shared + 1:]
+            state = place[shared]
+            for n in range(shared, len(raw)):
+                byte = raw[n]
+                after = edge.get(state << 8 | byte)
+                state = self.step(state, byte) if after is None else after
+                for token, size in ends[state]:
+                    if size > n:  # the whole prefix
+                        break
+                    first = last[n + 1 - size]
+                    ok = known_pair(first << 32 | token)
+                    if ok or ok is None and self.follows(first, token):
+                        break
+                else:
+                    raise AssertionError("every byte is a token")
+                last.append(token)
+                place.append(state)
+            out[word] = self.read_back(last)
             before = raw
         return out
 
-    def encode_long(self, raw: bytes) -> tuple[int, ...]:
-        """The same states along one long word, whose last ``longest`` bytes
-        are all that a state looks at."""
-        states = [b""]
-        for n in range(1, len(raw) + 1):
-            low = max(0, n - self.longest)
-            for start in range(low, n):
-                token = raw[start:n]
-                if token in self.vocab and (not start or self.follows(states[start], token)):
-                    states.append(token)
-                    break
-        return self.read_back(states)
-
 
 class Codec:
     """Texts to ids and back, with a bounded memory of encoded words."""

@@ -141,22 +141,47 @@ def test_encoding_equals_the_library_and_round_trips(spark):
         assert decoded == hashlib.sha256(text.encode()).hexdigest()
 
 
+class Visited(list):
+    """A list that counts its look-ups."""
+    count = 0
+
+    def __getitem__(self, i):
+        self.count += 1
+        return super().__getitem__(i)
+
+
 def test_trie_shares_prefixes_and_bounded_cache(monkeypatch):
     spec = bpe.load_vocabulary(vocabulary_path())
-    trie, calls = bpe.TrieEncoder(spec["vocab"], spec["ranks"]), []
-    real = trie.last_token
-    trie.last_token = lambda p, s: calls.append(p) or real(p, s)
-    words = ["inter", "internal", "internet", "interval", "in"]
+    trie = bpe.TrieEncoder(spec["vocab"], spec["ranks"])
+    trie.ends = Visited(trie.ends)
+    han = "\u5b57\u6bcd" * 500
+    words = ["inter", "internal", "internet", "interval", "in", han, han + "\u6587", han[:700], "a" * 3000, "a" * 3000 + "b"]
     out = trie.encode_words(words)
-    assert len(calls) == len(set(calls)) == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+    raws = [w.encode() for w in words]
+    assert trie.ends.count == len({r[:i] for r in raws for i in range(1, len(r) + 1)})  # each shared prefix once
     assert all(b"".join(t for t in [next(k for k, v in spec["vocab"].items() if v == i) for i in out[w]]) == w.encode()
-               for w in words)
+               for w in words[:5])
     monkeypatch.setattr(bpe, "WORD_CACHE", 4)
     codec = bpe.Codec(spec)
     assert [codec.decode(x) for x in codec.encode(["a bc def", "ghi jkl", "mn op qr st"])] == \
         ["a bc def", "ghi jkl", "mn op qr st"]
 
 
+def test_trie_encodes_long_and_mixed_words_as_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(vocabulary_path())
+    codec, rng = bpe.Codec(bpe.load_vocabulary(vocabulary_path())), random.Random(3)
+    letters = ["abcdeinorst", "aäbéçñoüß", "\u5b57\u6bcd\u6587\u4e00", "абвгдеж", "\u0939\u093f\u0928", "=-_*#", "0123456789",
+               "\U0001f600\U0001f468\u200d"]
+    texts = []
+    for _ in range(400):
+        base = "".join(rng.choices(rng.choice(letters), k=rng.choice([3, 9, 40, 300])))
+        texts += [base, base + "".join(rng.choices("".join(letters), k=5)), f"don't {base}'s  {base} \n\n x"]
+    assert codec.encode(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode_texts(frame(spark, []).limit(0), vocabulary_path()).count() == 0
 
