@@ -16,6 +16,7 @@ from tapflow.llm.chat import format_chats
 from tapflow.llm.decontamination import scan_documents
 from tapflow.llm.licenses import COPYRIGHT_LINE, SPELLINGS, known_texts, scan_licenses
 from tapflow.llm.linededup import MIN_WORDS, dedup_lines
+from tapflow.llm.public_suffixes import BELOW, EXACT, EXCEPT, MOST_LABELS
 from tapflow.llm.quality import quality_cascade
 from tapflow.llm.ranked import search_items
 from tapflow.llm.reputation import MAX_BAD, RHO_MAX, RHO_MIN, Z, judge_urls
@@ -57,11 +58,18 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 @register
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page url. The labels with the page's id are its
-    outcome: bad if of low quality or toxic."""
+    outcome: bad if of low quality or toxic. ``bad_share_low`` is the lower
+    posterior bound of the host's bad share, by which the method judges."""
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("id"),
                              ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("low")
+    return (judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+            .withColumn("bad_share_low", F.round("low", 6)).drop("low"))
+
+
+def _names(names: frozenset[str]) -> str:
+    """A column ``name`` of all ``names``, in SQL."""
+    return f"select unnest([{', '.join(repr(x) for x in sorted(names))}]) as name"
 
 
 def _level(name: str, groups: str, key: str) -> str:
@@ -91,10 +99,19 @@ lab as (select doc_id, max(case when quality = 0 or toxic = 1 then 1.0::double e
 h0 as (select host, cast(count(bad) as double) as n, coalesce(sum(bad), 0) as bad,
               regexp_replace(host, ':[0-9]*$', '') as bare
        from p left join lab on page_id = doc_id group by host),
-h1 as (select host, n, bad, case when regexp_matches(bare, '^[0-9.]+$') then bare
-                                 else regexp_extract(bare, '([^.]*\.)?[^.]*$') end as domain,
-              case when regexp_matches(bare, '^[0-9.]+$') then bare else regexp_extract(bare, '[^.]*$') end as suffix
-       from h0),
+psl as ({_names(EXACT)}), below as ({_names(BELOW)}), but as ({_names(EXCEPT)}),
+ends as (select bare, k, array_to_string(labels[len(labels) - k + 1:], '.') as name
+         from (select distinct bare, string_split(bare, '.') as labels from h0), range(2, {MOST_LABELS} + 1) as x(k)
+         where len(labels) >= k),
+sfx as (select bare, arg_max(name, k) as suffix from ends
+        where name in (from psl) or (substr(name, strpos(name, '.') + 1) in (from below) and name not in (from but))
+        group by bare),
+h1 as (select host, n, bad, case when number then bare
+                                 else regexp_extract(left(bare, length(bare) - length(suffix)), '[^.]*\.?$') || suffix end as domain,
+              suffix
+       from (select host, n, bad, bare, regexp_matches(bare, '^[0-9.]+$') as number,
+                    case when number then bare else coalesce(suffix, regexp_extract(bare, '[^.]*$')) end as suffix
+             from h0 left join sfx using (bare))),
 d1 as (select domain, suffix, sum(n) as n, sum(bad) as bad from h1 group by 1, 2),
 s1 as (select suffix, sum(n) as n, sum(bad) as bad from d1 group by 1),
 o as (select coalesce(sum(bad) / nullif(sum(n), 0), 0) as m, sum(n) as total from s1),
@@ -106,7 +123,8 @@ h2 as (select host, n, bad, share as m, var as pv from h1 join d3 using (domain,
 {_level("h3", "h2", "host")},
 low as (select host, share - {Z} * sqrt(greatest(var, 0)) as low from h3)
 select p.page_id, p.host, p.path, fit.rule,
-       coalesce(fit.verdict, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict
+       coalesce(fit.verdict, case when low > {MAX_BAD} then 'block' else 'allow' end) as verdict,
+       round(low, 6) as bad_share_low
 from p join low using (host) left join fit using (page_id, host, path)
 """
 
