@@ -181,11 +181,45 @@ def test_line_dedup_of_repeated_rows_nulls_and_broadcast_bound(spark, monkeypatc
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_chunk_cuts_do_not_shift():
+def test_boundaries_do_not_shift():
     rng = random.Random(1)
     lines = [" ".join(f"a{rng.randrange(10 ** 6)}" for _ in range(20)) for _ in range(60)]
-    runs = lambda x: {"\n".join(x[a:b]) for a, b, _ in linededup.candidates("\n".join(x))}
-    assert len(runs(lines) - runs(["inserted line"] + lines)) <= 2
+    found = lambda x: {("\n".join(x[a:b]), x[at]) for a, b, _, at, _ in linededup.chunks("\n".join(x))}
+    assert len(found(lines) - found(["inserted line"] + lines)) <= 2
+    assert len({at for *_, at, _ in linededup.chunks("\n".join(lines))}) < 45  # not every line is a boundary
+
+
+def test_boundaries_are_the_least_hashes_of_their_windows():
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = [rng.choice([0, 0, 1, 7, 20, 60]) for _ in range(rng.randrange(1, 40))]
+        hashes = [rng.randrange(6) if c else linededup.NO_HASH for c in counts]
+        runs = linededup.windows(counts, 50)
+        plain = set()
+        for i, c in enumerate(counts):
+            ends = [e for e in range(i + 1, len(counts) + 1) if c and sum(counts[i:e]) > 50]
+            starts = [s for s in range(i + 1) if c and sum(counts[s:i + 1]) > 50]
+            plain |= {(i, min(ends))} if ends else set()
+            plain |= {(max(starts), i + 1)} if starts else set()
+        assert runs == sorted(plain)
+        assert list(linededup.boundaries(hashes, runs)) == [min(range(a, b), key=lambda k: (hashes[k], k))
+                                                            for a, b in runs]
+
+
+def test_line_dedup_goes_by_its_boundaries(spark, monkeypatch):
+    """Chunks are found through their boundaries alone: where no boundary line
+    recurs, nothing is removed."""
+    docs, _ = passage_docs()
+    real = linededup.chunks
+
+    def lonely(text, min_words):
+        return [(a, b, d, at, hash((text, at)) >> 1) for a, b, d, at, _ in real(text, min_words)]
+
+    monkeypatch.setattr(linededup, "chunks", lonely)
+    df = frame(spark, [(i, t) for i, t in docs if i not in (42, 43, 44)])  # no copy of a document
+    assert linededup.repeated_places(df).count() == 0
+    monkeypatch.setattr(linededup, "chunks", real)
+    assert linededup.repeated_places(df).count() > 0
 
 
 # --- URLs ------------------------------------------------------------------
