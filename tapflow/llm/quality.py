@@ -6,8 +6,12 @@ that rejects many documents for little work runs first, and a document that
 one rule rejects is not shown to the later ones. The order changes only the
 work: a document is kept exactly if no rule rejects it.
 
-A null or empty text has no words, fails the base rules and is not kept.
-Rows are independent; repeated rows give equal results.
+The sample takes different texts of any length by their hash. Each is measured
+by the task that reads it; verdicts and seconds alone come to the driver.
+
+A null or empty text has no words, fails the base rules and is not kept. Very
+long texts are counted whole. Rows are independent; repeated rows give equal
+results. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapflow.llm.text import hash_sample, map_texts
+from tapflow.llm.text import map_texts
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SAMPLE_ROWS = 2_000  # rows on which costs and selectivities are estimated
+HASH_SPAN = 1 << 40  # texts are sampled by their hash modulo this
+SAMPLE_ROWS = 2_000  # texts on which costs and selectivities are estimated
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -106,32 +111,70 @@ def base_fails(stats) -> bool:
     return stats[0] < MIN_WORDS or 100 * stats[4] > MAX_REPEAT_PERCENT * stats[0]
 
 
+Measured = tuple[list[bool], list[float]]
+
+
+def measure(text: str, rules: tuple[Rule, ...] = RULES) -> Measured | None:
+    """What each rule says of a text and the seconds it takes; None for a text
+    that fails the base rules, which no rule sees."""
+    stats = base_stats(text.encode("utf-8"))
+    if base_fails(stats):
+        return None
+    verdicts, seconds = [], []
+    for rule in rules:
+        t0 = time.perf_counter()
+        verdicts.append(bool(rule.rejects(text, stats)))
+        seconds.append(time.perf_counter() - t0)
+    return verdicts, seconds
+
+
 def order_rules(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
+    """``order_measured`` of texts measured here."""
+    return order_measured([measure(t, rules) for t in texts], rules)
+
+
+def order_measured(measured: list[Measured | None], rules: tuple[Rule, ...]) -> list[tuple[Rule, float, float]]:
     """(rule, rejected share, seconds a document) by rejection per cost on the
-    sample, best first; ties keep the given order. Greedy and conditional: the
-    share of each next rule is measured on what the chosen ones left."""
-    rest = [(t, s) for t in texts for s in [base_stats(t.encode("utf-8"))] if not base_fails(s)]
-    left, chosen = list(rules), []
+    sample, best first; ties keep the given order. Greedy and conditional:
+    share and cost of each next rule are those on what the chosen ones left."""
+    rest = [m for m in measured if m is not None]
+    left, chosen = list(range(len(rules))), []
     while left:
-        best = None
-        for rule in left:
-            t0 = time.perf_counter()
-            hits = sum(bool(rule.rejects(t, s)) for t, s in rest)
-            cost = max((time.perf_counter() - t0) / max(1, len(rest)), 1e-8)
-            share = hits / max(1, len(rest))
+        n, best = max(1, len(rest)), None
+        for i in left:
+            share = sum(verdicts[i] for verdicts, _ in rest) / n
+            cost = max(sum(seconds[i] for _, seconds in rest) / n, 1e-8)
             if best is None or share / cost > best[1] / best[2]:
-                best = (rule, share, cost)
-        chosen.append(best)
+                best = (i, share, cost)
+        chosen.append((rules[best[0]], *best[1:]))
         left.remove(best[0])
-        rest = [(t, s) for t, s in rest if not best[0].rejects(t, s)]
+        rest = [m for m in rest if not m[0][best[0]]]
     return chosen
 
 
-def sample_texts(df: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """A bounded sample of texts (texts above 20,000 characters left out),
-    used for nothing but the order of the rules."""
-    t = F.col(text_col).cast("string")
-    return [r["t"] for r in hash_sample(df.select(t.alias("t")).filter(F.length("t") <= 20_000), "t", rows).collect()]
+def measured_sample(df: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES,
+                    rows: int = SAMPLE_ROWS) -> list[Measured | None]:
+    """``measure`` of at most ``rows`` different texts, those with the smallest
+    hash. A threshold from the row count leaves about twice as many to measure;
+    it and the measuring read texts of any length."""
+    total = df.count()
+    texts = df.select(F.col(text_col).cast("string").alias("t")).filter("t is not null") \
+        .withColumn("k", F.pmod(F.xxhash64("t"), F.lit(HASH_SPAN)))
+    if total > 2 * rows:
+        texts = texts.filter(F.col("k") < max(1, 2 * rows * HASH_SPAN // total))
+    texts = texts.dropDuplicates(["k"])
+
+    def kernel():
+        def run(slice_texts: list[str]) -> list[pa.Array]:
+            found = [measure(t, rules) or (None, None) for t in slice_texts]
+            return [pa.array([v for v, _ in found], pa.list_(pa.bool_())),
+                    pa.array([s for _, s in found], pa.list_(pa.float64()))]
+
+        return run
+
+    narrow = map_texts(texts, "k", "t", [("verdicts", T.ArrayType(T.BooleanType())),
+                                         ("seconds", T.ArrayType(T.DoubleType()))], kernel)
+    return [r["verdicts"] and (r["verdicts"], r["seconds"]) for r in narrow.orderBy("k").limit(rows).collect()]
 
 
 def quality_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -141,7 +184,7 @@ def quality_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the first rule of the cascade that rejects, or null. Where several rules
     reject a document, which one is named follows the measured order; ``kept``
     does not depend on it."""
-    ordered = [r for r, _, _ in order_rules(sample_texts(df, text_col, sample_rows), rules)]
+    ordered = [r for r, _, _ in order_measured(measured_sample(df, text_col, rules, sample_rows), rules)]
 
     def kernel():
         def run(texts: list[str]) -> list[pa.Array]:

@@ -246,6 +246,36 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+# All counts and all six rules on every text, in no order. Letters are what is
+# alphanumeric but no decimal digit; words of that rule end at any white space.
+ORACLE["op8_quality_rules"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
+                  string_split(t, chr(10)) as lines,
+                  list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as worded,
+                  regexp_extract_all(t, '[^\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')
+                    as parts
+           from documents),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+      from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+r as (select doc_id, count(distinct j) as n
+      from (select doc_id, unnest([i, i + 1, i + 2]) as j
+            from (select *, count(*) over (partition by doc_id, g) as k from g) where k > 1) group by doc_id),
+s as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+             len(worded) - len(list_distinct(worded)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+             len(lines) as n_lines,
+             len(list_filter(parts, lambda x: regexp_matches(x, '[\p{L}\p{Nl}\p{No}]'))) as n_lettered,
+             regexp_matches(t, '[.!?\x{3002}\x{061F}\x{0964}]') as has_end
+      from d left join r using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or word_chars < 2 * n_words or word_chars > 14 * n_words or 10 * n_symbols > n_words
+            or 10 * n_dup_lines > 3 * n_lines or 5 * n_repeat_words > n_words or 10 * n_lettered < 7 * n_words
+            or (n_words >= 100 and not has_end)) as kept
+from b
+"""
+
+
 @register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -116,6 +116,16 @@ def test_cascade_orders_by_rejection_per_cost():
     assert quality.order_rules([QUALITY_TEXTS[8]] * 20, rules)[0][0].name == "hits"
 
 
+def test_quality_sample_takes_texts_of_any_length_once(spark):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    texts = [long, *[f"a{i} " + QUALITY_TEXTS[8] for i in range(40)], *[QUALITY_TEXTS[8]] * 100, None, ""]
+    df = frame(spark, list(enumerate(texts)))
+    seen = quality.measured_sample(df, "text", rows=1000)
+    assert len(seen) == 43 and sum(m is None for m in seen) == 1  # different texts; '' fails the base rules
+    assert sum(m is not None and m[0][-1] for m in seen) == 1  # only the long one has no sentence
+    assert 0 < len(quality.measured_sample(df, "text", rows=10)) <= 10
+
+
 def test_quality_empty_table(spark):
     assert quality.quality_cascade(frame(spark, []).limit(0)).count() == 0
 
