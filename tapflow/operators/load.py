@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapflow.functions import tagged
 from tapflow.model import ROUTE_KEY, SUFFIX_DESTINATION, SUFFIX_INTERMEDIATE, SUFFIX_ORIGIN
-from tapflow.operators.common import sized_broadcast
+from tapflow.operators.common import merged_if_large, sized_broadcast
 from tapflow.operators.od import od_counts, served_totals
 from tapflow.operators.routes import route_summary, stop_labels, with_positions
 
@@ -128,7 +128,7 @@ def vehicle_trips_boarding(taps: DataFrame, routes: DataFrame, occurrence: str =
     a label share the count. The rides are referenced once."""
     per_label = (_distinct_vehicle_trips(tap_labels(taps, routes, occurrence), ("board",))
                  .groupBy(*ROUTE_KEY, "label").agg(F.sum("n").alias("n")))
-    return (stop_labels(routes, occurrence).join(_label_map(per_label, "n"), list(ROUTE_KEY))
+    return (merged_if_large(stop_labels(routes, occurrence)).join(_label_map(per_label, "n"), list(ROUTE_KEY))
             .withColumn("bus_count", F.coalesce(F.try_element_at("_m", F.col("label")), F.lit(0).cast("bigint")))
             .drop("_m"))
 
@@ -149,7 +149,7 @@ def vehicle_trips_mean(taps: DataFrame, routes: DataFrame, occurrence: str = "od
     maps = _label_map(per_label, "trips", F.sum(F.when(F.col("label").isNull(), F.col("taps")).otherwise(0))
                       .alias("unplaced_taps"))
     trips = F.coalesce(F.try_element_at("_m", F.col("label")), F.lit(0).cast("bigint"))
-    return (stop_labels(routes, occurrence).join(maps, list(ROUTE_KEY)).groupBy(*ROUTE_KEY)
+    return (merged_if_large(stop_labels(routes, occurrence)).join(maps, list(ROUTE_KEY)).groupBy(*ROUTE_KEY)
             .agg(F.avg(trips).alias("bus_count"), F.max("unplaced_taps").alias("unplaced_taps")))
 
 
@@ -160,7 +160,7 @@ def utilisation_profile(taps: DataFrame, routes: DataFrame, occurrence: str = "o
     vehicle-trip count (A9). The rides are referenced twice: for the O-D
     counts and for the vehicle trips."""
     totals = running_load(served_totals(od_counts(taps), routes, span))
-    labels = stop_labels(routes, occurrence).select(*ROUTE_KEY, "seq", "label")
+    labels = merged_if_large(stop_labels(routes, occurrence).select(*ROUTE_KEY, "seq", "label"))
     buses = vehicle_trips_mean(taps, routes, occurrence).select(*ROUTE_KEY, "bus_count")
     return (totals.join(labels, [*ROUTE_KEY, "seq"])
             .join(buses, list(ROUTE_KEY), "left")

@@ -25,6 +25,19 @@ def test_a_table_that_grows_is_checked_again(spark, tmp_dir):
     assert _hinted(first) and not _hinted(common.sized_broadcast(spark.read.parquet(f"{tmp_dir}/t"), max_bytes=4000))
 
 
+def test_stops_of_a_large_network_are_not_broadcast(spark, tmp_dir):
+    """800,000 stop rows, more than 100 MB as a hash table, of a file of 1 to 2 MB."""
+    from tapflow.sources import fixtures
+    spark.range(400_000).selectExpr("id as p_partkey", "cast(1 + id * 7919 % 50 as int) as p_size") \
+        .write.parquet(f"{tmp_dir}/part.parquet")
+    spark.sql("select id as event_id, timestamp'2024-01-08 08:00:00' as ts, id as user_id, 'tap' as event_type, 1.5D as value "
+              "from range(10)").write.parquet(f"{tmp_dir}/events.parquet")
+    taps, routes = fixtures.load(spark, tmp_dir)
+    assert not _hinted(taps)
+    assert taps._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+    assert routes.count() == 800_000 and taps.count() == 10
+
+
 def test_tables_are_removed(spark):
     import os
     out = common.cut_lineage(spark.range(5))
