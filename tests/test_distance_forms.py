@@ -101,3 +101,27 @@ def test_tied_heights_give_fewer_clusters(spark):
         6: list("abcdef"), 9: list("abcdef")}
     assert clusters(C.cut_heights(merges, [0.5, 1.0, 2.9, 3.0]), "height") == {
         0.5: list("abcdef"), 1.0: ["ab", "cd", "e", "f"], 2.9: ["ab", "cd", "ef"], 3.0: ["abcdef"]}
+
+
+def test_squared_distances_by_products_are_right_for_near_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 8)) + 1000.0
+    y = np.vstack([x[:20] + rng.normal(size=(20, 8)) * 1e-7, x[20:30], rng.normal(size=(9, 8))])
+    want = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    assert np.allclose(D.squared_matrix(x, y), want, rtol=1e-8, atol=0)
+
+
+def test_distance_sums_take_each_block_pair_once(spark, monkeypatch):
+    """720,000 vectors of 64 are shuffled 2 x 44 / 2 times, not 2 x 2,813 times."""
+    assert D.n_blocks(720_000, D.VECTOR_BLOCK_ITEMS, 12) == 44
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(70, 4)), rng.integers(0, 3, 70)
+    rows = [(f"p{i}", str(label[i]), x[i].tolist()) for i in range(70)]
+    points = spark.createDataFrame(rows, "id string, label string, v array<double>")
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    for blocks in (1, 4):
+        got = {(r.id, r.other_label): (r.dist_sum, r.n) for r in D.distance_sums(points, "id", "label", "v", blocks).collect()}
+        assert len(got) == 210
+        for (i, c), (total, n) in got.items():
+            own = label == int(c)
+            assert n == own.sum() and np.isclose(total, d[int(i[1:]), own].sum())
