@@ -125,3 +125,33 @@ def test_distance_sums_take_each_block_pair_once(spark, monkeypatch):
         for (i, c), (total, n) in got.items():
             own = label == int(c)
             assert n == own.sum() and np.isclose(total, d[int(i[1:]), own].sum())
+
+
+def test_block_pairs_are_not_merged_into_few_tasks(spark):
+    """The pairs of few bytes are spread over the cores, and 77,520 items are
+    shuffled 77 times each, not 304 times."""
+    assert D.pair_blocks(77_520, 12) == 76
+    assert D.pair_blocks(7_820, 8) == 12 and D.pair_blocks(40, 8) == 2
+    series = some_series(60, 7)
+    items = items_of(spark, series)
+    for band in (None, 1):
+        rows = D.pairwise(items, "item", "values", "dtw", blocks=4, band=band).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in rows}) > 1
+        assert len({(r.id_a, r.id_b) for r in rows}) == len(rows) == 62 * 61 // 2
+        for r in rows[::50]:
+            assert r.id_a < r.id_b
+            assert np.isclose(r.distance, dtw_ref(series[int(r.id_a[1:])], series[int(r.id_b[1:])], band))
+
+
+def test_steps_of_the_kernel_by_the_length_of_diagonals():
+    assert D.kernel_pairs(80, 56) == D.KERNEL_PAIRS == D.kernel_pairs(0, 0, 4) == D.kernel_pairs(80, 10, 4)
+    assert D.kernel_pairs(80, 78, 4) == 4 * D.KERNEL_PAIRS
+
+
+def test_pairs_of_missing_and_repeated_ids(spark):
+    rows = [("b", [1.0]), ("b", [5.0]), ("a", [1.0, 4.0]), (None, [2.0]), ("c", [])]
+    items = spark.createDataFrame(rows, "item string, values array<double>")
+    got = sorted(tuple(r) for r in D.pairwise(items, "item", "values", "dtw", blocks=1).collect())
+    inf = float("inf")
+    assert got == [("None", "a", 3.0), ("None", "b", 1.0), ("None", "b", 3.0), ("None", "c", inf), ("a", "b", 3.0), ("a", "b", 5.0),
+                   ("a", "c", inf), ("b", "c", inf), ("b", "c", inf)]
