@@ -155,3 +155,24 @@ def test_pairs_of_missing_and_repeated_ids(spark):
     inf = float("inf")
     assert got == [("None", "a", 3.0), ("None", "b", 1.0), ("None", "b", 3.0), ("None", "c", inf), ("a", "b", 3.0), ("a", "b", 5.0),
                    ("a", "c", inf), ("b", "c", inf), ("b", "c", inf)]
+
+
+def test_mixed_lengths_and_range_bounds_equal_those_of_equal_lengths():
+    rng = np.random.default_rng(31)
+    series = [rng.normal(size=n) for n in (0, 1, 1, 2, 5, 9, 9, 30, 4)] + [np.array([1.0, np.nan])]
+    (x, n), ends = D._padded(series), [len(v) for v in series]
+    i, j = (a.ravel() for a in np.meshgrid(np.arange(9), np.arange(9), indexing="ij"))
+    want = np.array([D.dtw_batch(series[a][None], series[b][None])[0] for a, b in zip(i, j)])
+    assert np.array_equal(D.dtw_mixed(x[i], n[i], x[j], n[j]), want) and ends[7] == 30
+    bounds = D.range_bounds(series, series)
+    assert np.isnan(bounds[9]).all() and np.isnan(bounds[:, 9]).all()
+    old = np.array([D.dtw_bounds(series[a][None], series[b][None])[0, 0] for a, b in zip(i, j)]).reshape(9, 9)
+    assert np.allclose(bounds[:9, :9], old, atol=1e-11) and (bounds[:9, :9] <= old + 1e-15).all()
+
+
+def test_a_distance_of_nearest_serves_both_items(spark):
+    rng = np.random.default_rng(32)
+    items = items_of(spark, {f"p{k}": [float(v) for v in rng.normal(size=6)] for k in range(12)}.values())
+    rows = D.nearest(items, "item", "values", blocks=3).collect()
+    assert sum(r.evaluated for r in rows) <= 12 * 11 // 2  # all ordered pairs might be evaluated before
+    assert sum(r.evaluated + r.skipped for r in rows) == 12 * 11
